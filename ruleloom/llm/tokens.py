@@ -1,20 +1,36 @@
-"""Public word-level BPE tokenizer with a bounded cache of words.
+"""Public word-level BPE tokenizer with bounded caches of words.
 
 The tokenizer cuts texts at white space before it merges, so ids of a text are
 the ids of its space-separated words in turn. Each Python worker keeps the ids
 of the words it has met, as little-endian unsigned 32-bit bytes; the library
-encodes only words that are new. Encoding is exact, whatever the cache holds.
+encodes only what is new. Encoding is exact, whatever the caches hold:
+
+* ASCII letters are lower-cased first, as the tokenizer would;
+* a word of letters and final punctuation is its letters and then its marks,
+  as the tokenizer cuts there as well;
+* words of letters alone are encoded many in one call, and parted where an id
+  closes a word; if the count differs, or for any other word, the word is
+  encoded on its own.
 """
 
 from __future__ import annotations
 
 from array import array
+from itertools import chain, filterfalse
 
-#: Words one worker keeps, and the longest word (bytes) that is kept.
-CACHE_WORDS = 500_000
+import numpy as np
+
+#: Words and letter pieces one worker keeps, and the longest (bytes) it keeps.
+CACHE_WORDS = 800_000
+CACHE_PIECES = 500_000
+CACHE_MARKS = 20_000
 CACHE_BYTES = 48
 #: Words given to the library in one call.
-CALL_WORDS = 20_000
+CALL_WORDS = 1000
+#: Bytes of text looked up in one turn, so that its words stay in the CPU's cache.
+TURN_BYTES = 256 << 10
+#: ASCII punctuation.
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
@@ -33,32 +49,80 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {b"": b""}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        out = []
+        self.words: dict[bytes, bytes] = {b"": b""}
+        self.pieces: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.marks: dict[bytes, bytes] = {}
+
+    def _alone(self, word: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, words: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
         for i in range(0, len(words), CALL_WORDS):
-            call = [w.decode("utf-8", "replace") for w in words[i : i + CALL_WORDS]]
-            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(call, add_special_tokens=False)]
+            call = words[i : i + CALL_WORDS]
+            ids = np.array(self.tokenizer.encode(b" ".join(call).decode(), add_special_tokens=False).ids, "<u4")
+            ends = (4 * (np.nonzero(self.closes[ids])[0] + 1)).tolist()
+            if len(ends) != len(call):
+                out += map(self._alone, call)
+                continue
+            raw, start = ids.tobytes(), 0
+            for end in ends:
+                out.append(raw[start:end])
+                start = end
         return out
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text, without end ids, as unsigned 32-bit bytes."""
-        split = [t.replace(b"\n", b" ").split(b" ") for t in texts]
-        new = list(set().union(*split) - self.cache.keys())
-        found = dict(zip(new, self._encode(new), strict=True))
-        if len(self.cache) + len(found) > CACHE_WORDS:
-            self.cache = {b"": b""}
-        known = self.cache | found if len(found) > CACHE_WORDS // 2 else self.cache
-        if known is self.cache:
-            self.cache.update(found)
-        get = known.__getitem__
+    def _new(self, words: set[bytes]) -> dict[bytes, bytes]:
+        found, plain, marks = {}, [], self.marks
+        for word in words:
+            core = word.rstrip(MARKS)
+            if core.isalpha() or not core.isascii() and core.decode("utf-8", "replace").isalpha():
+                mark = word[len(core) :]
+                if mark not in marks:
+                    if len(marks) > CACHE_MARKS:
+                        marks.clear()
+                    marks[mark] = self._alone(mark)
+                plain.append((word, core, marks[mark]))
+            else:
+                found[word] = self._alone(word)
+        new = [*{core for _, core, _ in plain if core not in self.pieces}]
+        got = dict(zip(new, self._letters(new), strict=True))
+        pieces = self.pieces
+        for word, core, mark in plain:
+            found[word] = (got[core] if core in got else pieces[core]) + mark
+        if len(pieces) + len(got) > CACHE_PIECES:
+            pieces.clear()
+        pieces.update((p, x) for p, x in got.items() if len(p) <= CACHE_BYTES)
+        return found
+
+    def _some(self, texts: list[bytes]) -> list[bytes]:
+        # a special token is matched before letters are lowered
+        split = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]
+        found = self._new(set(filterfalse(self.words.__contains__, chain.from_iterable(split))))
+        if len(self.words) + len(found) > CACHE_WORDS:
+            self.words = {b"": b""} | {w: self.words[w] for w in chain.from_iterable(split) if w in self.words}
+        self.words.update(found)
+        get = self.words.__getitem__
         out = [b"".join(map(get, words)) for words in split]
-        for word in new:
+        for word in found:
             if len(word) > CACHE_BYTES:
-                self.cache.pop(word, None)
+                del self.words[word]
         return out
 
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text, without end ids, as unsigned 32-bit bytes."""
+        out: list[bytes] = []
+        some, size = [], 0
+        for t in texts:
+            some.append(t)
+            size += len(t)
+            if size > TURN_BYTES:
+                out += self._some(some)
+                some, size = [], 0
+        return out + self._some(some)
+
 
 def encoder(path: str) -> WordEncoder:
     """This worker's encoder; kept between tasks."""

@@ -52,7 +52,7 @@ def test_tree_join_is_exact(spark):
         ball = ball ^ (np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64))
     points = np.unique(np.concatenate([*points, ball]))
     rng.shuffle(points)
-    assert (simhash.components(points, 2) == [brute_labels(points)[i] for i in range(len(points))]).all()
+    assert (simhash.components(points, 2) == brute_labels(points)).all()
     tree = simhash.build_tree(points, 5, 2)
     shards = [set(at.tolist()) for _, at in simhash.route(tree, points, 2)]
     assert len(shards) > 8

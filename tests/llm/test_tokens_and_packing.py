@@ -10,8 +10,11 @@ from ruleloom.llm.common import shared_path, table
 from ruleloom.llm.tokens import WordEncoder, default_path
 
 
+TOKENIZER = Tokenizer.from_file(default_path())
+
+
 def ids_of(text, end):
-    return np.array(Tokenizer.from_file(default_path()).encode(text or "", add_special_tokens=False).ids + [end], "<u4")
+    return np.array(TOKENIZER.encode(text or "", add_special_tokens=False).ids + [end], "<u4")
 
 
 def test_word_cache_is_exact(spark, small):
