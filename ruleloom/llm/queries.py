@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleloom.llm import packing, simhash, token_orc
+from ruleloom.llm import decontam, langid, packing, simhash, token_orc, toxicity
 from ruleloom.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -23,8 +36,41 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_best_fit_packing, op9_simhash_near_dedup, op10_token_orc)}
+    found = (
+        op1_language_id,
+        op3_benchmark_decontamination,
+        op4_toxicity,
+        op8_best_fit_packing,
+        op9_simhash_near_dedup,
+        op10_token_orc,
+    )
+    return {f.__name__: f for f in found}
+
+
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP3 = rf"""
+WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k,
+    unnest(list_transform(range(0, len(w) - least(len(w), 10) + 1), i -> array_to_string(w[i + 1 : i + least(len(w), 10)], ' '))) AS win
+  FROM items WHERE len(w) > 0),
+docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+sizes AS (SELECT DISTINCT k FROM windows),
+places AS (
+  SELECT doc_id, k, unnest(range(0, len(w) - k + 1)) AS at,
+    unnest(list_transform(range(0, len(w) - k + 1), i -> array_to_string(w[i + 1 : i + k], ' '))) AS win
+  FROM docs, sizes WHERE len(w) >= k),
+found AS (SELECT doc_id, item_id, p.k, at FROM places p JOIN windows USING (k, win)),
+hits AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + k)) AS pos FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_benchmark_decontamination": _OP3}
