@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleloom.llm import chat, decontam, edit_fingerprint, langid, packing, pii, simhash, token_orc, toxicity
+from ruleloom.llm import chat, decontam, edit_fingerprint, langid, packing, pii, simhash, suffix_dedup, token_orc, toxicity
 from ruleloom.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprint.with_next(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_pii,
         op3_benchmark_decontamination,
         op4_toxicity,
+        op5_suffix_dedup,
         op6_edit_fingerprints,
         op7_chat_formatting,
         op8_best_fit_packing,
