@@ -13,10 +13,10 @@ of an entity (``CONTEXT`` characters on either side) discloses it by
 
     PMI(term; entity) / IC(entity) = log(n_te N / (n_t n_e)) / log(N / n_e),
 
-with n counted over the distinct texts of the corpus, so copies count once: 1
-means that who sees the term knows the entity. Terms that stand with an entity
-in ``SUPPORT`` texts or more and reach ``THRESHOLD`` are spans of kind ``term``
-where they stand in that entity's context, and are generalised like the rest.
+with n counted over all documents: 1 means that who sees the term knows the
+entity. Terms that stand with an entity in ``SUPPORT`` different texts or more
+(copies are one text) and reach ``THRESHOLD`` are spans of kind ``term`` where
+they stand in that entity's context, and are generalised like the rest.
 
 Counting runs as partial aggregates; one entity or term in a third of all
 texts is one row a task. Texts are never shuffled to find spans.
@@ -135,19 +135,15 @@ def base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
-    """(e, t): terms that disclose an entity, from counts over distinct texts."""
+    """(e, t): terms that disclose an entity, from counts over the corpus."""
     with_entities = found.where(F.size("entities") > 0)
-    pairs = with_entities.select("h", F.explode(F.array_distinct(F.transform("near", lambda p: F.struct(p["e"].alias("e"), p["t"].alias("t"))))).alias("p")).select("h", "p.e", "p.t").distinct()
-    together = written(pairs.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT), "pii-together")
-    n_e = with_entities.select("h", F.explode("entities").alias("e")).distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
-    texts = found.select("h").distinct().agg(F.count(F.lit(1)).alias("n"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    terms = together.select(F.col("t").alias("known")).distinct()
-    words = docs.select(F.xxhash64(text).alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(lowered(text), F.lit(TERM), F.lit(0)))).alias("t"))
-    # copies count once for the terms at hand; the rest never meets a shuffle with its text's hash
-    seen = words.join(terms, words["t"] == terms["known"], "left_semi").distinct()
-    n_t = seen.groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
-    n = F.lit(texts.first()[0]).cast("double")
+    near = F.array_distinct(F.transform("near", lambda p: F.struct(p["e"].alias("e"), p["t"].alias("t"))))
+    pairs = with_entities.select("h", F.explode(near).alias("p")).groupBy("p.e", "p.t", "h").agg(F.count(F.lit(1)).alias("n"))
+    together = pairs.groupBy("e", "t").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= SUPPORT)
+    n_e = with_entities.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(lowered(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("t"))
+    n_t = words.groupBy("t").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") >= SUPPORT)
+    n = F.lit(found.count()).cast("double")
     pmi = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
     content = F.log(n / F.col("n_e"))
     scored = together.join(n_e, "e").join(n_t, "t")

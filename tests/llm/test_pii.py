@@ -86,9 +86,8 @@ def test_odd_and_long(spark, docs_of, odd_rows):
 def disclosure(texts):
     """Brute-force disclosing terms over a list of texts."""
     known, near = defaultdict(set), defaultdict(set)
-    distinct = sorted(set(texts))
     words = defaultdict(set)
-    for n, t in enumerate(distinct):
+    for n, t in enumerate(texts):
         for w in TERM.finditer(t.lower()):
             words[w[0]].add(n)
         for kind, spans in brute(t).items():
@@ -100,8 +99,8 @@ def disclosure(texts):
                     inside = (w.start() >= a and w.end() <= s and (a == 0 or not t[a : w.start()].strip() or " " in t[a : w.start()])) or (w.start() >= e and w.end() <= b)
                     if inside:
                         near[key, w[0]].add(n)
-    n = len(distinct)
-    return {(k, w) for (k, w), x in near.items() if len(x) >= pii.SUPPORT and len(known[k]) < n and math.log(len(x) * n / (len(words[w]) * len(known[k]))) >= pii.THRESHOLD * math.log(n / len(known[k]))}
+    n = len(texts)
+    return {(k, w) for (k, w), x in near.items() if len({texts[i] for i in x}) >= pii.SUPPORT and len(known[k]) < n and math.log(len(x) * n / (len(words[w]) * len(known[k]))) >= pii.THRESHOLD * math.log(n / len(known[k]))}
 
 
 def test_terms_that_disclose(spark, docs_of):
