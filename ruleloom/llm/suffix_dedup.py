@@ -138,15 +138,44 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
-def equal_windows(strings: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """Sets of (string, offset) that begin the same ``length`` bytes, from the
-    suffix array of all strings."""
+def common_start(strings: list[bytes]) -> int:
+    """Bytes that all strings begin with."""
+    low, high = min(strings), max(strings)
+    n = min(len(low), len(high))
+    if low[:n] == high[:n]:
+        return n
+    good, bad = 0, n
+    while bad - good > 1:
+        half = (good + bad) // 2
+        if low[:half] == high[:half]:
+            good = half
+        else:
+            bad = half
+    return good
+
+
+def equal_windows(parts: list[tuple[bytes, int]], length: int = LENGTH, seed: int = SEED) -> list[list[tuple[int, int]]]:
+    """Sets of (part, offset) that begin the same ``length`` bytes, from one
+    suffix array. A part is bytes and the place of the anchor, which all of
+    its windows cover.
+
+    What follows the anchor in all parts alike is one symbol, as it tells no
+    suffix from another; where parts are more alike before the anchor they are
+    read backwards. Equal windows stay neighbours in either reading."""
+    back = common_start([t[:a][::-1] for t, a in parts]) > common_start([t[a + seed :] for t, a in parts])
+    if back:
+        parts = [(t[::-1], len(t) - a - seed) for t, a in parts]
+    alike = seed + common_start([t[a + seed :] for t, a in parts])
     symbols: list[int] = []
     place: list[tuple[int, int] | None] = []
-    for k, s in enumerate(strings):
-        symbols += [b + 2 for b in s]
+    for k, (t, a) in enumerate(parts):
+        symbols += [b + 3 for b in t[:a]]
+        symbols.append(2)
+        symbols += [b + 3 for b in t[a + alike :]]
         symbols.append(1)
-        place += [(k, o) if o + length <= len(s) else None for o in range(len(s) + 1)]
+        starts = min(a, len(t) - length) + 1
+        place += [(k, o) for o in range(starts)]
+        place += [None] * (len(symbols) - len(place))
     symbols.append(0)
     place.append(None)
     out: list[list[tuple[int, int]]] = []
@@ -155,7 +184,9 @@ def equal_windows(strings: list[bytes], length: int = LENGTH) -> list[list[tuple
         at = place[i]
         if at is None:
             continue
-        window = strings[at[0]][at[1] : at[1] + length]
+        window = parts[at[0]][0][at[1] : at[1] + length]
+        if back:
+            at = at[0], len(parts[at[0]][0]) - at[1] - length
         if window == last:
             out[-1].append(at)
         else:
@@ -311,37 +342,46 @@ def sift(rows: DataFrame, reach: int) -> DataFrame:
     return arrow_map(rows, run, FOUND)
 
 
-def repeats(group: list[tuple[int, int, int, bytes]], length: int) -> list[tuple[int, int, int, int]]:
-    """Intervals (doc, th, start, stop) that repeat among contexts (doc, th,
-    start, bytes) of one anchor."""
+def shared_parts(group: list[tuple[int, int, int, int, bytes]], length: int, seed: int) -> Iterator[tuple[tuple[int, int, int], int, bytes]]:
+    """(start, anchor's place, bytes) of the stretches whose windows stand in
+    more than one context of the group."""
+    if len(group) == 2:
+        (_, _, _, a, s), (_, _, _, b, t) = group
+        left, right = common_start([s[:a][::-1], t[:b][::-1]]), common_start([s[a + seed :], t[b + seed :]])
+        if left + seed + right >= length:
+            for doc, th, start, at, text in group:
+                yield (doc, th, start + at - left), left, text[at - left : at + seed + right]
+        return
     digest = xxhash.xxh64_intdigest
-    hashes = [[digest(t[o : o + length]) for o in range(len(t) - length + 1)] for *_, t in group]
+    hashes = [[digest(t[o : o + length]) for o in range(min(a, len(t) - length) + 1)] for *_, a, t in group]
     seen: dict[int, int] = {}
     for k, row in enumerate(hashes):
         for x in row:
             seen[x] = -1 if seen.get(x, k) != k else k
-    strings: dict[bytes, tuple[int, int, int]] = {}
-    out: list[tuple[int, int, int, int]] = []
-    for (doc, th, start, t), row in zip(group, hashes, strict=True):
+    for (doc, th, start, a, t), row in zip(group, hashes, strict=True):
         o = 0
         while o < len(row):
-            if seen[row[o]] != -1:
-                o += 1
-                continue
             e = o
             while e < len(row) and seen[row[e]] == -1:
                 e += 1
-            part, where = t[o : e - 1 + length], (doc, th, start + o)
-            other = strings.get(part)
-            if other is None:
-                strings[part] = where
-            elif other != where:  # the whole part repeats: one of the two is later
-                late, strings[part] = max(other, where), min(other, where)
-                out.append((late[0], late[1], late[2], late[2] + len(part)))
-            o = e
-    if len(strings) > 1:
-        places = list(strings.values())
-        for same in equal_windows(list(strings), length):
+            if e > o:
+                yield (doc, th, start + o), a - o, t[o : e - 1 + length]
+            o = e + 1
+
+
+def repeats(group: list[tuple[int, int, int, int, bytes]], length: int, seed: int) -> list[tuple[int, int, int, int]]:
+    """Intervals (doc, th, start, stop) that repeat among contexts (doc, th,
+    start, anchor's place, bytes) of one anchor."""
+    parts: dict[tuple[bytes, int], tuple[int, int, int]] = {}
+    out: list[tuple[int, int, int, int]] = []
+    for where, at, part in shared_parts(group, length, seed):
+        other = parts.setdefault((part, at), where)
+        if other != where:  # the whole part repeats: one of the two is later
+            late, parts[part, at] = max(other, where), min(other, where)
+            out.append((late[0], late[1], late[2], late[2] + len(part)))
+    if len(parts) > 1:
+        places = list(parts.values())
+        for same in equal_windows(list(parts), length, seed):
             # contexts in one document may overlap, so a start can be there twice
             starts = sorted({(places[k][0], places[k][1], places[k][2] + o) for k, o in same})
             out += [(d, t, s, s + length) for d, t, s in starts[1:]]
@@ -366,35 +406,36 @@ def meet(docs: DataFrame, firsts: DataFrame, length: int, seed: int) -> DataFram
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple[int, int, int, int, bytes]] = []
+            rows: list[tuple[int, int, int, int, int, bytes]] = []
             for doc, th, t, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), byte_texts(b.column(2)), b.column(3).to_pylist(), strict=True):
                 for x in at:
                     s = max(0, x["start"] - reach)
-                    rows.append((x["h"], doc, th, s, t[s : x["start"] + length]))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["h", "doc", "th", "start", "context"])
+                    rows.append((x["h"], doc, th, s, x["start"] - s, t[s : x["start"] + length]))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "doc", "th", "start", "at", "context"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, int, bytes]] = []
         at = None
         out: list[tuple[int, int, int, int]] = []
         for b in batches:
             for h, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if h != at:
-                    out += repeats(held, length) if len(held) > 1 else []
+                    out += repeats(held, length, seed) if len(held) > 1 else []
                     held, at = [], h
                 held.append(tuple(row))
             if len(out) > 5000:
                 yield batch(out)
                 out = []
-        out += repeats(held, length) if len(held) > 1 else []
+        out += repeats(held, length, seed) if len(held) > 1 else []
         yield batch(out)
 
     def batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) or [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["doc", "th", "start", "stop"])
 
-    contexts = arrow_map(with_text, cut, "h long, doc long, th int, start int, context binary")
+    contexts = arrow_map(with_text, cut, "h long, doc long, th int, start int, at int, context binary")
     dealt = contexts.repartition(shuffle_partitions(docs.sparkSession), "h").sortWithinPartitions("h", "doc", "th", "start")
     return arrow_map(dealt, run, "doc long, th int, start int, stop int")
 
