@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,10 @@ from ruleloom.llm.common import arrow_map, byte_texts, shuffle_partitions, writt
 
 LENGTH = 100
 SEED = 32
+#: Blocks that the windows around an anchor are split into, and the most
+#: contexts of one anchor or core that a task holds.
+BLOCKS = 3
+GROUP = 2000
 #: Bytes of text whose anchors are found at once.
 PIECE = 1 << 20
 
@@ -342,49 +346,82 @@ def sift(rows: DataFrame, reach: int) -> DataFrame:
     return arrow_map(rows, run, FOUND)
 
 
-def shared_parts(group: list[tuple[int, int, int, int, bytes]], length: int, seed: int) -> Iterator[tuple[tuple[int, int, int], int, bytes]]:
-    """(start, anchor's place, bytes) of the stretches whose windows stand in
-    more than one context of the group."""
-    if len(group) == 2:
-        (_, _, _, a, s), (_, _, _, b, t) = group
-        left, right = common_start([s[:a][::-1], t[:b][::-1]]), common_start([s[a + seed :], t[b + seed :]])
-        if left + seed + right >= length:
-            for doc, th, start, at, text in group:
-                yield (doc, th, start + at - left), left, text[at - left : at + seed + right]
-        return
+def cores(a: int, t: bytes, length: int, seed: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """The windows of a context, split by where they start before the anchor:
+    (block, first start, last start, the bytes that all windows of the block
+    cover). Equal windows are in equal blocks and have equal cores."""
+    reach = length - seed
+    wide = (reach + 1 + BLOCKS - 1) // BLOCKS
+    for j in range(BLOCKS):
+        begin = a - reach + j * wide
+        end = min(begin + wide - 1, a)
+        low, high = max(begin, 0), min(end, len(t) - length)
+        if low <= high:
+            yield j, low, high, t[end : begin + length]
+
+
+def same_core(group: list[tuple[int, int, int, int, bytes]], length: int, seed: int) -> list[tuple[int, int, int, int]]:
+    """Intervals (doc, th, start, stop) that repeat among contexts (doc, th,
+    start, anchor's place, bytes) of one anchor and core."""
+    out: list[tuple[int, int, int, int]] = []
+
+    def first_of_each(rows: Iterator[tuple[tuple[int, int, int], int, bytes]]) -> dict[tuple[bytes, int], tuple[int, int, int]]:
+        found: dict[tuple[bytes, int], tuple[int, int, int]] = {}
+        for where, at, text in rows:
+            other = found.setdefault((text, at), where)
+            if other != where:  # all of it repeats: one of the two is later
+                late, found[text, at] = max(other, where), min(other, where)
+                out.append((late[0], late[1], late[2], late[2] + len(text)))
+        return found
+
+    whole = first_of_each(((doc, th, start), a, t) for doc, th, start, a, t in group)
+    if len(whole) < 2:
+        return out
     digest = xxhash.xxh64_intdigest
-    hashes = [[digest(t[o : o + length]) for o in range(min(a, len(t) - length) + 1)] for *_, a, t in group]
+    hashes = [[digest(t[o : o + length]) for o in range(len(t) - length + 1)] for t, _ in whole]
     seen: dict[int, int] = {}
     for k, row in enumerate(hashes):
         for x in row:
             seen[x] = -1 if seen.get(x, k) != k else k
-    for (doc, th, start, a, t), row in zip(group, hashes, strict=True):
-        o = 0
-        while o < len(row):
-            e = o
-            while e < len(row) and seen[row[e]] == -1:
-                e += 1
-            if e > o:
-                yield (doc, th, start + o), a - o, t[o : e - 1 + length]
-            o = e + 1
 
-
-def repeats(group: list[tuple[int, int, int, int, bytes]], length: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """Intervals (doc, th, start, stop) that repeat among contexts (doc, th,
-    start, anchor's place, bytes) of one anchor."""
-    parts: dict[tuple[bytes, int], tuple[int, int, int]] = {}
-    out: list[tuple[int, int, int, int]] = []
-    for where, at, part in shared_parts(group, length, seed):
-        other = parts.setdefault((part, at), where)
-        if other != where:  # the whole part repeats: one of the two is later
-            late, parts[part, at] = max(other, where), min(other, where)
-            out.append((late[0], late[1], late[2], late[2] + len(part)))
+    def shared() -> Iterator[tuple[tuple[int, int, int], int, bytes]]:
+        for ((t, a), (doc, th, start)), row in zip(whole.items(), hashes, strict=True):
+            o = 0
+            while o < len(row):
+                e = o
+                while e < len(row) and seen[row[e]] == -1:
+                    e += 1
+                if e > o:
+                    yield (doc, th, start + o), a - o, t[o : e - 1 + length]
+                o = e + 1
+
+    parts = first_of_each(shared())
     if len(parts) > 1:
         places = list(parts.values())
         for same in equal_windows(list(parts), length, seed):
             # contexts in one document may overlap, so a start can be there twice
             starts = sorted({(places[k][0], places[k][1], places[k][2] + o) for k, o in same})
             out += [(d, t, s, s + length) for d, t, s in starts[1:]]
+    return out
+
+
+def repeats(group: list[tuple[int, int, int, int, bytes]], length: int, seed: int) -> list[tuple[int, int, int, int]]:
+    """The same among contexts of one anchor."""
+    if len(group) == 2:
+        (d, h, x, a, s), (e, i, y, b, t) = group
+        left, right = common_start([s[:a][::-1], t[:b][::-1]]), common_start([s[a + seed :], t[b + seed :]])
+        if left + seed + right < length:
+            return []
+        both = [(d, h, x + a - left, left, s[a - left : a + seed + right]), (e, i, y + b - left, left, t[b - left : b + seed + right])]
+        return same_core(both, length, seed)
+    by: dict[tuple[int, bytes], list[tuple[int, int, int, int, bytes]]] = {}
+    for doc, th, start, a, t in group:
+        for j, low, high, core in cores(a, t, length, seed):
+            by.setdefault((j, core), []).append((doc, th, start + low, a - low, t[low : high + length]))
+    out: list[tuple[int, int, int, int]] = []
+    for rows in by.values():
+        if len(rows) > 1:
+            out += same_core(rows, length, seed)
     return merged(out)
 
 
@@ -398,46 +435,99 @@ def merged(intervals: list[tuple[int, int, int, int]]) -> list[tuple[int, int, i
     return out
 
 
+CONTEXT = "k long, doc long, th int, start int, at int, context binary"
+_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+
+
+def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], [c.split()[0] for c in CONTEXT.split(", ")])
+
+
+def solved(contexts: DataFrame, solve: Callable[[list, int, int], list], length: int, seed: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Intervals that repeat within the groups of ``k``, and the contexts of
+    groups of more than ``GROUP`` rows, which aren't held in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: list[tuple] = []
+        at, large = None, False
+
+        def close() -> None:
+            if len(held) > 1 and not large:
+                out.extend((None, d, t, s, e, None) for d, t, s, e in solve([r[1:] for r in held], length, seed))
+            held.clear()
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[0] != at:
+                    close()
+                    at, large = row[0], False
+                held.append(row)
+                if large or len(held) > GROUP:
+                    large = True
+                    out.extend(held)
+                    held.clear()
+                if len(out) > 5000:
+                    yield _context_batch(out)
+                    out.clear()
+        close()
+        yield _context_batch(out)
+
+    spark = contexts.sparkSession
+    dealt = contexts.repartition(shuffle_partitions(spark), "k").sortWithinPartitions("k", "doc", "th", "start")
+    found = written(arrow_map(dealt, run, CONTEXT), name)
+    release(spark)
+    return found.where("context is null").select("doc", "th", "start", F.col("at").alias("stop")), found.where("context is not null")
+
+
 def meet(docs: DataFrame, firsts: DataFrame, length: int, seed: int) -> DataFrame:
-    """Intervals that repeat between different contexts of one anchor."""
+    """Intervals that repeat between different contexts of one anchor.
+
+    Groups by anchor first; contexts of a group that is too large are grouped
+    by core; and windows of a core that is still too common are counted one by
+    one, in partial aggregates."""
     reach = length - seed
     wanted = firsts.groupBy(F.col("doc").alias("d"), F.col("th").alias("t")).agg(F.collect_list(F.struct("h", "start")).alias("at"))
     with_text = docs.join(wanted, (F.col("doc") == F.col("d")) & (F.col("th") == F.col("t"))).select("doc", "th", "text", "at")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple[int, int, int, int, int, bytes]] = []
+            rows: list[tuple] = []
             for doc, th, t, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), byte_texts(b.column(2)), b.column(3).to_pylist(), strict=True):
                 for x in at:
                     s = max(0, x["start"] - reach)
                     rows.append((x["h"], doc, th, s, x["start"] - s, t[s : x["start"] + length]))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "doc", "th", "start", "at", "context"])
+            yield _context_batch(rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, int, bytes]] = []
-        at = None
-        out: list[tuple[int, int, int, int]] = []
+    def by_core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for h, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if h != at:
-                    out += repeats(held, length, seed) if len(held) > 1 else []
-                    held, at = [], h
-                held.append(tuple(row))
-            if len(out) > 5000:
-                yield batch(out)
-                out = []
-        out += repeats(held, length, seed) if len(held) > 1 else []
-        yield batch(out)
-
-    def batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["doc", "th", "start", "stop"])
-
-    contexts = arrow_map(with_text, cut, "h long, doc long, th int, start int, at int, context binary")
-    dealt = contexts.repartition(shuffle_partitions(docs.sparkSession), "h").sortWithinPartitions("h", "doc", "th", "start")
-    return arrow_map(dealt, run, "doc long, th int, start int, stop int")
+            rows = []
+            for _, doc, th, start, a, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for j, low, high, core in cores(a, t, length, seed):
+                    key = xxhash.xxh64_intdigest(core, j) - (1 << 63)
+                    rows.append((key, doc, th, start + low, a - low, t[low : high + length]))
+            yield _context_batch(rows)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for _, doc, th, start, _, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows += [(xxhash.xxh3_128_digest(t[o : o + length]), doc, th, start + o) for o in range(len(t) - length + 1)]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["w", "doc", "th", "start"])
+
+    out, large = solved(arrow_map(with_text, cut, CONTEXT), repeats, length, seed, "suffix-anchors")
+    if large.isEmpty():
+        return out
+    more, common = solved(arrow_map(large, by_core, CONTEXT), same_core, length, seed, "suffix-cores")
+    out = out.unionByName(more)
+    if common.isEmpty():
+        return out
+    each = arrow_map(common, windows, "w binary, doc long, th int, start int")
+    earliest = each.groupBy("w").agg(F.min(F.struct("doc", "th", "start")).alias("first"))
+    late = each.join(earliest, "w").where(F.struct("doc", "th", "start") > F.col("first"))
+    return out.unionByName(late.select("doc", "th", "start", (F.col("start") + length).alias("stop")))
 
 
 def release(spark: SparkSession) -> None:

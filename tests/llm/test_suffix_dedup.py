@@ -89,6 +89,19 @@ def test_small_lengths(spark, docs_of):
     check(sd.deduplicated(docs_of(rows), 20, 8).drop("kept").collect(), rows, 20)
 
 
+def test_large_groups(spark, docs_of, monkeypatch):
+    """Groups beyond the limit go by core, then by window."""
+    monkeypatch.setattr(sd, "GROUP", 5)
+    rng = np.random.default_rng(8)
+    line = "".join(rng.choice(list("abcdefgh"), 45))
+    long = "".join(rng.choice(list("abcdefgh"), 130))
+    tail = lambda: "".join(rng.choice(list("xyz"), 3))
+    rows = [(i, tail() * 4 + line + tail() + line[:20]) for i in range(40)]
+    rows += [(100 + i, tail() + long[: 128 - i % 3] + tail() + line) for i in range(40)]
+    check(sd.deduplicated(docs_of(rows), 50, 16).drop("kept").collect(), rows, 50)
+    check(sd.deduplicated(docs_of(rows)).drop("kept").collect(), rows)
+
+
 def test_odd_rows(spark, docs_of, odd_rows):
     rows = [r for r in odd_rows if r[0] != 8]
     check(sd.deduplicated(docs_of(rows)).drop("kept").collect(), rows)
