@@ -1,37 +1,44 @@
-"""Public word-level BPE tokenizer with bounded caches of words.
+"""Public word-level BPE tokenizer with a bounded table of words.
 
 The tokenizer cuts texts at white space before it merges, so ids of a text are
 the ids of its space-separated words in turn. Each Python worker keeps the ids
-of the words it has met, as little-endian unsigned 32-bit bytes; the library
-encodes only what is new. Encoding is exact, whatever the caches hold:
+of words it has met; the library encodes only what is new:
 
 * ASCII letters are lower-cased first, as the tokenizer would;
-* a word of letters and final punctuation is its letters and then its marks,
-  as the tokenizer cuts there as well;
-* words of letters alone are encoded many in one call, and parted where an id
-  closes a word; if the count differs, or for any other word, the word is
-  encoded on its own.
+* numpy finds the words of many texts at once and hashes each (a polynomial of
+  its bytes modulo 2**64, by prefix sums), looks the hashes up in an open-
+  addressed table, and puts the ids together by one ragged gather;
+* a new word of letters and final punctuation is its letters and then its
+  marks, as the tokenizer cuts there as well; letters are encoded many in one
+  call and parted where an id closes a word. If the count differs, or for any
+  other word, the word is encoded on its own.
+
+Words are told apart by 64-bit hashes and lengths; the table is emptied when it
+is full, so memory is bounded.
 """
 
 from __future__ import annotations
 
 from array import array
-from itertools import chain, filterfalse
 
 import numpy as np
 
-#: Words and letter pieces one worker keeps, and the longest (bytes) it keeps.
-CACHE_WORDS = 800_000
-CACHE_PIECES = 500_000
+#: Slots of the table (a power of two), words it holds at most, letter pieces
+#: and marks that are kept, and the longest (bytes) word that is kept.
+SLOTS = 1 << 21
+CACHE_WORDS = 1_200_000
+CACHE_PIECES = 300_000
 CACHE_MARKS = 20_000
-CACHE_BYTES = 48
+CACHE_BYTES = 64
 #: Words given to the library in one call.
 CALL_WORDS = 1000
-#: Bytes of text looked up in one turn, so that its words stay in the CPU's cache.
-TURN_BYTES = 256 << 10
+#: Bytes of text handled in one turn.
+TURN_BYTES = 1 << 20
 #: ASCII punctuation.
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
+_BASE = 0x9E3779B97F4A7C15
+_VALUES = np.random.default_rng(9).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
@@ -49,12 +56,24 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {b"": b""}
-        self.pieces: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.marks: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
+        self.powers = self.inverse = np.ones(1, np.uint64)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(SLOTS, np.uint64)  # 0: free
+        self.entry = np.zeros(SLOTS, np.int32)
+        self.count = 0
+        self.first = np.zeros(1 << 16, np.int64)  # of each entry, in the pool
+        self.size = np.zeros(1 << 16, np.int32)
+        self.pool = np.zeros(1 << 18, "<u4")
+        self.used = 0
+
+    # New words
 
     def _alone(self, word: bytes) -> bytes:
         return array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
@@ -74,9 +93,11 @@ class WordEncoder:
                 start = end
         return out
 
-    def _new(self, words: set[bytes]) -> dict[bytes, bytes]:
-        found, plain, marks = {}, [], self.marks
-        for word in words:
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
+        out: list[bytes] = [b""] * len(words)
+        plain, marks, pieces = [], self.marks, self.pieces
+        for i, word in enumerate(words):
             core = word.rstrip(MARKS)
             if core.isalpha() or not core.isascii() and core.decode("utf-8", "replace").isalpha():
                 mark = word[len(core) :]
@@ -84,44 +105,113 @@ class WordEncoder:
                     if len(marks) > CACHE_MARKS:
                         marks.clear()
                     marks[mark] = self._alone(mark)
-                plain.append((word, core, marks[mark]))
+                plain.append((i, core, marks[mark]))
             else:
-                found[word] = self._alone(word)
-        new = [*{core for _, core, _ in plain if core not in self.pieces}]
+                out[i] = self._alone(word)
+        new = [*{core for _, core, _ in plain if core not in pieces}]
         got = dict(zip(new, self._letters(new), strict=True))
-        pieces = self.pieces
-        for word, core, mark in plain:
-            found[word] = (got[core] if core in got else pieces[core]) + mark
+        for i, core, mark in plain:
+            out[i] = (got[core] if core in got else pieces[core]) + mark
         if len(pieces) + len(got) > CACHE_PIECES:
             pieces.clear()
         pieces.update((p, x) for p, x in got.items() if len(p) <= CACHE_BYTES)
-        return found
+        return out
+
+    # The table
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each hash, -1 where there is none."""
+        out = np.full(len(h), -1, np.int32)
+        at = np.arange(len(h))
+        slot = (h >> np.uint64(43)).astype(np.int64) & (SLOTS - 1)
+        while len(at):
+            k = self.keys[slot]
+            hit = k == h[at]
+            out[at[hit]] = self.entry[slot[hit]]
+            go = ~hit & (k != 0)
+            at, slot = at[go], (slot[go] + 1) & (SLOTS - 1)
+        return out
+
+    def _add(self, h: np.ndarray, ids: list[bytes]) -> np.ndarray:
+        """Entries for distinct new hashes."""
+        n = len(h)
+        while self.count + n > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        new = np.arange(self.count, self.count + n)
+        self.size[new] = sizes
+        self.first[new] = self.used + sizes.cumsum() - sizes
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.count += n
+        at, slot = np.arange(n), (h >> np.uint64(43)).astype(np.int64) & (SLOTS - 1)
+        while len(at):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.keys[slot[put]] = h[at[put]]
+            self.entry[slot[put]] = new[at[put]]
+            rest = np.ones(len(at), bool)
+            rest[put] = False
+            at, slot = at[rest], (slot[rest] + 1) & (SLOTS - 1)
+        return new
+
+    # Texts
+
+    def _hashes(self, a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(self.powers) < len(a):
+            n = len(a) + 1
+            base, inverse = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
+            self.powers, self.inverse = (np.concatenate([[np.uint64(1)], np.full(n - 1, x)]).cumprod(dtype=np.uint64) for x in (base, inverse))
+        sums = np.zeros(len(a) + 1, np.uint64)
+        np.cumsum(_VALUES[a] * self.powers[: len(a)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * self.inverse[starts]
+        h ^= (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h | np.uint64(1)
 
     def _some(self, texts: list[bytes]) -> list[bytes]:
         # a special token is matched before letters are lowered
-        split = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]
-        found = self._new(set(filterfalse(self.words.__contains__, chain.from_iterable(split))))
-        if len(self.words) + len(found) > CACHE_WORDS:
-            self.words = {b"": b""} | {w: self.words[w] for w in chain.from_iterable(split) if w in self.words}
-        self.words.update(found)
-        get = self.words.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        for word in found:
-            if len(word) > CACHE_BYTES:
-                del self.words[word]
-        return out
+        joined = b" ".join([t if b"<|" in t else t.lower() for t in texts]).replace(b"\n", b" ") + b" "
+        a = np.frombuffer(joined, np.uint8)
+        inside = np.zeros(len(a) + 1, bool)
+        np.not_equal(a, 32, out=inside[1:])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        h = self._hashes(a, starts, ends)
+        entry = self._find(h)
+        if (entry < 0).any():
+            if self.count > CACHE_WORDS:
+                self._clear()
+                entry[:] = -1
+            missing = np.flatnonzero(entry < 0)
+            new, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            at = missing[first]
+            words = [joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            entry[missing] = self._add(new, self._ids(words))[back]
+        sizes = self.size[entry].astype(np.int64)
+        after = np.concatenate([[0], sizes.cumsum()])
+        out = self.pool[np.repeat(self.first[entry] - after[:-1], sizes) + np.arange(after[-1])].tobytes()
+        bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
+        cut = (4 * after[np.searchsorted(starts, bounds)]).tolist()
+        return [out[x:y] for x, y in zip(cut, cut[1:], strict=False)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, without end ids, as unsigned 32-bit bytes."""
         out: list[bytes] = []
-        some, size = [], 0
+        some: list[bytes] = []
+        size = 0
         for t in texts:
             some.append(t)
             size += len(t)
             if size > TURN_BYTES:
                 out += self._some(some)
                 some, size = [], 0
-        return out + self._some(some)
+        return out + self._some(some) if some else out
 
 
 def encoder(path: str) -> WordEncoder:
