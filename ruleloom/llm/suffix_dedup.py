@@ -10,9 +10,11 @@ A byte goes if a string of ``length`` bytes covers it that also starts earlier
    and streamed. A context is all that windows around the anchor can reach.
    Where a context repeats, all but its first occurrence are repeated whole.
    This pre-aggregates copies: a group of any size goes on as one row.
-3. Where one anchor has different contexts, their texts meet. Windows whose
-   hash occurs once can't repeat, and are cut off first. What is left is sorted
-   by ``suffix_array``: neighbours in that order with the same first ``length``
+3. Where one anchor has different contexts, their texts meet, split into
+   blocks of windows by where these start before the anchor and grouped by the
+   bytes that all windows of the block cover. Windows whose hash occurs once
+   can't repeat, and are cut off first. What is left is sorted by
+   ``suffix_array``: neighbours in that order with the same first ``length``
    bytes are one string, and all of its starts but the earliest repeat.
 4. Intervals are put together for each document.
 
@@ -46,9 +48,9 @@ from ruleloom.llm.common import arrow_map, byte_texts, shuffle_partitions, writt
 LENGTH = 100
 SEED = 32
 #: Blocks that the windows around an anchor are split into, and the most
-#: contexts of one anchor or core that a task holds.
+#: contexts of one core that a task holds.
 BLOCKS = 3
-GROUP = 2000
+GROUP = 20_000
 #: Bytes of text whose anchors are found at once.
 PIECE = 1 << 20
 
@@ -405,26 +407,6 @@ def same_core(group: list[tuple[int, int, int, int, bytes]], length: int, seed:
     return out
 
 
-def repeats(group: list[tuple[int, int, int, int, bytes]], length: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """The same among contexts of one anchor."""
-    if len(group) == 2:
-        (d, h, x, a, s), (e, i, y, b, t) = group
-        left, right = common_start([s[:a][::-1], t[:b][::-1]]), common_start([s[a + seed :], t[b + seed :]])
-        if left + seed + right < length:
-            return []
-        both = [(d, h, x + a - left, left, s[a - left : a + seed + right]), (e, i, y + b - left, left, t[b - left : b + seed + right])]
-        return same_core(both, length, seed)
-    by: dict[tuple[int, bytes], list[tuple[int, int, int, int, bytes]]] = {}
-    for doc, th, start, a, t in group:
-        for j, low, high, core in cores(a, t, length, seed):
-            by.setdefault((j, core), []).append((doc, th, start + low, a - low, t[low : high + length]))
-    out: list[tuple[int, int, int, int]] = []
-    for rows in by.values():
-        if len(rows) > 1:
-            out += same_core(rows, length, seed)
-    return merged(out)
-
-
 def merged(intervals: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     out: list[tuple[int, int, int, int]] = []
     for d, t, s, e in sorted(set(intervals)):
@@ -455,7 +437,7 @@ def solved(contexts: DataFrame, solve: Callable[[list, int, int], list], length:
 
         def close() -> None:
             if len(held) > 1 and not large:
-                out.extend((None, d, t, s, e, None) for d, t, s, e in solve([r[1:] for r in held], length, seed))
+                out.extend((None, d, t, s, e, None) for d, t, s, e in merged(solve([r[1:] for r in held], length, seed)))
             held.clear()
 
         for b in batches:
@@ -484,29 +466,23 @@ def solved(contexts: DataFrame, solve: Callable[[list, int, int], list], length:
 def meet(docs: DataFrame, firsts: DataFrame, length: int, seed: int) -> DataFrame:
     """Intervals that repeat between different contexts of one anchor.
 
-    Groups by anchor first; contexts of a group that is too large are grouped
-    by core; and windows of a core that is still too common are counted one by
-    one, in partial aggregates."""
+    Contexts are split into blocks of windows and grouped by core. The windows
+    of a core too common for one task are counted one by one, in partial
+    aggregates."""
     reach = length - seed
     wanted = firsts.groupBy(F.col("doc").alias("d"), F.col("th").alias("t")).agg(F.collect_list(F.struct("h", "start")).alias("at"))
     with_text = docs.join(wanted, (F.col("doc") == F.col("d")) & (F.col("th") == F.col("t"))).select("doc", "th", "text", "at")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
         for b in batches:
             rows: list[tuple] = []
             for doc, th, t, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), byte_texts(b.column(2)), b.column(3).to_pylist(), strict=True):
                 for x in at:
                     s = max(0, x["start"] - reach)
-                    rows.append((x["h"], doc, th, s, x["start"] - s, t[s : x["start"] + length]))
-            yield _context_batch(rows)
-
-    def by_core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for _, doc, th, start, a, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for j, low, high, core in cores(a, t, length, seed):
-                    key = xxhash.xxh64_intdigest(core, j) - (1 << 63)
-                    rows.append((key, doc, th, start + low, a - low, t[low : high + length]))
+                    a, context = x["start"] - s, t[s : x["start"] + length]
+                    for j, low, high, core in cores(a, context, length, seed):
+                        rows.append((digest(core, j) - (1 << 63), doc, th, s + low, a - low, context[low : high + length]))
             yield _context_batch(rows)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -517,11 +493,7 @@ def meet(docs: DataFrame, firsts: DataFrame, length: int, seed: int) -> DataFram
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["w", "doc", "th", "start"])
 
-    out, large = solved(arrow_map(with_text, cut, CONTEXT), repeats, length, seed, "suffix-anchors")
-    if large.isEmpty():
-        return out
-    more, common = solved(arrow_map(large, by_core, CONTEXT), same_core, length, seed, "suffix-cores")
-    out = out.unionByName(more)
+    out, common = solved(arrow_map(with_text, cut, CONTEXT), same_core, length, seed, "suffix-cores")
     if common.isEmpty():
         return out
     each = arrow_map(common, windows, "w binary, doc long, th int, start int")
