@@ -108,8 +108,13 @@ class Evaluation:
 
     # Rows that rules look at
 
-    def edge_rows(self, unstable: bool) -> DataFrame:
-        rows = self.imports.withColumn("target", target_path()).join(self.graph.facts, "path")
+    def edge_rows(self, unstable: bool, only: list[Rule] | None = None) -> DataFrame:
+        """Imports with their files' facts. If all of the rules ``only`` name
+        source paths, other files are dropped before the join."""
+        imports = self.imports.withColumn("target", target_path())
+        if only and all(r.source.path for r in only):
+            imports = imports.where(any_matches(F.col("path"), tuple(dict.fromkeys(p for r in only for p in r.source.path))))
+        rows = imports.join(self.graph.facts, "path")
         return self.with_stability(rows, cleaned(F.col("package_path")), cleaned(F.col("resolved_path"))) if unstable else rows
 
     def with_stability(self, rows: DataFrame, src: Column, dst: Column) -> DataFrame:
@@ -142,7 +147,7 @@ class Evaluation:
     def edges(self, rules: list[Rule]) -> DataFrame:
         if not rules:
             return self.none()
-        rows = self.edge_rows(any(r.target.more_unstable for r in rules))
+        rows = self.edge_rows(any(r.target.more_unstable for r in rules), rules)
         test = lambda r: from_matches(r.source, F.col("path")) & to_matches(r, F.col("path"), F.col("target"), F.col("dependency_type"))
         return self.matched(rows, rules, test, import_source(), import_target(), "forbidden")
 
@@ -204,7 +209,7 @@ class Evaluation:
         out = self.none()
         for i in range(0, len(rules), CHUNK):
             chunk = rules[i : i + CHUNK]
-            rows = self.imports.withColumn("target", target_path()).join(self.graph.facts, "path")
+            rows = self.edge_rows(False, chunk)
             ok = [F.when(from_matches(r.source, F.col("path")) & to_matches(r, F.col("path"), F.col("target"), F.col("dependency_type")), F.lit(k)) for k, r in enumerate(chunk)]
             satisfied = rows.select("path", F.explode(F.filter(F.array(*ok), lambda x: x.isNotNull())).alias("k")).distinct()
             due = [F.when(from_matches(r.source, F.col("path")), F.struct(F.lit(k).alias("k"), F.lit(r.name).alias("rule"), F.lit(r.comment).alias("comment"), F.lit(r.severity).alias("severity"))) for k, r in enumerate(chunk)]
