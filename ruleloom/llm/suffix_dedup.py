@@ -284,8 +284,27 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("th"), text.alias("text"))
 
 
+def unions(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of each document, put together where they meet."""
+    order = np.lexsort((start, doc))
+    doc, start, stop = doc[order], start[order], stop[order]
+    # intervals of a document lie beyond those of the one before it
+    shift = doc * (int(stop.max()) + 1 if len(stop) else 1)
+    reach = np.maximum.accumulate(stop + shift)
+    new = np.ones(len(doc), bool)
+    new[1:] = start[1:] + shift[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(doc)) - 1 if len(at) else at
+    return doc[at], start[at], (reach - shift)[last]
+
+
 def anchor_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
+    """Anchors with their contexts' hashes. Where a context repeats within a
+    batch, all but its first occurrence are settled here: they go on as merged
+    intervals (``again``, with a hash of their own to deal them by), so a line
+    or a period that fills the corpus isn't one hot key."""
     reach = length - seed
+    names = [c.split()[0] for c in ANCHORS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
@@ -293,14 +312,23 @@ def anchor_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
             texts = byte_texts(b.column(2))
             t, pos, h = anchors(texts, length, seed)
             sides = list(zip(t.tolist(), pos.tolist(), strict=True))
-            context = np.fromiter((digest(texts[i][max(0, p - reach) : p + length], min(p, reach)) for i, p in sides), np.uint64, len(sides))
-            end = np.minimum(pos + length, np.array([len(x) for x in texts], np.int64)[t] if len(t) else pos)
+            c = np.fromiter((digest(texts[i][max(0, p - reach) : p + length], min(p, reach)) for i, p in sides), np.uint64, len(sides)).view(np.int64)
+            stop = np.minimum(pos + length, np.array([len(x) for x in texts], np.int64)[t] if len(t) else pos)
             doc, th = b.column(0).to_numpy(), b.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(context.view(np.int64)), pa.array(doc[t]), pa.array(th[t]), pa.array(pos.astype(np.int32)), pa.array(end.astype(np.int32))], ["h", "c", "doc", "th", "pos", "stop"])
+            order = np.lexsort((pos, t, th[t], doc[t], c, h))
+            again = np.zeros(len(t), bool)
+            again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
+            at, start, end = unions(t[again], np.maximum(pos - reach, 0)[again], stop[again])
+            deal = (at.astype(np.uint64) * np.uint64(_BASE) + start.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+            first = ~again
+            columns = [np.concatenate(x) for x in ((h[first], deal), (c[first], np.zeros_like(deal)), (doc[t[first]], doc[at]), (th[t[first]], th[at]), (pos[first], start), (stop[first], end), (np.zeros(int(first.sum()), bool), np.ones(len(at), bool)))]
+            columns[4:6] = [x.astype(np.int32) for x in columns[4:6]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
-    return arrow_map(docs, run, "h long, c long, doc long, th int, pos int, stop int")
+    return arrow_map(docs, run, ANCHORS)
 
 
+ANCHORS = "h long, c long, doc long, th int, pos int, stop int, again boolean"
 FOUND = "kind int, h long, doc long, th int, start int, stop int"
 
 
@@ -319,7 +347,13 @@ def sift(rows: DataFrame, reach: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
+            settled = b.column(6).to_numpy(zero_copy_only=False)
             h, c, doc, th, pos, stop = (b.column(i).to_numpy() for i in range(6))
+            if settled.any():
+                yield out(0, [x[settled] for x in (h, doc, th, pos, stop)])
+                h, c, doc, th, pos, stop = (x[~settled] for x in (h, c, doc, th, pos, stop))
+                if not len(h):
+                    continue
             new_h, new_c = np.ones(len(h), bool), np.ones(len(h), bool)
             new_h[1:] = h[1:] != h[:-1]
             new_c[1:] = new_h[1:] | (c[1:] != c[:-1])

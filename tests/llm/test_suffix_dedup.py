@@ -89,6 +89,18 @@ def test_small_lengths(spark, docs_of):
     check(sd.deduplicated(docs_of(rows), 20, 8).drop("kept").collect(), rows, 20)
 
 
+def test_unions():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        n = int(rng.integers(0, 30))
+        doc, start = rng.integers(0, 4, n), rng.integers(0, 60, n)
+        stop = start + rng.integers(1, 12, n)
+        covered = {(d, i) for d, s, e in zip(doc.tolist(), start.tolist(), stop.tolist(), strict=True) for i in range(s, e)}
+        got = list(zip(*(x.tolist() for x in sd.unions(doc, start, stop)), strict=True))
+        assert {(d, i) for d, s, e in got for i in range(s, e)} == covered
+        assert all(a[0] != b[0] or a[2] < b[1] for a, b in zip(got, got[1:], strict=False))
+
+
 def test_large_groups(spark, docs_of, monkeypatch):
     """Groups beyond the limit go by core, then by window."""
     monkeypatch.setattr(sd, "GROUP", 5)
