@@ -193,9 +193,10 @@ def identify(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """``docs`` without texts whose language can't be told: no letters, or a
-    score under ``least``. One pass, all columns kept."""
+    score under ``least`` (a text half in another language stays). One pass, all
+    columns kept."""
     held = docs.sparkSession.sparkContext.broadcast(train(sample(docs)))
     at = docs.columns.index("text")
 

@@ -74,16 +74,16 @@ _OP3 = rf"""
 WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 windows AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS k,
-    unnest(list_transform(range(0, len(w) - least(len(w), 10) + 1), i -> array_to_string(w[i + 1 : i + least(len(w), 10)], ' '))) AS win
+    unnest(list_transform(range(0, len(w) - least(len(w), 10) + 1), lambda i: array_to_string(w[i + 1 : i + least(len(w), 10)], ' '))) AS win
   FROM items WHERE len(w) > 0),
 docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 sizes AS (SELECT DISTINCT k FROM windows),
 places AS (
-  SELECT doc_id, k, unnest(range(0, len(w) - k + 1)) AS at,
-    unnest(list_transform(range(0, len(w) - k + 1), i -> array_to_string(w[i + 1 : i + k], ' '))) AS win
+  SELECT doc_id, k, unnest(range(0, len(w) - k + 1)) AS word,
+    unnest(list_transform(range(0, len(w) - k + 1), lambda i: array_to_string(w[i + 1 : i + k], ' '))) AS win
   FROM docs, sizes WHERE len(w) >= k),
-found AS (SELECT doc_id, item_id, p.k, at FROM places p JOIN windows USING (k, win)),
-hits AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + k)) AS pos FROM found) GROUP BY doc_id),
+found AS (SELECT doc_id, item_id, p.k, word FROM places p JOIN windows USING (k, win)),
+hits AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(word, word + k)) AS pos FROM found) GROUP BY doc_id),
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
