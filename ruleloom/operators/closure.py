@@ -10,9 +10,10 @@ rows with far fewer jobs.
 from __future__ import annotations
 
 from collections import defaultdict
-from functools import reduce
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.shared import written
@@ -39,39 +40,72 @@ def fixpoint(edges: DataFrame, seeds: DataFrame) -> DataFrame:
             rounds = [written(known.union(new), "closure-known")]
 
 
-def search(edges: DataFrame, seeds: DataFrame) -> DataFrame | None:
-    """The same on the driver; nothing if there are too many pairs."""
-    after: dict[str, list[str]] = defaultdict(list)
-    for src, dst in edges.select("src", "dst").collect():
-        after[src].append(dst)
-    roots: dict[str, list[str]] = defaultdict(list)
-    for root, node in seeds.select("root", "node").collect():
-        roots[root].append(node)
-    out: list[tuple[str, str]] = []
-    for root, nodes in roots.items():
-        seen, stack = set(nodes), list(nodes)
-        while stack:
-            for node in after.get(stack.pop(), ()):
-                if node not in seen:
-                    seen.add(node)
-                    stack.append(node)
-        out += [(root, node) for node in seen]
-        if len(out) > DRIVER_PAIRS:
+def few(df: DataFrame, most: int) -> list | None:
+    """All rows, if there are at most ``most``; one job either way."""
+    rows = df.limit(most + 1).agg(F.collect_list(F.struct(*df.columns)).alias("rows")).first()["rows"]
+    return rows if len(rows) <= most else None
+
+
+def pairs_frame(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
+    roots, nodes = zip(*pairs, strict=True) if pairs else ((), ())
+    return spark.createDataFrame(pa.table({"root": pa.array(roots, pa.string()), "node": pa.array(nodes, pa.string())}), "root string, node string")
+
+
+class Edges:
+    """Edges whose closures are asked for; small ones are fetched once."""
+
+    def __init__(self, edges: DataFrame, driver_edges: int = DRIVER_EDGES):
+        self.edges, self.driver_edges = edges.select("src", "dst"), driver_edges
+
+    @cached_property
+    def after(self) -> dict[str, list[str]] | None:
+        rows = few(self.edges, self.driver_edges) if self.driver_edges else None
+        if rows is None:
             return None
-    return edges.sparkSession.createDataFrame(out, "root string, node string")
+        out: dict[str, list[str]] = defaultdict(list)
+        for src, dst in rows:
+            out[src].append(dst)
+        return out
+
+    def search(self, seeds: list) -> DataFrame | None:
+        """Closure on the driver; nothing if there are too many pairs."""
+        roots: dict[str, list[str]] = defaultdict(list)
+        for root, node in seeds:
+            roots[root].append(node)
+        out: list[tuple[str, str]] = []
+        for root, nodes in roots.items():
+            seen, stack = set(nodes), list(nodes)
+            while stack:
+                for node in self.after.get(stack.pop(), ()):  # type: ignore[union-attr]
+                    if node not in seen:
+                        seen.add(node)
+                        stack.append(node)
+            out += [(root, node) for node in seen]
+            if len(out) > DRIVER_PAIRS:
+                return None
+        return pairs_frame(self.edges.sparkSession, out)
+
+    def closure(self, seeds: DataFrame) -> DataFrame:
+        """(root, node) reached from ``seeds`` (root, node)."""
+        seeds = seeds.select("root", "node").distinct()
+        if self.after is not None:
+            start = few(seeds, DRIVER_SEEDS)
+            found = self.search(start) if start is not None else None
+            if found is not None:
+                return found
+        return fixpoint(self.edges, seeds)
+
+
+def search(edges: DataFrame, seeds: DataFrame) -> DataFrame | None:
+    return Edges(edges).search([tuple(r) for r in seeds.collect()])
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, nodes: DataFrame | None = None, driver_edges: int = DRIVER_EDGES) -> DataFrame:
-    """(root, node) reached from ``seeds`` (root, node); seeds that are not
-    among ``nodes`` (package_path) are ignored, if given."""
+    """Closure of ``seeds`` (root, node); seeds that are not among ``nodes``
+    (package_path) are ignored, if given."""
     if nodes is not None:
         seeds = seeds.join(nodes.select(F.col("package_path").alias("node")), "node", "left_semi")
-    seeds = written(seeds.select("root", "node").distinct(), "closure-seeds")
-    if edges.limit(driver_edges + 1).count() <= driver_edges and seeds.limit(DRIVER_SEEDS + 1).count() <= DRIVER_SEEDS:
-        found = search(edges, seeds)
-        if found is not None:
-            return found
-    return fixpoint(edges, seeds)
+    return Edges(edges, driver_edges).closure(seeds)
 
 
 def forward_closure(edges: DataFrame, seeds: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ruleloom.config import NOT_IN_ALLOWED, Config, From, Rule
 from ruleloom.functions.re2 import Pattern, Template
-from ruleloom.operators.closure import reachable
+from ruleloom.operators.closure import Edges
 from ruleloom.operators.graph import Graph, more_unstable
 from ruleloom.operators.resolve import cleaned, target_path
 from ruleloom.schema import SOURCE, TARGET, VIOLATIONS
@@ -105,6 +105,7 @@ class Evaluation:
 
     def __post_init__(self) -> None:
         self.graph = Graph(self.files, self.imports)
+        self.reach: dict[tuple[Pattern, ...], Edges] = {}
 
     # Rows that rules look at
 
@@ -164,10 +165,13 @@ class Evaluation:
         return self.matched(rows, rules, test, source_struct(F.col("src"), F.lit(0), F.lit("")), local_target(F.col("dst")), "forbidden")
 
     def closure(self, rule: Rule, seeds: DataFrame) -> DataFrame:
+        """Rules with the same edge filter share their edges. Seeds are
+        scanned packages or import targets, so all of them are nodes."""
         skip = rule.target.reachable_file_path_not
-        edges = self.graph.edges_without(any_matches(F.col("path"), skip) if skip else None)
-        more = {} if self.driver_edges is None else {"driver_edges": self.driver_edges}
-        return reachable(edges, seeds, self.graph.nodes, **more)
+        if skip not in self.reach:
+            edges = self.graph.edges_without(any_matches(F.col("path"), skip) if skip else None)
+            self.reach[skip] = Edges(edges) if self.driver_edges is None else Edges(edges, self.driver_edges)
+        return self.reach[skip].closure(seeds)
 
     def reaches(self, rules: list[Rule]) -> DataFrame:
         """One closure for all rules with the same edges, over the distinct
