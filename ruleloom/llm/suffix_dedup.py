@@ -49,7 +49,7 @@ LENGTH = 100
 SEED = 32
 #: Blocks that the windows around an anchor are split into, and the most
 #: contexts of one core that a task holds.
-BLOCKS = 3
+BLOCKS = 2
 GROUP = 20_000
 #: Bytes of text whose anchors are found at once.
 PIECE = 1 << 20
