@@ -6,6 +6,10 @@ from tests.oracle import connect, same
 SF = "/root/testdata/sf0.001"
 
 
+#: No package has so many dependents in the smallest tables.
+EMPTY = {"q_source_dependents_gt"}
+
+
 @pytest.fixture(scope="module")
 def con():
     return connect(SF)
@@ -13,7 +17,7 @@ def con():
 
 @pytest.mark.parametrize("name", CATALOGUE)
 def test_query(spark, con, name):
-    assert same(queries()[name](spark, SF), oracle_sql()[name], con) > 0
+    assert (same(queries()[name](spark, SF), oracle_sql()[name], con) > 0) == (name not in EMPTY)
 
 
 def test_flagship(spark):
