@@ -302,7 +302,8 @@ def anchor_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
     """Anchors with their contexts' hashes. Where a context repeats within a
     batch, all but its first occurrence are settled here: they go on as merged
     intervals (``again``, with a hash of their own to deal them by), so a line
-    or a period that fills the corpus isn't one hot key."""
+    or a period that fills the corpus isn't one hot key. Repeated rows are one
+    document: an anchor at the same place of one is itself, no repeat."""
     reach = length - seed
     names = [c.split()[0] for c in ANCHORS.split(", ")]
 
@@ -315,12 +316,14 @@ def anchor_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
             c = np.fromiter((digest(texts[i][max(0, p - reach) : p + length], min(p, reach)) for i, p in sides), np.uint64, len(sides)).view(np.int64)
             stop = np.minimum(pos + length, np.array([len(x) for x in texts], np.int64)[t] if len(t) else pos)
             doc, th = b.column(0).to_numpy(), b.column(1).to_numpy()
-            order = np.lexsort((pos, t, th[t], doc[t], c, h))
-            again = np.zeros(len(t), bool)
-            again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
+            order = np.lexsort((t, pos, th[t], doc[t], c, h))
+            one, two = order[:-1], order[1:]
+            again, same = np.zeros(len(t), bool), np.zeros(len(t), bool)
+            again[two] = (h[two] == h[one]) & (c[two] == c[one])
+            same[two] = again[two] & (doc[t[two]] == doc[t[one]]) & (th[t[two]] == th[t[one]]) & (pos[two] == pos[one])
+            again, first = again & ~same, ~again
             at, start, end = unions(t[again], np.maximum(pos - reach, 0)[again], stop[again])
             deal = (at.astype(np.uint64) * np.uint64(_BASE) + start.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
-            first = ~again
             columns = [np.concatenate(x) for x in ((h[first], deal), (c[first], np.zeros_like(deal)), (doc[t[first]], doc[at]), (th[t[first]], th[at]), (pos[first], start), (stop[first], end), (np.zeros(int(first.sum()), bool), np.ones(len(at), bool)))]
             columns[4:6] = [x.astype(np.int32) for x in columns[4:6]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
@@ -334,10 +337,11 @@ FOUND = "kind int, h long, doc long, th int, start int, stop int"
 
 def sift(rows: DataFrame, reach: int) -> DataFrame:
     """Of sorted anchors: intervals that repeat whole (kind 0), and the first
-    of each context where an anchor has several (kind 1)."""
+    of each context where an anchor has several (kind 1). An anchor that
+    repeated rows give again is dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int] | None = None
+        last: tuple[int, ...] | None = None
         waits: list[np.ndarray] | None = None  # the first context of the anchor at hand
 
         def out(kind: int, columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -354,12 +358,20 @@ def sift(rows: DataFrame, reach: int) -> DataFrame:
                 h, c, doc, th, pos, stop = (x[~settled] for x in (h, c, doc, th, pos, stop))
                 if not len(h):
                     continue
+            place = (h, c, doc, th, pos)
+            other = np.zeros(len(h), bool)
+            other[0] = last != tuple(int(x[0]) for x in place)
+            for x in place:
+                other[1:] |= x[1:] != x[:-1]
+            if not other.any():
+                continue
+            h, c, doc, th, pos, stop = (x[other] for x in (*place, stop))
             new_h, new_c = np.ones(len(h), bool), np.ones(len(h), bool)
             new_h[1:] = h[1:] != h[:-1]
             new_c[1:] = new_h[1:] | (c[1:] != c[:-1])
             if last is not None and last[0] == h[0]:
                 new_h[0], new_c[0] = False, last[1] != c[0]
-            last = int(h[-1]), int(c[-1])
+            last = tuple(int(x[-1]) for x in (h, c, doc, th, pos))
             again = ~new_c
             if again.any():
                 yield out(0, [x[again] for x in (h, doc, th, np.maximum(pos - reach, 0), stop)])

@@ -121,3 +121,14 @@ def test_odd_rows(spark, docs_of, odd_rows):
     assert sd.deduplicated(docs_of([])).count() == 0
     twice = sd.deduplicated(docs_of([(1, "abc" * 60 + str(i)) for i in (0, 0, 1)])).collect()
     assert len(twice) == 3
+
+
+def test_repeated_rows_are_one_document(spark, docs_of):
+    rng = np.random.default_rng(9)
+    line = "".join(rng.choice(list("abcdefgh"), 260))
+    once = [(1, "abc" * 60 + "0"), (2, line), (3, "x" + line[40:220] + "y"), (4, "".join(rng.choice(list("abcdefgh"), 300))), (5, "short")]
+    want = {r.doc_id: r for r in sd.deduplicated(docs_of(once)).drop("kept").collect()}
+    check(want.values(), once)
+    for parts in (1, 7):  # repeated within a batch, and in different ones
+        got = sd.deduplicated(docs_of(once * 3).repartition(parts)).drop("kept").collect()
+        assert sorted(got) == sorted([*want.values()] * 3)
