@@ -13,13 +13,17 @@ of words it has met; the library encodes only what is new:
   call and parted where an id closes a word. If the count differs, or for any
   other word, the word is encoded on its own.
 
-Words are told apart by 64-bit hashes and lengths; the table is emptied when it
-is full, so memory is bounded.
+Words are told apart by 64-bit hashes and lengths; the table is emptied before
+words that it has no room for, and texts with too many words for one table are
+handled in halves. Long texts are cut at spaces into turns, so memory is
+bounded but for a single word.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -37,6 +41,7 @@ TURN_BYTES = 1 << 20
 #: ASCII punctuation.
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
+_SPACE = re.compile(rb"[ \n]")
 _BASE = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(9).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ENCODERS: dict[str, "WordEncoder"] = {}
@@ -174,6 +179,13 @@ class WordEncoder:
         h *= np.uint64(0xBF58476D1CE4E5B9)
         return h | np.uint64(1)
 
+    def _halves(self, texts: list[bytes], starts: np.ndarray) -> list[bytes]:
+        if len(texts) > 1:
+            k = len(texts) // 2
+            return self._some(texts[:k]) + self._some(texts[k:])
+        cut = int(starts[len(starts) // 2])
+        return [self._some([texts[0][:cut]])[0] + self._some([texts[0][cut:]])[0]]
+
     def _some(self, texts: list[bytes]) -> list[bytes]:
         # a special token is matched before letters are lowered
         joined = b" ".join([t if b"<|" in t else t.lower() for t in texts]).replace(b"\n", b" ") + b" "
@@ -185,11 +197,15 @@ class WordEncoder:
         h = self._hashes(a, starts, ends)
         entry = self._find(h)
         if (entry < 0).any():
-            if self.count > CACHE_WORDS:
-                self._clear()
-                entry[:] = -1
+            most = min(CACHE_WORDS, SLOTS // 4 * 3)
             missing = np.flatnonzero(entry < 0)
             new, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            if self.count + len(new) > most:
+                self._clear()
+                missing = np.arange(len(h))
+                new, first, back = np.unique(h, return_index=True, return_inverse=True)
+                if len(new) > most:
+                    return self._halves(texts, starts)
             at = missing[first]
             words = [joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
             entry[missing] = self._add(new, self._ids(words))[back]
@@ -206,6 +222,11 @@ class WordEncoder:
         some: list[bytes] = []
         size = 0
         for t in texts:
+            if len(t) > TURN_BYTES:
+                out += self._some(some) if some else []
+                out.append(b"".join(self._some([part])[0] for part in turns(t)))
+                some, size = [], 0
+                continue
             some.append(t)
             size += len(t)
             if size > TURN_BYTES:
@@ -214,6 +235,23 @@ class WordEncoder:
         return out + self._some(some) if some else out
 
 
+def turns(text: bytes) -> Iterator[bytes]:
+    """A text cut after spaces, into parts of at most ``TURN_BYTES`` where no
+    word is longer."""
+    at = 0
+    while len(text) - at > TURN_BYTES:
+        end = at + TURN_BYTES
+        cut = max(text.rfind(b" ", at, end), text.rfind(b"\n", at, end)) + 1
+        if not cut:
+            found = _SPACE.search(text, end)
+            if not found:
+                break
+            cut = found.end()
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 def encoder(path: str) -> WordEncoder:
     """This worker's encoder; kept between tasks."""
     if path not in _ENCODERS:

@@ -1,11 +1,12 @@
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from ruleloom.llm import packing, token_orc
+from ruleloom.llm import packing, token_orc, tokens
 from ruleloom.llm.common import shared_path, table
 from ruleloom.llm.tokens import WordEncoder, default_path
 
@@ -26,6 +27,18 @@ def test_word_cache_is_exact(spark, small):
         assert np.frombuffer(g, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_table_smaller_than_a_text(monkeypatch):
+    monkeypatch.setattr(tokens, "SLOTS", 64)
+    own, texts = WordEncoder(default_path()), [" ".join(f"w{i:x}q, Ab{i}\n" for i in range(n)) for n in (3, 500, 0, 40)]
+    for turn in (1 << 20, 100):
+        monkeypatch.setattr(tokens, "TURN_BYTES", turn)
+        for t, g in zip(texts, own.encode([t.encode() for t in texts]), strict=True):
+            assert np.frombuffer(g, "<u4").tolist() == TOKENIZER.encode(t, add_special_tokens=False).ids
+    long = b" a  <|endoftext|>\n" + b"x" * 300 + b" " + b"y " * 200
+    assert b"".join(tokens.turns(long)) == long
+    assert own.encode([long, b"y"])[0] == array("I", TOKENIZER.encode(long.decode(), add_special_tokens=False).ids).tobytes()
+
+
 def test_orc_round_trip(spark, small):
     docs = table(spark, small, "documents")
     got = {r.doc_id: r for r in token_orc.round_trip(docs).collect()}
