@@ -38,6 +38,8 @@ FEATURES = 4000
 LEAST_Z = 3.5
 LEAST_ROWS = 3
 THRESHOLD = 0.3
+#: Terms in one batch of counts.
+TERMS_BATCH = 50_000
 #: Bytes at a word's beginning that are features.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Longest disguised word that is decoded.
@@ -235,13 +237,14 @@ def vocabulary(rows: DataFrame, costs: np.ndarray) -> list[bytes]:
                 kinds[toxic] += 1
                 if toxic:
                     toxic_rows.update(terms)
-        # terms without a toxic row are of no use; the empty term counts rows
+        # every term goes on: its toxic rows may be in other partitions; the empty term counts rows
         toxic_rows[b""], all_rows[b""] = kinds[1], sum(kinds)
-        terms = list(toxic_rows)
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array([toxic_rows[t] for t in terms], pa.int64()), pa.array([all_rows[t] for t in terms], pa.int64())], ["term", "toxic", "seen"])
+        every = list(all_rows)
+        for k in range(0, len(every), TERMS_BATCH):
+            terms = every[k : k + TERMS_BATCH]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array([toxic_rows[t] for t in terms], pa.int64()), pa.array([all_rows[t] for t in terms], pa.int64())], ["term", "toxic", "seen"])
 
     sums = arrow_map(rows, run, "term binary, toxic long, seen long").groupBy("term").agg(F.sum("toxic").alias("p"), F.sum("seen").alias("n")).where(F.col("p") >= LEAST_ROWS)
-    # a partition without a toxic row for a term doesn't count its other rows, which only lowers n
     total = sums.where(F.col("term") == F.lit(bytearray())).first()
     if not total or total.p == total.n:
         return []

@@ -42,6 +42,15 @@ def test_viterbi_is_the_best_path(costs, seen):
     assert toxicity.decode(seen, costs) == best[1]
 
 
+def test_vocabulary_does_not_follow_partitions(spark, costs):
+    # "plain" is in a fifth of all rows, toxic or not
+    rows = [(f"row{i} {'plain' if i // 20 % 5 == 0 else 'other'} {'vermin' if i % 20 < 2 else 'fine'}", int(i % 20 < 2)) for i in range(600)]
+    frame = spark.createDataFrame(rows, "text string, toxic int")
+    one = toxicity.vocabulary(frame.coalesce(1), costs)
+    assert b"vermin" in one and b"plain" not in one
+    assert toxicity.vocabulary(frame.repartition(60), costs) == one
+
+
 def test_held_out(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
