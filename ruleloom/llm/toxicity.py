@@ -19,6 +19,7 @@ every score is 0; a document with several labels trains once for each.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -42,8 +43,8 @@ THRESHOLD = 0.3
 TERMS_BATCH = 50_000
 #: Bytes at a word's beginning that are features.
 BEGINNINGS = (4, 5, 6, 7, 8)
-#: Longest disguised word that is decoded.
-LONGEST = 40
+#: Longest disguised word whose restored form is kept for the next time.
+LONGEST = 80
 
 #: Trigram symbols: 0 the edge of a word, 1-26 letters, 27 any other letter.
 SYMBOLS = 28
@@ -53,11 +54,14 @@ SYMBOL = np.array([(b | 32) - 96 if b < 128 and chr(b | 32).isalpha() else 27 if
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "*": "aeiou"}
 #: Costs (negative logs) of the channel's steps.
 SWAP, DROP_SIGN, DROP_REPEAT, DROP_DOUBLE, DROP_GAP = 1.0, 9.0, 0.2, 7.0, 0.1
+#: A gap between spaced letters that is the edge of a word.
+EDGE = 0.1
 
 _LETTER = np.array([b < 128 and chr(b | 32).isalpha() for b in range(256)])
 _SIGN = np.array([chr(b) in STANDS_FOR for b in range(256)])
 _GAP = np.array([chr(b) in " .-_*" for b in range(256)])
 _WORDY = _LETTER | _SIGN
+_REPEATS = re.compile(rb"([a-z])\1{3,}")
 
 
 # The language model
@@ -114,26 +118,39 @@ def options(text: str, i: int, spaced: bool) -> list[tuple[str, float]]:
     return [(c, 0.0)]
 
 
-def decode(text: str, costs: np.ndarray) -> str:
-    """The most likely word behind a disguised one (lower case ASCII)."""
+def decode(text: str, costs: np.ndarray, edges: bool = False) -> str:
+    """The most likely word behind a disguised one (lower case ASCII); with
+    ``edges``, the most likely words, as a gap may also be an edge. The states
+    are the last two letters, so the time follows the length."""
     spaced = any(c in " .-_" for c in text)
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for i in range(len(text)):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for to, price in options(text, i, spaced):
-            s = ord(to) - 96 if to else 0
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    for i, c in enumerate(text):
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        steps = options(text, i, spaced)
+        if edges and _GAP[ord(c)]:
+            steps = [*steps, (" ", EDGE)]
+        for to, price in steps:
+            s = 0 if to in ("", " ") else ord(to) - 96
             for (a, b), (cost, word) in states.items():
+                if to == " " and not b:  # no empty words
+                    continue
                 key = (b, s) if to else (a, b)
                 now = cost + price + (float(costs[a, b, s]) if to else 0.0)
                 if key not in after or now < after[key][0]:
-                    after[key] = (now, word + to)
+                    after[key] = (now, (word, to) if to else word)
         states = after
-    return min((cost + float(costs[a, b, 0]), word) for (a, b), (cost, word) in states.items())[1]
+    word = min(((cost + float(costs[a, b, 0]), word) for (a, b), (cost, word) in states.items()), key=lambda x: x[0])[1]
+    out = []
+    while word:
+        word, to = word
+        out.append(to)
+    return "".join(reversed(out))
 
 
 def disguised(texts: list[bytes]) -> list[set[str]]:
-    """For each text the words that look disguised, lower-cased. Vectorised
-    over the bytes of all texts; only hits are handled one by one."""
+    """For each text the words and the runs of spaced letters that look
+    disguised, lower-cased; a letter's repeats beyond three are left out.
+    Vectorised over the bytes of all texts; only hits are handled one by one."""
     gap = b"\n" * 8
     joined = gap + gap.join(texts).lower() + gap
     a = np.frombuffer(joined, np.uint8)
@@ -144,7 +161,7 @@ def disguised(texts: list[bytes]) -> list[set[str]]:
     single = np.zeros(len(a), bool)
     single[1:-1] = (letter | sign)[1:-1] & _GAP[a[2:]] & _GAP[a[:-2]] | (letter | sign)[1:-1] & ~_WORDY[a[2:]] & ~_WORDY[a[:-2]]
     gaps = _GAP[a]
-    spread = np.flatnonzero(single[:-6] & single[2:-4] & single[4:-2] & single[6:] & gaps[1:-5] & gaps[3:-3] & gaps[5:-1])
+    spread = np.flatnonzero(single[:-2] & single[2:] & gaps[1:-1])
     starts = np.cumsum([len(gap)] + [len(t) + len(gap) for t in texts])
     found: list[set[str]] = [set() for _ in texts]
     done = -1
@@ -157,8 +174,8 @@ def disguised(texts: list[bytes]) -> list[set[str]]:
         while _WORDY[joined[e]]:
             e += 1
         done = e
-        if 3 <= e - s <= LONGEST:
-            found[int(np.searchsorted(starts, s, "right")) - 1].add(joined[s:e].decode())
+        if e - s >= 3:
+            found[int(np.searchsorted(starts, s, "right")) - 1].add(_REPEATS.sub(rb"\1\1\1", joined[s:e]).decode())
     done = -1
     for i in spread.tolist():
         if i < done:
@@ -168,8 +185,9 @@ def disguised(texts: list[bytes]) -> list[set[str]]:
             e += 2
         e += bool(single[e])
         done = e
-        if e - i <= 2 * LONGEST:
-            found[int(np.searchsorted(starts, i, "right")) - 1].add(joined[i:e].decode().rstrip(" .-_*"))
+        run = joined[i:e].decode().rstrip(" .-_*")
+        if len(run) >= 7 or any(map(str.isalpha, run)):  # a few figures are no word
+            found[int(np.searchsorted(starts, i, "right")) - 1].add(run)
     return found
 
 
@@ -178,19 +196,26 @@ class Restorer:
     costs: np.ndarray
     kept: dict[str, str] = field(default_factory=dict)
 
-    def restore(self, word: str) -> str:
-        if word not in self.kept:
-            if len(self.kept) > 200_000:
-                self.kept.clear()
-            self.kept[word] = decode(word, self.costs)
-        return self.kept[word]
+    def restore(self, word: str) -> set[str]:
+        """The words behind a disguised one; spaced letters are read as one
+        word and as several."""
+        got = self.kept.get(word)
+        if got is None:
+            got = {decode(word, self.costs)}
+            if any(c in " .-_" for c in word):
+                got.update(decode(word, self.costs, True).split())
+            if len(word) <= LONGEST:
+                if len(self.kept) > 200_000:
+                    self.kept.clear()
+                self.kept[word] = got
+        return got
 
     def features(self, texts: list[bytes]) -> Iterator[set[bytes]]:
         """The terms of each text: its words, the restored ones and their
         beginnings (with a mark in front)."""
         for t, hidden in zip(texts, disguised(texts), strict=True):
             words = set(t.translate(FOLD).split())
-            words.update(self.restore(w).encode() for w in hidden)
+            words.update(x.encode() for w in hidden for x in self.restore(w))
             starts: set[bytes] = set()
             for k in BEGINNINGS:
                 starts |= {b"^" + w[:k] for w in words if len(w) > k}

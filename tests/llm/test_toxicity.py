@@ -30,6 +30,15 @@ def test_restores(costs, seen, word):
     assert toxicity.decode(seen, costs) == word
 
 
+def test_restores_at_any_length(costs):
+    read = lambda text: {w for f in toxicity.Restorer(costs).features([text.encode()]) for w in f}
+    assert b"stupid" in read("so st" + "u" * 90 + "pid")
+    assert b"idiot" in read("x, " + "Y o u a r e a n i d i o t " * 1)
+    assert {b"you", b"are"} & read("x, " + "y o u a r e a n i d i o t " * 40) and b"idiot" in read("x, " + "y o u a r e a n i d i o t " * 40)
+    assert b"ass" in read("an a s s, he") and b"scum" in read("s c u m")
+    assert b"moron" in read("m0r" + "o" * 30 + "n") and toxicity.disguised([b"in 1 3 5 rows"]) == [set()]
+
+
 @pytest.mark.parametrize("seen", ["a1b", "m00n", "t3$t", "s.c.m", "baad"])
 def test_viterbi_is_the_best_path(costs, seen):
     spaced = "." in seen
