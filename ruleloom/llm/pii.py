@@ -8,18 +8,22 @@ lie inside a run), which gives the same leftmost matches as the plain form and
 doesn't slow down on long runs. Offsets come from the lengths of the pieces
 between the matches, in code points.
 
-The method: the values found are the protected entities. A term in the context
-of an entity (``CONTEXT`` characters on either side) discloses it by
+The method: the protected entities are the values found and what several
+values share: an email's domain, an ip's network (two numbers), a card's issuer
+(six digits), a phone's area (four digits). A term discloses an entity by
 
     PMI(term; entity) / IC(entity) = log(n_te N / (n_t n_e)) / log(N / n_e),
 
-with n counted over all documents: 1 means that who sees the term knows the
-entity. Terms that stand with an entity in ``SUPPORT`` different texts or more
-(copies are one text) and reach ``THRESHOLD`` are spans of kind ``term`` where
-they stand in that entity's context, and are generalised like the rest.
+with n counted over all documents, whole: 1 means that who sees the term knows
+the entity. Terms that stand in documents with a value in ``SUPPORT`` different
+texts or more (copies are one text; ``SHARED_SUPPORT`` for what values share,
+which meets more terms by chance) and reach ``THRESHOLD`` are spans of kind
+``term`` wherever they stand in documents with that entity, and are generalised
+like the rest.
 
-Counting runs as partial aggregates; one entity or term in a third of all
-texts is one row a task. Texts are never shuffled to find spans.
+Entities that recur are counted first, and only their texts are joined to
+terms. Counting runs as partial aggregates; one entity or term in a third of
+all texts is one row a task. Texts are never shuffled to find spans.
 
 Defined cases: a null text counts as empty and has no spans; rows with equal
 id and text get equal answers; a null id is kept; an empty table gives no rows.
@@ -36,6 +40,7 @@ from ruleloom.llm.common import written
 
 CONTEXT = 64
 SUPPORT = 3
+SHARED_SUPPORT = 6
 THRESHOLD = 0.7
 KINDS = ("email", "ip", "card", "phone", "term")
 
@@ -46,6 +51,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{4,}+(?![\p{N}@_%+-]|\.[\p{L}\p{N}])"
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
+PLACES = "array<struct<start:int,end:int>>"
 
 
 def located(text: Column, pattern: str, maybe: Column) -> Column:
@@ -102,45 +108,58 @@ def lowered(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def context_terms(text: Column, span: Column) -> Column:
-    """Whole words near a span, as structs (start, end, value)."""
-    left_at = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    left = F.substring(text, left_at + 1, span["start"] - left_at)
-    # a word that the window cuts is blanked; lengths stay
-    cut = F.when(left_at > 0, F.length(F.regexp_extract(left, r"^\S*", 0))).otherwise(0)
-    left = F.concat(F.repeat(F.lit(" "), cut), F.substring(left, cut + 1, F.lit(CONTEXT)))
-    right = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
-    right = F.when(F.length(right) == CONTEXT, F.regexp_replace(right, r"\S*+$", "")).otherwise(right)
+def term_words(text: Column) -> Column:
+    """Terms of a whole text, as structs (gap, t): the term and the length of
+    what stands before it; a last one has no term."""
+    low = lowered(text)
+    return F.zip_with(F.split(low, TERM, -1), F.regexp_extract_all(low, F.lit(TERM), F.lit(0)), lambda g, t: F.struct(F.length(g).alias("gap"), t.alias("t")))
 
-    def moved(part: Column, by: Column) -> Column:
-        terms = located(lowered(part), TERM, F.lit(True))
-        return F.transform(terms, lambda t: F.struct((t["start"] + by).alias("start"), (t["end"] + by).alias("end"), t["value"].alias("value")))
 
-    # the neighbours of the cut are the entity itself, so edges there are word edges
-    return F.concat(moved(F.concat(left, F.lit(" ")), left_at), moved(F.concat(F.lit(" "), right), span["end"] - 1))
+def term_spans(words: Column, wanted: Column) -> Column:
+    """Where the ``wanted`` terms stand."""
+
+    def step(state: Column, x: Column) -> Column:
+        start = state["at"] + x["gap"]
+        end = start + F.coalesce(F.length(x["t"]), F.lit(0))
+        row = F.struct(start.alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.when(F.array_contains(wanted, F.coalesce(x["t"], F.lit(""))), F.concat(state["out"], F.array(row))).otherwise(state["out"]).alias("out"))
+
+    return F.aggregate(words, F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out")), step, lambda s: s["out"])
+
+
+def shared_part(kind: str, value: Column) -> Column:
+    """What several values of a kind have in common."""
+    figures = F.regexp_replace(value, "[^0-9]", "")
+    return {"email": lowered(F.substring_index(value, "@", -1)), "ip": F.substring_index(value, ".", 2), "card": F.substring(figures, 1, 6), "phone": F.substring(figures, 1, 4)}[kind]
 
 
 def base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One small row for each document: id, hash of its text, base spans by
-    kind and the terms in the contexts of each entity."""
+    kind, its entities and, where it has any, its terms."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     spans = base_spans(F.col("text"))
     rows = rows.select("doc_id", "text", F.xxhash64("text").alias("h"), *(c.alias(k) for k, c in spans.items()))
-    entity = lambda kind: lambda s: F.struct(F.xxhash64(F.lit(kind), s["value"]).alias("e"), s["start"].alias("start"), s["end"].alias("end"))
-    entities = F.concat(*(F.transform(F.col(k), entity(k)) for k in spans))
-    near = F.flatten(F.transform(entities, lambda s: F.transform(context_terms(F.col("text"), s), lambda t: F.struct(s["e"].alias("e"), t["value"].alias("t"), t["start"].alias("start"), t["end"].alias("end")))))
+
+    def entities(kind: str) -> list[Column]:
+        value = lambda x: F.struct(F.xxhash64(F.lit(kind), x["value"]).alias("e"), F.lit(SUPPORT).alias("least"))
+        shared = lambda x: F.struct(F.xxhash64(F.lit(f"{kind} shared"), shared_part(kind, x["value"])).alias("e"), F.lit(SHARED_SUPPORT).alias("least"))
+        return [F.transform(F.col(kind), value), F.transform(F.col(kind), shared)]
+
+    found = F.array_distinct(F.concat(*(c for k in spans for c in entities(k))))
+    words = F.when(F.greatest(*(F.size(k) for k in spans)) > 0, term_words(F.col("text")))
     slim = lambda k: F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k)
-    return rows.select("doc_id", "h", *(slim(k) for k in spans), F.array_distinct(F.transform(entities, lambda s: s["e"])).alias("entities"), near.alias("near"))
+    return rows.select("doc_id", "h", *(slim(k) for k in spans), found.alias("entities"), words.alias("words"))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
     """(e, t): terms that disclose an entity, from counts over the corpus."""
     with_entities = found.where(F.size("entities") > 0)
-    near = F.array_distinct(F.transform("near", lambda p: F.struct(p["e"].alias("e"), p["t"].alias("t"))))
-    pairs = with_entities.select("h", F.explode(near).alias("p")).groupBy("p.e", "p.t", "h").agg(F.count(F.lit(1)).alias("n"))
-    together = pairs.groupBy("e", "t").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= SUPPORT)
-    n_e = with_entities.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
+    held = with_entities.select("h", F.explode("entities").alias("x")).groupBy("h", "x.e", "x.least").agg(F.count(F.lit(1)).alias("n"))
+    n_e = held.groupBy("e", "least").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= F.col("least")).select("e", "n_e")
+    held = held.join(n_e.select("e"), "e")
+    terms = with_entities.select("h", F.explode(F.array_distinct(F.transform("words", lambda x: x["t"]))).alias("t")).where("t is not null").distinct()
+    together = held.join(terms, "h").groupBy("e", "least", "t").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= F.col("least"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(lowered(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("t"))
     n_t = words.groupBy("t").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") >= SUPPORT)
     n = F.lit(found.count()).cast("double")
@@ -154,11 +173,11 @@ def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, h, email, ip, card, phone, term): every span by kind."""
     found = written(base(docs, id_col, text_col), "pii-base")
     disclosed = disclosing(docs, found, text_col)
-    near = found.where(F.size("near") > 0).select("doc_id", "h", F.explode("near").alias("x")).select("doc_id", "h", "x.*")
-    terms = near.join(disclosed, ["e", "t"]).groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("term"))
-    terms = terms.select(F.col("doc_id").alias("of"), F.col("h").alias("of_h"), "term")
-    joined = found.join(terms, (found["h"] == terms["of_h"]) & found["doc_id"].eqNullSafe(terms["of"]), "left")
-    return joined.select("doc_id", "h", *KINDS[:4], F.coalesce("term", F.array().cast("array<struct<start:int,end:int>>")).alias("term"))
+    wanted = found.where(F.size("entities") > 0).select("doc_id", "h", F.explode("entities.e").alias("e")).join(disclosed, "e").groupBy("doc_id", "h").agg(F.collect_set("t").alias("wanted"))
+    wanted = wanted.select(F.col("doc_id").alias("of"), F.col("h").alias("of_h"), "wanted")
+    joined = found.join(wanted, (found["h"] == wanted["of_h"]) & found["doc_id"].eqNullSafe(wanted["of"]), "left")
+    term = F.when(F.col("wanted").isNotNull(), term_spans(F.col("words"), F.col("wanted")))
+    return joined.select("doc_id", "h", *KINDS[:4], F.coalesce(term, F.array().cast(PLACES)).alias("term"))
 
 
 def listed(kinds: tuple[str, ...]) -> Column:

@@ -126,3 +126,16 @@ def test_sanitised_keeps_rows_and_columns(spark, docs_of, odd_rows):
     assert out.columns == docs.columns and out.count() == docs.count()
     assert {r.text for r in out.where("doc_id = 50").collect()} == {"ip <IP> card <CARD> <PHONE> é <EMAIL>."}
     assert {r.text for r in out.where("doc_id = 0").collect()} == {None}
+
+
+def test_terms_of_whole_documents(spark, docs_of):
+    """Far from the value, every occurrence, and for what values share."""
+    far = "filler words go here " * 10
+    texts = [f"Zeppelin {i} {far} ada@x.org {far} of the zeppelin" for i in range(4)]
+    texts += [f"harpoon {i} {far} user{i}@whale.org" for i in range(7)]
+    texts += [f"plain {i} {far} of nothing" for i in range(40)]
+    rows = pii.personal_data(docs_of(list(enumerate(texts)))).collect()
+    for r in rows:
+        t = texts[r.doc_id]
+        got = [(int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k == "term"]
+        assert got == [m.span() for m in re.finditer("zeppelin|harpoon", t.lower())], t
