@@ -4,14 +4,17 @@ The tokenizer cuts texts at white space before it merges, so ids of a text are
 the ids of its space-separated words in turn. Each Python worker keeps the ids
 of words it has met; the library encodes only what is new:
 
-* ASCII letters are lower-cased first, as the tokenizer would;
+* ASCII letters are lower-cased first, as the tokenizer would, but in texts
+  with combining marks, which it composes before;
 * numpy finds the words of many texts at once and hashes each (a polynomial of
   its bytes modulo 2**64, by prefix sums), looks the hashes up in an open-
   addressed table, and puts the ids together by one ragged gather;
-* a new word of letters and final punctuation is its letters and then its
-  marks, as the tokenizer cuts there as well; letters are encoded many in one
-  call and parted where an id closes a word. If the count differs, or for any
-  other word, the word is encoded on its own.
+* a new word of plain letters and final ASCII punctuation is its letters and
+  then its marks, as the tokenizer cuts there as well; letters are encoded many
+  in one call and parted where an id closes a word. If the count differs, or
+  for any other word, the word is encoded on its own. Plain letters (``PLAIN``)
+  stay letters, one for one, under the tokenizer's normaliser; others may turn
+  into a letter and a mark, which belongs to the punctuation.
 
 Words are told apart by 64-bit hashes and lengths; the table is emptied before
 words that it has no room for, and texts with too many words for one table are
@@ -38,6 +41,9 @@ CACHE_BYTES = 64
 CALL_WORDS = 1000
 #: Bytes of text handled in one turn.
 TURN_BYTES = 1 << 20
+#: Letters that stay letters when composed and lower-cased: Latin but U+0130,
+#: Greek, Cyrillic, kana, Han and Hangul syllables.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0391-\u03a1\u03a3-\u03c9\u0400-\u0481\u048a-\u052f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3]+")
 #: ASCII punctuation.
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
@@ -104,7 +110,7 @@ class WordEncoder:
         plain, marks, pieces = [], self.marks, self.pieces
         for i, word in enumerate(words):
             core = word.rstrip(MARKS)
-            if core.isalpha() or not core.isascii() and core.decode("utf-8", "replace").isalpha():
+            if core.isalpha() or not core.isascii() and PLAIN.fullmatch(core.decode("utf-8", "replace")):
                 mark = word[len(core) :]
                 if mark not in marks:
                     if len(marks) > CACHE_MARKS:
@@ -187,8 +193,8 @@ class WordEncoder:
         return [self._some([texts[0][:cut]])[0] + self._some([texts[0][cut:]])[0]]
 
     def _some(self, texts: list[bytes]) -> list[bytes]:
-        # a special token is matched before letters are lowered
-        joined = b" ".join([t if b"<|" in t else t.lower() for t in texts]).replace(b"\n", b" ") + b" "
+        # a special token is matched, and marks are composed, before letters are lowered
+        joined = b" ".join([t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts]).replace(b"\n", b" ") + b" "
         a = np.frombuffer(joined, np.uint8)
         inside = np.zeros(len(a) + 1, bool)
         np.not_equal(a, 32, out=inside[1:])

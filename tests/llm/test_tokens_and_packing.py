@@ -11,6 +11,7 @@ from ruleloom.llm.common import shared_path, table
 from ruleloom.llm.tokens import WordEncoder, default_path
 
 
+UNUSUAL = ["Kadıköy İ! done", "İ!", "J\u030c. \u0958?", "<|endoftext|> x"]
 TOKENIZER = Tokenizer.from_file(default_path())
 
 
@@ -27,6 +28,27 @@ def test_word_cache_is_exact(spark, small):
         assert np.frombuffer(g, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+ODD_LETTERS = ["İ", "I\u0307", "J\u030c", "H\u0331", "T\u0308", "W\u030a", "ǰ", "ẞ", "Σ", "ς", "ŉ", "Ǆ", "\u0958", "\ufb1d", "ﬁ", "K", "Å", "क्ष", "한", "\u1112\u1161", "字", "𐐀", "ª", "Ⅷ", "²", "x\u0301", "'s", "'T"]
+
+
+def test_random_unicode_is_exact():
+    """Words of any code points and final marks have the library's ids."""
+    own, rng = WordEncoder(default_path()), np.random.default_rng(3)
+    points = np.concatenate([np.arange(0x20, 0x3000), rng.integers(0x3000, 0x20000, 4000)])
+    anything = [c for c in map(chr, points) if not 0xD800 <= ord(c) < 0xE000]
+    marks, plain = list(".,!?;:'\"-)(_@#"), list("abcdefgXYZéüÖñß")
+    kinds = [anything, ODD_LETTERS, marks, plain, [" "]]
+    texts = ["İ!", "Kadıköy İ! done", "J\u030c. j\u030c", "<|endoftext|>İ?"]
+    for _ in range(100_000):
+        pick = rng.choice(5, int(rng.integers(1, 9)), p=[0.25, 0.2, 0.2, 0.25, 0.1])
+        texts.append("".join(kinds[k][int(rng.integers(len(kinds[k])))] for k in pick))
+    for s in range(0, len(texts), 5000):
+        some = texts[s : s + 5000]
+        got = own.encode([t.encode() for t in some])
+        for t, g, w in zip(some, got, TOKENIZER.encode_batch(some, add_special_tokens=False), strict=True):
+            assert np.frombuffer(g, "<u4").tolist() == w.ids, ascii(t)
+
+
 def test_table_smaller_than_a_text(monkeypatch):
     monkeypatch.setattr(tokens, "SLOTS", 64)
     own, texts = WordEncoder(default_path()), [" ".join(f"w{i:x}q, Ab{i}\n" for i in range(n)) for n in (3, 500, 0, 40)]
@@ -39,8 +61,8 @@ def test_table_smaller_than_a_text(monkeypatch):
     assert own.encode([long, b"y"])[0] == array("I", TOKENIZER.encode(long.decode(), add_special_tokens=False).ids).tobytes()
 
 
-def test_orc_round_trip(spark, small):
-    docs = table(spark, small, "documents")
+def test_orc_round_trip(spark, small, docs_of):
+    docs = table(spark, small, "documents").select("doc_id", "text").union(docs_of(list(enumerate(UNUSUAL, 10**9))).select("doc_id", "text"))
     got = {r.doc_id: r for r in token_orc.round_trip(docs).collect()}
     start = 0
     for r in docs.orderBy("doc_id").collect():
@@ -84,8 +106,8 @@ def check_packed(rows, texts, most=4096):
     return len(by_seq), sum(r.length for r in rows)
 
 
-def test_packing(spark, small):
-    docs = table(spark, small, "documents")
+def test_packing(spark, small, docs_of):
+    docs = table(spark, small, "documents").select("doc_id", "text").union(docs_of(list(enumerate(UNUSUAL, 10**9))).select("doc_id", "text"))
     n, total = check_packed(packing.pack(docs).collect(), {r.doc_id: r.text for r in docs.collect()})
     assert n <= -(-total // 4096) + 1
 
