@@ -6,6 +6,9 @@ the letters it is used to replace, or for nothing. Viterbi decoding under a
 character trigram model picks the most likely restored word. The trigram model
 counts every text of the corpus; counts are summed in Spark, so what is
 gathered follows the corpus and the driver gets at most ``SYMBOLS**3`` numbers.
+Texts are read as one byte a character: Latin-1 letters are themselves, and in
+a disguise may stand for the letter without the accent; letters of other
+alphabets are all ``OTHER``.
 
 Texts are then scored by a logistic model over their restored words and the
 beginnings of their words. It is fitted on at most ``SAMPLE_ROWS`` labelled rows
@@ -19,7 +22,9 @@ every score is 0; a document with several labels trains once for each.
 
 from __future__ import annotations
 
+import codecs
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -48,7 +53,11 @@ LONGEST = 80
 
 #: Trigram symbols: 0 the edge of a word, 1-26 letters, 27 any other letter.
 SYMBOLS = 28
-SYMBOL = np.array([(b | 32) - 96 if b < 128 and chr(b | 32).isalpha() else 27 if b >= 128 else 0 for b in range(256)], np.int32)
+SYMBOL = np.array([0 if not chr(b).isalpha() else (b | 32) - 96 if b < 128 else 27 for b in range(256)], np.int32)
+#: The byte of a letter beyond Latin-1.
+OTHER = b"\xff"
+#: Letters without their accents.
+PLAIN = {c: d for c in map(chr, range(0xC0, 0x100)) if (d := unicodedata.normalize("NFD", c)[0]) != c and d.isascii()}
 
 #: Letters that signs and digits are used to replace.
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "*": "aeiou"}
@@ -57,18 +66,30 @@ SWAP, DROP_SIGN, DROP_REPEAT, DROP_DOUBLE, DROP_GAP = 1.0, 9.0, 0.2, 7.0, 0.1
 #: A gap between spaced letters that is the edge of a word.
 EDGE = 0.1
 
-_LETTER = np.array([b < 128 and chr(b | 32).isalpha() for b in range(256)])
+_LETTER = SYMBOL > 0
 _SIGN = np.array([chr(b) in STANDS_FOR for b in range(256)])
 _GAP = np.array([chr(b) in " .-_*" for b in range(256)])
 _WORDY = _LETTER | _SIGN
-_REPEATS = re.compile(rb"([a-z])\1{3,}")
+_REPEATS = re.compile(rb"([a-z\xe0-\xff])\1{3,}")
+
+
+def _beyond(error: UnicodeEncodeError) -> tuple[bytes, int]:
+    return b"".join(OTHER if c.isalpha() else b"\0" for c in error.object[error.start : error.end]), error.end
+
+
+codecs.register_error("ruleloom-beyond", _beyond)
+
+
+def one_byte(text: bytes) -> bytes:
+    """A text with one byte a character, in lower case."""
+    return text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode("latin-1", "ruleloom-beyond")
 
 
 # The language model
 
 
 def trigram_counts(texts: list[bytes]) -> np.ndarray:
-    s = SYMBOL[np.frombuffer(b"  " + b"  ".join(texts) + b"  ", np.uint8)]
+    s = SYMBOL[np.frombuffer(b"  " + b"  ".join(map(one_byte, texts)) + b"  ", np.uint8)]
     key = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
     return np.bincount(key, minlength=SYMBOLS**3)
 
@@ -115,11 +136,11 @@ def options(text: str, i: int, spaced: bool) -> list[tuple[str, float]]:
         while j + 1 < len(text) and text[j + 1] == c:
             j += 1
         return [(c, 0.0 if j - i + run <= 2 else 1.0), ("", DROP_DOUBLE if j - i + run <= 2 else DROP_REPEAT)]
-    return [(c, 0.0)]
+    return [(c, 0.0), (PLAIN[c], SWAP)] if c in PLAIN else [(c, 0.0)]
 
 
 def decode(text: str, costs: np.ndarray, edges: bool = False) -> str:
-    """The most likely word behind a disguised one (lower case ASCII); with
+    """The most likely word behind a disguised one (lower case Latin-1); with
     ``edges``, the most likely words, as a gap may also be an edge. The states
     are the last two letters, so the time follows the length."""
     spaced = any(c in " .-_" for c in text)
@@ -130,7 +151,7 @@ def decode(text: str, costs: np.ndarray, edges: bool = False) -> str:
         if edges and _GAP[ord(c)]:
             steps = [*steps, (" ", EDGE)]
         for to, price in steps:
-            s = 0 if to in ("", " ") else ord(to) - 96
+            s = int(SYMBOL[ord(to)]) if to else 0
             for (a, b), (cost, word) in states.items():
                 if to == " " and not b:  # no empty words
                     continue
@@ -152,12 +173,13 @@ def disguised(texts: list[bytes]) -> list[set[str]]:
     disguised, lower-cased; a letter's repeats beyond three are left out.
     Vectorised over the bytes of all texts; only hits are handled one by one."""
     gap = b"\n" * 8
-    joined = gap + gap.join(texts).lower() + gap
+    texts = [*map(one_byte, texts)]
+    joined = gap + gap.join(texts) + gap
     a = np.frombuffer(joined, np.uint8)
     letter, sign = _LETTER[a], _SIGN[a]
     swapped = np.flatnonzero(sign[:-1] & letter[1:])
     ends = np.flatnonzero(sign[1:-1] & letter[:-2] & (a[2:] <= 32) & (a[1:-1] != 33) & (a[1:-1] != 42)) + 1
-    repeated = np.flatnonzero(letter[2:] & (a[2:] == a[1:-1]) & (a[1:-1] == a[:-2]))
+    repeated = np.flatnonzero(letter[2:] & (a[2:] != OTHER[0]) & (a[2:] == a[1:-1]) & (a[1:-1] == a[:-2]))
     single = np.zeros(len(a), bool)
     single[1:-1] = (letter | sign)[1:-1] & _GAP[a[2:]] & _GAP[a[:-2]] | (letter | sign)[1:-1] & ~_WORDY[a[2:]] & ~_WORDY[a[:-2]]
     gaps = _GAP[a]
@@ -175,7 +197,7 @@ def disguised(texts: list[bytes]) -> list[set[str]]:
             e += 1
         done = e
         if e - s >= 3:
-            found[int(np.searchsorted(starts, s, "right")) - 1].add(_REPEATS.sub(rb"\1\1\1", joined[s:e]).decode())
+            found[int(np.searchsorted(starts, s, "right")) - 1].add(_REPEATS.sub(rb"\1\1\1", joined[s:e]).decode("latin-1"))
     done = -1
     for i in spread.tolist():
         if i < done:
@@ -185,7 +207,7 @@ def disguised(texts: list[bytes]) -> list[set[str]]:
             e += 2
         e += bool(single[e])
         done = e
-        run = joined[i:e].decode().rstrip(" .-_*")
+        run = joined[i:e].decode("latin-1").rstrip(" .-_*")
         if len(run) >= 7 or any(map(str.isalpha, run)):  # a few figures are no word
             found[int(np.searchsorted(starts, i, "right")) - 1].add(run)
     return found
@@ -294,6 +316,7 @@ def fit(rows: DataFrame, costs: np.ndarray, rounds: int = 400, ridge: float = 2e
 
     # rows with equal terms are one, so copies cost nothing here
     got = arrow_map(rows, run, "toxic int, terms array<int>").withColumn("terms", F.array_sort("terms")).groupBy("terms").agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("n")).collect()
+    got.sort(key=lambda r: r[0])  # the same sums in the same order, however rows were dealt
     p, n = (np.array([r[k] for r in got], float) for k in (1, 2))
     if not got or p.sum() in (0, n.sum()):
         return Model(costs, {}, None)
