@@ -6,14 +6,16 @@ column, so no text is decoded unless an operator needs code points.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ruleloom.shared import shared_path, written
 
-__all__ = ["arrow_map", "byte_texts", "shared_path", "shuffle_partitions", "table", "written"]
+__all__ = ["arrow_map", "byte_texts", "dealt_join", "free_name", "shared_path", "shuffle_partitions", "table", "written"]
 
 #: Rows and bytes of one Arrow batch; texts may be long, so batches stay small.
 BATCH_ROWS = 2000
@@ -39,3 +41,31 @@ def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as keep it apart from
+    ``columns``, whose case Spark doesn't tell."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def dealt_join(rows: DataFrame, facts: DataFrame, key: str, by: list[str], total: int | None = None, how: str = "inner") -> DataFrame:
+    """``rows`` joined on ``key`` with ``facts``, which has one row for a key
+    and ``n``, the number of rows that have it; ``total`` is their number.
+
+    A key with more than its share of rows (``total`` over the number of
+    partitions) is dealt over several tasks by a hash of ``by``, and its facts
+    are repeated for each. There are fewer such keys than partitions, so they
+    are broadcast."""
+    parts = shuffle_partitions(rows.sparkSession)
+    if total is None:
+        total = facts.agg(F.sum("n")).first()[0] or 0
+    share = max(1, math.ceil(total / parts))
+    many = F.ceil(F.col("n") / share).cast("int")
+    hot = facts.where(F.col("n") > share).select(F.col(key).alias("hot_key"), many.alias("hot_parts"))
+    left = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left").withColumn("part", F.pmod(F.xxhash64(*by), F.coalesce("hot_parts", F.lit(1))).cast("int")).drop("hot_key", "hot_parts")
+    right = facts.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(many, F.lit(1)) - 1))).drop("n")
+    return left.join(right, [key, "part"], how).drop("part")

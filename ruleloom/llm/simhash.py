@@ -7,25 +7,29 @@ differ in at most ``radius`` bits; the result is connected components.
 How it runs:
 
 * ``fingerprints`` maps Arrow batches; one text at a time is in memory.
-* Equal fingerprints become one row (fingerprint, smallest id) before anything
-  else, so a group of copies of any size costs one row. Near copies share a
-  bounded ball of fingerprints, so they cost at most that many.
-* ``build_tree`` fits a vantage-point tree on a bounded sample (``SAMPLE``
-  fingerprints). Every fingerprint is then routed through it: a node sends a
-  point within its radius to the inner side and one outside to the outer side.
-  By the triangle inequality two points within ``radius`` have distances to
-  the vantage point that differ by at most ``radius``, so a point whose
-  distance exceeds the node's by at most ``radius`` also queries the inner
-  side. Each close pair therefore meets in some shard: the join is exact.
+* Equal fingerprints become one row (fingerprint, smallest id, count) before
+  anything else, so a group of copies of any size costs one row. Near copies
+  share a bounded ball of fingerprints, so they cost at most that many.
+* ``build_tree`` fits a vantage-point tree on a bounded sample (``PER_SHARD``
+  fingerprints for a shard, at most ``SAMPLE``). Every fingerprint is then
+  routed through it: a node sends a point within its radius to the inner side
+  and one outside to the outer side. By the triangle inequality two points
+  within ``radius`` have distances to the vantage point that differ by at most
+  ``radius``, so a point whose distance exceeds the node's by at most
+  ``radius`` also queries the inner side. Each close pair therefore meets in
+  some shard: the join is exact. Shards grow in number with the fingerprints.
 * Each shard goes on splitting by vantage points until leaves are small, then
-  compares in blocks and gives only a spanning star of each local component.
-* Components over the stars come from minimum labels with pointer jumping;
-  each round is written to the shared folder.
-
-Defined cases: null or empty texts (and texts of white space only) have the
-fingerprint zero and link like any other; an empty table gives an empty table;
-rows with equal ids share one component; a null id takes part and is reported
-with its component, and counts as smallest only where all ids are null.
+  compares in blocks, and gives each local component as a binary tree: a
+  fingerprint has at most three links in a shard, so there are no hubs.
+* Components over these links come from minimum labels with pointer jumping;
+  each round is written to the shared folder. Where many rows have one label,
+  fingerprint or component, the joins deal them over several tasks.
+
+Fingerprints are what links; ids are looked up at the end. Defined cases: null
+or empty texts (and texts of white space only) have the fingerprint zero and
+link like any other; an empty table gives an empty table; rows with equal ids
+share one component; a row with a null id links like any other, and its id
+counts as smallest only where all ids of a component are null.
 """
 
 from __future__ import annotations
@@ -39,13 +43,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import arrow_map, byte_texts, written
+from ruleloom.llm.common import arrow_map, byte_texts, dealt_join, shuffle_partitions, written
 
-#: Most fingerprints that the driver's tree is fitted on.
-SAMPLE = 65_536
-#: Fingerprints a shard should hold, and the deepest driver tree (4096 shards).
-SHARD = 4096
-MAX_DEPTH = 12
+#: Fingerprints of the sample that the driver's tree is fitted on: for each
+#: shard, and at most.
+PER_SHARD = 64
+SAMPLE = 1 << 20
+#: Fingerprints of a shard: more shards than this small aren't made for the
+#: sake of parallel tasks, and fewer than this large aren't made at all.
+SMALL_SHARD = 4096
+LARGE_SHARD = 1 << 16
 #: Fingerprints that a leaf compares directly, and rows of one block.
 LEAF = 384
 BLOCK = 1024
@@ -186,62 +193,79 @@ def components(points: np.ndarray, radius: int, seed: int = 11) -> np.ndarray:
     return find(np.arange(len(points)))
 
 
-def near_links(reps: DataFrame, radius: int, count: int | None = None) -> DataFrame:
-    """(a, b): stars whose components are those of all links between the
-    fingerprints of ``reps`` (fp, rep; fp distinct). At most one row for each
-    fingerprint and shard it visits."""
-    n = reps.count() if count is None else count
-    every = max(1, math.ceil(n / SAMPLE))
-    sample = [r[0] for r in reps.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp").collect()] if n > SHARD else []
-    depth = min(MAX_DEPTH, max(0, math.ceil(math.log(max(n, 1) / SHARD, 1.6))))
-    tree = build_tree(np.array(sorted(sample), np.int64).view(np.uint64), depth, radius)
+def shard_count(n: int, partitions: int) -> int:
+    """Shards that ``n`` fingerprints should make, before overlap."""
+    return max(1, math.ceil(n / LARGE_SHARD), min(math.ceil(n / SMALL_SHARD), 4 * partitions))
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def near_links(reps: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links between fingerprints that have the same components as all
+    links between the distinct fingerprints ``fp`` of ``reps``. At most one row
+    for each fingerprint and shard it visits."""
+    n = reps.count()
+    shards = shard_count(n, shuffle_partitions(reps.sparkSession))
+    tree: list = []
+    if shards > 1:
+        every = max(1, math.ceil(n / min(SAMPLE, PER_SHARD * shards)))
+        sample = reps.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp").toArrow().column("fp").to_numpy()
+        tree = build_tree(np.sort(sample).view(np.uint64), math.ceil(math.log(shards, 1.6)), radius)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, rep = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            fp = b.column(0).to_numpy()
             for shard, at in route(tree, fp.view(np.uint64), radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int32)), pa.array(fp[at]), pa.array(rep[at])], ["shard", "fp", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int32)), pa.array(fp[at])], ["shard", "fp"])
 
-    def stars(group: pa.Table) -> pa.Table:
-        fp, rep = (group.column(i).to_numpy() for i in ("fp", "rep"))
-        order = np.argsort(rep, kind="stable")
-        fp, rep = fp[order], rep[order]
+    def linked(group: pa.Table) -> pa.Table:
+        fp = np.sort(group.column("fp").to_numpy())
         root = components(fp.view(np.uint64), radius)
-        own = root != np.arange(len(root))
-        return pa.table({"a": pa.array(rep[own]), "b": pa.array(rep[root[own]])})
+        order = np.argsort(root, kind="stable")
+        new = np.append(True, root[order][1:] != root[order][:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(fp)), 0))
+        child = np.flatnonzero(~new)
+        parent = first[child] + (child - first[child] - 1) // 2
+        return pa.table({"a": pa.array(fp[order[child]]), "b": pa.array(fp[order[parent]])})
 
-    routed = arrow_map(reps.select("fp", "rep"), shards, "shard int, fp long, rep long")
-    return routed.groupBy("shard").applyInArrow(stars, "a long, b long")
+    return arrow_map(reps.select("fp"), deal, "shard int, fp long").groupBy("shard").applyInArrow(linked, "a long, b long")
 
 
 def component_labels(links: DataFrame, name: str = "labels") -> DataFrame:
     """(node, label): the smallest node reachable, for each node of ``links``
-    (a, b). Minimum labels spread over links, then labels jump to the labels
-    of their labels; ends when a round changes nothing."""
+    (a, b), where no node should have very many links. Minimum labels spread
+    over links, then labels jump to the labels of their labels; ends when a
+    round changes nothing."""
     links = links.where("a <> b").distinct()
     both = written(links.union(links.select("b", "a")).toDF("u", "v"), f"{name}-links")
     labels = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).toDF("node", "label"), f"{name}-0")
-    turn = 0
+    total, turn = labels.count(), 0
     while True:
         turn += 1
         heard = both.join(labels.toDF("v", "heard"), "v").groupBy("u").agg(F.min("heard").alias("heard"))
         met = labels.join(heard, labels["node"] == heard["u"]).select("node", F.least("label", "heard").alias("now"), F.col("label").alias("was"))
-        up = met.select(F.col("node").alias("up"), F.col("now").alias("next"))
-        new = met.join(up, met["now"] == up["up"], "left").select("node", F.least("now", F.coalesce("next", "now")).alias("label"), "was")
-        new = written(new, f"{name}-{turn}")
+        met = written(met, f"{name}-met-{turn}")
+        sizes = met.groupBy("now").agg(F.count(F.lit(1)).alias("n"))
+        moved = met.where("now < node").select(F.col("node").alias("now"), F.col("now").alias("next"))  # labels that have another label
+        jumped = dealt_join(met, sizes.join(moved, "now"), "now", ["node"], total, "left")
+        new = written(jumped.select("node", F.least("now", F.coalesce("next", "now")).alias("label"), "was"), f"{name}-{turn}")
         if new.where("label <> was").isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")
 
 
+def linked(fps: DataFrame, radius: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of ``fps`` (doc_id, fp)."""
+    reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "simhash-reps")
+    labels = component_labels(near_links(reps, radius), "simhash")
+    members = written(reps.join(labels, reps["fp"] == labels["node"], "left").select("fp", "rep", F.col("n").alias("rows"), F.coalesce("label", "fp").alias("label")), "simhash-members")
+    ids = members.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = written(dealt_join(members, ids, "label", ["fp"], members.count()).select("fp", F.col("rows").alias("n"), "component_id"), "simhash-named")
+    return dealt_join(fps, named, "fp", ["doc_id"])
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint hex, component_id) for every row of ``docs``."""
     fps = written(fingerprints(docs, words, seed, id_col, text_col), "simhash-fps")
-    reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
-    known = reps.where(F.col("rep").isNotNull())
-    labels = component_labels(near_links(known, radius), "simhash")
-    named = reps.join(labels, reps["rep"] == labels["node"], "left").select(F.col("fp").alias("of"), F.coalesce("label", "rep").alias("component_id"))
-    return fps.join(named, fps["fp"] == named["of"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return linked(fps, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = 2, words: int = 3, seed: int = 42) -> DataFrame:

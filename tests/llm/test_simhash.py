@@ -87,3 +87,40 @@ def test_odd_rows(spark, docs_of, odd_rows):
     kept = simhash.keep_first(docs_of(odd_rows))
     assert kept.columns == docs_of(odd_rows).columns
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect() if r.doc_id is not None) == [(False, i) for i in (0, 3, 4, 5, 7, 8, 8)]
+
+
+def test_null_id_bridges(spark):
+    """1 and 2 are four bits apart; what only null ids have links them."""
+    fps = spark.createDataFrame([(1, 0b0011), (None, 0), (None, 0), (2, 0b1100), (None, 0b1111 << 40), (9, -1)], "doc_id long, fp long")
+    got = Counter((r.doc_id, r.component_id) for r in simhash.linked(fps).collect())
+    assert got == {(1, 1): 1, (2, 1): 1, (None, 1): 2, (None, None): 1, (9, 9): 1}
+
+
+def test_hot_groups_and_shards(spark, monkeypatch):
+    """A third of all rows in one fingerprint, a third in one component, and
+    more shards than partitions: rows equal brute force."""
+    monkeypatch.setattr(simhash, "SMALL_SHARD", 16)
+    rng = np.random.default_rng(8)
+    ball = np.unique(np.uint64(5) ^ (np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64)))
+    far = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    points = [5] * 400 + ball.tolist() + far.tolist() + (far[:50] ^ np.uint64(6)).tolist()
+    rows = [(i, int(np.uint64(p).view(np.int64))) for i, p in enumerate(rng.permutation(points).tolist())]
+    fps = spark.createDataFrame(rows, "doc_id long, fp long").repartition(7)
+    values = np.unique(np.array([f for _, f in rows], np.int64))
+    label, least = brute_labels(values.view(np.uint64)), {}
+    of = dict(zip(values.tolist(), label.tolist(), strict=True))
+    for i, f in rows:
+        least[of[f]] = min(least.get(of[f], i), i)
+    assert {r.doc_id: (r.fp, r.component_id) for r in simhash.linked(fps).collect()} == {i: (f, least[of[f]]) for i, f in rows}
+    links = simhash.near_links(fps.select("fp").distinct(), 2).collect()
+    most = Counter(x for r in links for x in r)
+    assert max(most.values()) < 100  # no hub has a link to each of its component
+
+
+def test_clashing_columns(spark, docs_of, odd_rows):
+    docs = docs_of(odd_rows)
+    for name in ("fp", "label", "component_id", "part", "n", "now", "rep", "shard"):
+        docs = docs.withColumn(name, simhash.F.lit("mine"))
+    assert simhash.near_duplicates(docs).count() == len(odd_rows)
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns and {r.component_id for r in kept.collect()} == {"mine"}
