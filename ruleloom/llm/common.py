@@ -33,9 +33,13 @@ def byte_texts(column: pa.Array) -> list[bytes]:
 
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows and about
-    ``BATCH_BYTES`` bytes."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    ``BATCH_BYTES`` bytes. Spark reads these limits from the session when a
+    plan runs, so they are set there, but only where the session has Spark's
+    own values: what a user chose stays."""
+    conf = df.sparkSession.conf
+    for name, own, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if conf.get(f"spark.sql.execution.arrow.{name}") == own:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(value))
     return df.mapInArrow(function, schema)
 
 

@@ -36,7 +36,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import written
+from ruleloom.llm.common import free_name, written
 
 CONTEXT = 64
 SUPPORT = 3
@@ -204,9 +204,11 @@ def sanitised(docs: DataFrame) -> DataFrame:
     def tagged(kind: str) -> Column:
         return F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"<{kind.upper()}>").alias("tag")))
 
-    marks = spans.select(F.col("doc_id").alias("mark_id"), F.col("h").alias("mark_h"), F.array_sort(F.concat(*map(tagged, KINDS))).alias("marks")).where(F.size("marks") > 0).distinct()
-    h = F.xxhash64(F.coalesce("text", F.lit("")))
-    joined = docs.join(marks, (h == F.col("mark_h")) & F.col("doc_id").eqNullSafe(F.col("mark_id")), "left")
+    name = free_name(docs.columns, "marks")
+    mark = F.struct("doc_id", "h", F.array_sort(F.concat(*map(tagged, KINDS))).alias("spans"))
+    marks = spans.select(mark.alias(name)).where(F.size(F.col(name)["spans"]) > 0).distinct()
+    found, h = F.col(name), F.xxhash64(F.coalesce("text", F.lit("")))
+    joined = docs.join(marks, (h == found["h"]) & F.col("doc_id").eqNullSafe(found["doc_id"]), "left")
 
     def step(s: Column, m: Column) -> Column:
         inside = m["start"] < s["at"]
@@ -214,8 +216,8 @@ def sanitised(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(s["at"], m["end"]).alias("at"), out.alias("out"))
 
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.when(F.col("marks").isNull(), F.col("text")).otherwise(F.aggregate("marks", first, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))))
+    text = F.when(found.isNull(), F.col("text")).otherwise(F.aggregate(found["spans"], first, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("marks").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(found.isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

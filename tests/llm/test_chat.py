@@ -1,6 +1,7 @@
 import hashlib
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from ruleloom.llm import chat
@@ -21,13 +22,17 @@ def spans(turns):
     return ",".join(out)
 
 
-def brute(rows, same_group):
+def brute(rows):
+    """Pairs and their digests from plain rows, without the operator."""
     convs = defaultdict(list)
     for c, n, r, t in rows:
         convs[c].append((n, r or "", t or ""))
     convs = {c: [(r, t) for _, r, t in sorted(v)] for c, v in convs.items()}
+    firsts = defaultdict(list)
+    for c in sorted(convs):
+        firsts[convs[c][0]].append(c)
     out = []
-    for two in same_group(convs):
+    for two in (ids[k : k + 2] for ids in firsts.values() for k in range(0, len(ids), 2)):
         two = sorted(two, key=lambda c: (-sum(len(t) for r, t in convs[c] if r == "assistant"), c))
         a = convs[two[0]]
         if len(two) == 2:
@@ -47,20 +52,34 @@ def test_whole_table(spark):
     turns = table(spark, "/root/testdata/sf0.01", "conversations")
     rows = [tuple(r) for r in turns.select("conv_id", "turn", "role", "text").collect()]
     got = sorted(tuple(r) for r in chat.digests(turns).collect())
-    paired = [{a, b} for a, b, *_ in got]
-    assert sorted(x for p in paired for x in p) == sorted({r[0] for r in rows})
-    firsts = {r[0]: r[2:] for r in sorted(rows, reverse=True, key=lambda r: (r[0], -r[1]))}
-    assert got == brute(rows, lambda convs: paired) and firsts
-    assert any(n > 0 for _, _, n, *_ in got)
-
-
-def test_groups_pair_up(spark):
-    rows = [(c, 0, "user", "hello") for c in range(301)] + [(c, 1, "assistant", "a" * (c % 5)) for c in range(301)]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = chat.digests(turns).collect()
-    assert len(got) == 151 and sum(r.chosen_id == r.rejected_id for r in got) == 1
-    assert sorted(x for r in got for x in {r.chosen_id, r.rejected_id}) == list(range(301))
-    assert sorted(map(tuple, got)) == brute(rows, lambda convs: [{r.chosen_id, r.rejected_id} for r in got])
+    assert got == brute(rows) and any(n > 0 for _, _, n, *_ in got)
+
+
+@pytest.mark.parametrize("partitions", ["3", "40"])
+def test_hot_first_turn(spark, partitions):
+    """Pairs go by id, however many tasks a first turn is dealt over."""
+    rows = [(c, 0, "user", "hello" if c % 5 else f"other {c % 3}") for c in range(301)] + [(c, 1, "assistant", "a" * (c % 5)) for c in range(301)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+        got = sorted(map(tuple, chat.digests(turns).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute(rows) and len(got) < 160
+
+
+def test_formatted_keeps_other_columns(spark):
+    schema = "chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>, prompt string, _prompt string, n_prompt_turns int, chosen_spans string, held_0 string, prompt_turns string"
+    (row,) = chat.formatted(spark.createDataFrame([([("user", "a"), ("assistant", "b")], [("user", "a")], "p", "q", 9, "r", "s", "t")], schema)).collect()
+    assert (row["__prompt"], row["_prompt"], row["_n_prompt_turns"], row["_chosen_spans"], row["held_0"], row["prompt_turns"]) == ("p", "q", 9, "r", "s", "t")
+    assert (row.prompt, row.n_prompt_turns, row.chosen_completion, row.rejected_completion) == (render([("user", "a")]), 1, render([("assistant", "b")]), "")
+
+
+def test_turns_without_a_conversation(spark):
+    rows = [(None, 0, "user", "x"), (None, 0, "user", "x"), (None, 1, "user", "x"), (None, 0, "assistant", "y"), (4, 0, "user", "x")]
+    got = chat.preferences(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == 3 and sorted(str(r.chosen_id) for r in got) == ["4", "None", "None"]
 
 
 def test_odd_rows(spark):

@@ -115,7 +115,7 @@ def test_terms_that_disclose(spark, docs_of):
     for i, t in enumerate(texts):
         got = {t[int(a) : int(b)] for k, a, b in (s.split(":") for s in rows[i].spans.split(",") if s) if k == "term"}
         assert got == {w for (_, v), w in want if v in t}, t
-    clean = {r.doc_id: r for r in pii.sanitised(docs.withColumn("h", pii.F.lit(1)).withColumn("marks", pii.F.lit("x")).drop("marks")).collect()}
+    clean = {r.doc_id: r for r in pii.sanitised(docs).collect()}
     assert "<EMAIL>" in clean[0].text and "<TERM>" in clean[0].text and "ada@" not in clean[0].text
     assert clean[5].text == texts[5] and clean[0].n_chars == len(clean[0].text)
 
@@ -139,3 +139,15 @@ def test_terms_of_whole_documents(spark, docs_of):
         t = texts[r.doc_id]
         got = [(int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k == "term"]
         assert got == [m.span() for m in re.finditer("zeppelin|harpoon", t.lower())], t
+
+
+def test_clashing_columns(spark, docs_of):
+    names = ["marks", "Marks_", "mark_id", "mark_h", "h", "of", "of_h", "wanted", "words", "entities", "email", "ip", "card", "phone", "term", "e", "t", "spans"]
+    docs = docs_of([(1, "write to ada@x.org, 10.0.0.1"), (2, None), (None, "x@y.zz")])
+    for name in names:
+        docs = docs.withColumn(name, pii.F.lit("mine"))
+    rows = {r.doc_id: r for r in pii.sanitised(docs).collect()}
+    assert pii.sanitised(docs).columns == docs.columns
+    assert rows[1].text == "write to <EMAIL>, <IP>" and rows[1].n_chars == 22 and rows[2].text is None and rows[None].text == "<EMAIL>"
+    assert all(r[n] == "mine" for r in rows.values() for n in names)
+    assert {r.n_email for r in pii.personal_data(docs).collect()} == {0, 1}
