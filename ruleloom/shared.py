@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,18 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. Only where the session names
-    none (one machine) a temporary folder is made and set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir`` of the session. Where neither the session nor
+    its context names a folder, one is made on a local master; on a cluster it
+    has to be named, as executors couldn't read each other's disks."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="ruleloom-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+    return str(spark.sparkContext.getCheckpointDir()).rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
