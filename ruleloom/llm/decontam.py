@@ -6,30 +6,41 @@ longest suffix that occurs in some item. Where that length reaches the limit,
 the words of the match are hit. An item of fewer words than the limit counts
 where it occurs whole.
 
-The automaton is broadcast: it has at most twice as many states as the
-benchmark has words, and ``MAX_WORDS`` bounds those (it raises beyond, naming
-the bound). Documents never shuffle; each is one row in and one row out.
+An automaton is broadcast, so its size is bounded: items are cut on executors
+into pieces that overlap by a window less a word, so that every window is whole
+in one of them, and pieces are dealt into as many groups as it takes for none
+to have more than ``MAX_WORDS`` words. Each group is one pass over the documents, and
+what the passes find in a document is put together. Nearly all benchmarks are
+one group, and then documents never shuffle: each is one row in, one row out.
+
+An automaton takes about 500 bytes a word while it is built, on the driver, and
+about 50 bytes a word as arrays on executors (``MAX_WORDS``: 130 and 12 MB).
 
 Words: ASCII letters are lower-cased; a word is a run of letters, digits and
 characters beyond ASCII. Defined cases: a null text has no words; an item
 without words has no window; equal items are each reported; a null item_id is
-matched but not listed; an empty benchmark hits nothing.
+matched but not listed; an empty benchmark hits nothing; rows with equal ids
+and texts get equal answers.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ruleloom.llm.common import arrow_map, byte_texts
+from ruleloom.llm.common import arrow_map, byte_texts, free_name, written
 
-#: Most words of all test items together.
-MAX_WORDS = 5_000_000
+#: Most words of the items of one automaton, and of one piece of an item.
+MAX_WORDS = 250_000
+PIECE_WORDS = 2_000
 
 #: Lower-cases ASCII letters and turns every other ASCII byte, digits apart, into a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -46,15 +57,11 @@ class Automaton:
         self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
-        self.items: list[set[int]] = [set()]  # items with the state's strings
-        self.whole: list[list[tuple[int, int]]] = [[]]  # (length, item): short items that are one
 
     def _state(self, length: int, link: int, after: dict[int, int]) -> int:
         self.next.append(after)
         self.link.append(link)
         self.length.append(length)
-        self.items.append(set())
-        self.whole.append([])
         return len(self.next) - 1
 
     def _clone(self, p: int, c: int, q: int) -> int:
@@ -83,45 +90,71 @@ class Automaton:
         for c in words:
             last = self._extend(last, c)
 
-    def mark(self, item: int, words: list[int], limit: int) -> None:
-        """Note the item at the states of its windows; call after all adds."""
+
+class Matcher:
+    """The automaton of a group of items (name, text), as sorted arrays, ready
+    to stream documents. Names may be null."""
+
+    def __init__(self, items: list[tuple[str | None, bytes]], limit: int = 10):
+        self.limit = limit
+        self.number: dict[bytes, int] = {}
+        self.names = [i for i, _ in items]
+        auto = Automaton()
+        sequences = [[self.number.setdefault(w, len(self.number) + 1) for w in words_of(t)] for _, t in items]
+        for s in sequences:
+            auto.add(s)
+        #: A run of known words shorter than this holds no window.
+        self.least = min([limit, *(len(s) for s in sequences if s)])
+        pairs = {(a << 32) | b for s in sequences for a, b in zip(s, s[1:], strict=False)}
+        self.pairs = np.array(sorted(pairs), np.int64)
+        # (state, word) and where it leads
+        size = sum(map(len, auto.next))
+        keys = np.fromiter(((s << 32) | c for s, after in enumerate(auto.next) for c in after), np.int64, size)
+        to = np.fromiter((t for after in auto.next for t in after.values()), np.int32, size)
+        order = np.argsort(keys)
+        self.keys, self.to = array("q", keys[order].tobytes()), array("i", to[order].tobytes())
+        self.link, self.length = array("i", auto.link), array("i", auto.length)
+        del auto
+        #: Items with a state's windows, as (state, item) in order; and short
+        #: items by the state that is the whole of one: (length, item).
+        marks: set[int] = set()
+        self.whole: dict[int, list[tuple[int, int]]] = {}
+        for k, s in enumerate(sequences):
+            self._mark(k, s, marks)
+        self.marks = array("q", sorted(marks))
+
+    def _mark(self, item: int, words: list[int], marks: set[int]) -> None:
         state = length = 0
         for i, c in enumerate(words, 1):
             state, length = self.step(state, length, c)
-            if i >= limit:
-                s = state
-                while self.length[self.link[s]] >= limit:
-                    s = self.link[s]
-                self.items[s].add(item)
-        if 0 < len(words) < limit:
-            while self.length[self.link[state]] >= len(words):
-                state = self.link[state]
-            self.whole[state].append((len(words), item))
+            if i >= self.limit:
+                marks.add((self.shortest(state, self.limit) << 32) | item)
+        if 0 < len(words) < self.limit:
+            self.whole.setdefault(self.shortest(state, len(words)), []).append((len(words), item))
+
+    def shortest(self, state: int, least: int) -> int:
+        """The state of the state's suffix of ``least`` words."""
+        while self.length[self.link[state]] >= least:
+            state = self.link[state]
+        return state
 
     def step(self, state: int, length: int, c: int) -> tuple[int, int]:
-        while state and c not in self.next[state]:
+        keys = self.keys
+        while True:
+            key = (state << 32) | c
+            i = bisect_left(keys, key)
+            if i < len(keys) and keys[i] == key:
+                return self.to[i], length + 1
+            if not state:
+                return 0, 0
             state = self.link[state]
             length = self.length[state]
-        after = self.next[state].get(c)
-        return (after, length + 1) if after is not None else (0, 0)
 
-
-class Matcher:
-    """The automaton of a benchmark, ready to stream documents."""
-
-    def __init__(self, items: list[tuple[int, bytes]], limit: int = 10):
-        self.limit = limit
-        self.number: dict[bytes, int] = {}
-        self.auto = Automaton()
-        sequences = [(i, [self.number.setdefault(w, len(self.number) + 1) for w in words_of(t)]) for i, t in items]
-        for _, s in sequences:
-            self.auto.add(s)
-        for i, s in sequences:
-            self.auto.mark(i, s, limit)
-        #: A run of known words shorter than this holds no window.
-        self.least = min([limit, *(len(s) for _, s in sequences if s)])
-        pairs = {(a << 32) | b for _, s in sequences for a, b in zip(s, s[1:], strict=False)}
-        self.pairs = np.array(sorted(pairs), np.int64)
+    def items_at(self, state: int) -> Iterator[int]:
+        i = bisect_left(self.marks, state << 32)
+        while i < len(self.marks) and self.marks[i] >> 32 == state:
+            yield self.marks[i] & 0xFFFFFFFF
+            i += 1
 
     def _runs(self, ids: np.ndarray) -> list[tuple[int, int]]:
         """Stretches of known words, neighbours in some item each with the
@@ -142,13 +175,14 @@ class Matcher:
         long = ends - starts >= self.least
         return sorted(zip(starts[long].tolist(), ends[long].tolist(), strict=True))
 
-    def match(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[int]]:
-        """Words of the text, hit spans of words [start, end), items found."""
+    def match(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str | None]]:
+        """Words of the text, hit spans of words [start, end), names of items
+        found."""
         words = words_of(text)
         if len(words) < self.least or not self.number:
             return len(words), [], set()
         ids = np.fromiter(map(self.number.get, words, repeat(0)), np.int64, len(words))
-        auto, limit = self.auto, self.limit
+        limit = self.limit
         spans: list[list[int]] = []
         found: set[int] = set()
         seen: set[int] = set()
@@ -161,56 +195,154 @@ class Matcher:
         for start, end in self._runs(ids) if len(ids) > 1 else [(0, 1)] * int(ids[0] > 0):
             state = length = 0
             for i, c in enumerate(ids[start:end].tolist(), start + 1):
-                state, length = auto.step(state, length, c)
+                state, length = self.step(state, length, c)
                 if length >= limit:
                     hit(i - length, i)
-                    s = state
-                    while auto.length[auto.link[s]] >= limit:
-                        s = auto.link[s]
+                    s = self.shortest(state, limit)
                     if s not in seen:
                         seen.add(s)
-                        found |= auto.items[s]
+                        found.update(self.items_at(s))
                 if self.least < limit:
                     s = state
                     while s > 0:
-                        for size, item in auto.whole[s]:
+                        for size, item in self.whole.get(s, ()):
                             if size <= length:
                                 hit(i - size, i)
                                 found.add(item)
-                        s = auto.link[s]
-        return len(words), [(a, b) for a, b in spans], found
+                        s = self.link[s]
+        return len(words), [(a, b) for a, b in spans], {self.names[k] for k in found}
 
 
-def matcher(benchmark: DataFrame, limit: int = 10) -> Matcher:
-    """Build from ``benchmark`` (item_id, text), whose size is checked first."""
-    from pyspark.sql import functions as F
+def pieces(benchmark: DataFrame, limit: int) -> DataFrame:
+    """(item, words, n): items cut into pieces that overlap so that each window
+    is whole in one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for item, t in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), strict=True):
+                w = words_of(t)
+                size = max(PIECE_WORDS, 2 * limit)
+                for s in range(0, max(len(w) - limit + 1, min(len(w), 1)), size - limit + 1):
+                    rows.append((item, b" ".join(w[s : s + size]), len(w[s : s + size])))
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.binary(), pa.int64()), strict=True)], ["item", "words", "n"])
+
+    return arrow_map(benchmark.select(F.col("item_id").cast("string"), "text"), run, "item string, words binary, n long")
+
+
+def matchers(benchmark: DataFrame, limit: int, most: int) -> Iterator[Matcher]:
+    """One matcher for each group of pieces; no group has more than ``most``
+    words, but for a single piece that has."""
+    cut = written(pieces(benchmark, limit), "benchmark-pieces")
+    total, largest = cut.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if total <= most:
+        yield Matcher([(r.item, bytes(r.words)) for r in cut.select("item", "words").collect()], limit)
+        return
+    groups = -(-2 * total // most)
+    group = F.pmod(F.xxhash64("item", "words"), F.lit(groups))
+    while cut.groupBy(group.alias("g")).agg(F.sum("n").alias("n")).where(F.col("n") > max(most, largest)).take(1) and groups < total:
+        groups *= 2
+        group = F.pmod(F.xxhash64("item", "words"), F.lit(groups))
+    for g in range(groups):
+        rows = cut.where(group == g).select("item", "words").distinct().collect()
+        if rows:
+            yield Matcher([(r.item, bytes(r.words)) for r in rows], limit)
+
+
+def one_or_more(benchmark: DataFrame, limit: int, most: int) -> tuple[Matcher | None, Iterator[Matcher]]:
+    """The matcher, if there is one alone, or all, of which the driver should
+    hold one at a time."""
+    found = matchers(benchmark, limit, most)
+    first, second = next(found), next(found, None)
+    return (first, iter(())) if second is None else (None, chain((first, second), found))
+
+
+def spans_text(spans: list[tuple[int, int]]) -> str:
+    return ",".join(f"{s}:{e}" for s, e in spans)
+
+
+def spans_of(texts: list[str]) -> list[tuple[int, int]]:
+    """Spans of several passes, put together."""
+    out: list[list[int]] = []
+    for s, e in sorted(tuple(map(int, x.split(":"))) for t in texts for x in t.split(",") if x):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return [(s, e) for s, e in out]
+
+
+def hits(docs: DataFrame, found: Iterator[Matcher]) -> DataFrame:
+    """(doc_id, h, passes): of each document (and hash of its text) that is
+    hit, the spans and items of every pass."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    schema, every = "doc_id long, h long, spans string, items array<string>", None
+    for m in found:
+        held = docs.sparkSession.sparkContext.broadcast(m)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            match = held.value.match
+            for b in batches:
+                out = []
+                for doc, t, h in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), b.column(2).to_pylist(), strict=True):
+                    _, spans, names = match(t)
+                    if spans:
+                        out.append((doc, h, spans_text(spans), sorted(i for i in names if i is not None)))
+                columns = list(zip(*out, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string())), strict=True)], ["doc_id", "h", "spans", "items"])
+
+        one = written(arrow_map(rows, run, schema), "benchmark-hits")
+        every = one if every is None else every.unionByName(one)
+        held.unpersist()
+    return every.groupBy("doc_id", "h").agg(F.collect_set(F.struct("spans", "items")).alias("passes"))
+
+
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string"
+_RESULT = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string())
 
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size > 2 * MAX_WORDS:
-        raise ValueError(f"benchmark texts of {size} bytes may exceed {MAX_WORDS} words; deal them over several passes")
-    rows = benchmark.select("item_id", "text").collect()
-    return Matcher([(r[0], (r[1] or "").encode()) for r in rows], limit)
 
+def answer(doc: int | None, n: int, spans: list[tuple[int, int]], names: set[str | None]) -> tuple:
+    known = sorted(i for i in names if i is not None)
+    n_hit = sum(e - s for s, e in spans)
+    return doc, n, n_hit, len(known), hashlib.sha256(",".join(known).encode()).hexdigest(), n_hit > 0, spans_text(spans)
 
-def contamination(docs: DataFrame, benchmark: DataFrame, limit: int = 10) -> DataFrame:
+
+def answers(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _RESULT, strict=True)], [c.split()[0] for c in RESULT.split(", ")])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, limit: int = 10, most: int = MAX_WORDS) -> DataFrame:
     """For each document its words, hit words and the items whose windows
     occur in it; ``spans`` has the hit spans as word positions."""
-    held = docs.sparkSession.sparkContext.broadcast(matcher(benchmark, limit))
+    only, found = one_or_more(benchmark, limit, most)
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    if only:
+        held = docs.sparkSession.sparkContext.broadcast(only)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = held.value.match
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            match = held.value.match
+            for b in batches:
+                yield answers([answer(doc, *match(t)) for doc, t in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), strict=True)])
+
+        return arrow_map(rows.select("doc_id", "text"), run, RESULT)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for t in byte_texts(b.column(1)):
-                n, spans, found = match(t)
-                names = ",".join(sorted(str(i) for i in found if i is not None))
-                n_hit = sum(e - s for s, e in spans)
-                rows.append((n, n_hit, len({i for i in found if i is not None}), hashlib.sha256(names.encode()).hexdigest(), n_hit > 0, ",".join(f"{s}:{e}" for s, e in spans)))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(words_of(t)) for t in byte_texts(b.column(1))], pa.int64()), b.column(2)], ["doc_id", "n", "h"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc, n, passes in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                out.append(answer(doc, n, spans_of([p["spans"] for p in passes or ()]), {i for p in passes or () for i in p["items"]}))
+            yield answers(out)
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string")
+    hit = hits(docs, found).select(F.struct("doc_id", "h").alias("at"), "passes")
+    sizes = arrow_map(rows, count, "doc_id long, n long, h long")
+    joined = sizes.join(hit, sizes["doc_id"].eqNullSafe(hit["at.doc_id"]) & (sizes["h"] == hit["at.h"]), "left")
+    return arrow_map(joined.select("doc_id", "n", "passes"), together, RESULT)
 
 
 def removed(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -227,29 +359,39 @@ def removed(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, limit: int = 10, coverage: float = 0.5) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, limit: int = 10, coverage: float = 0.5, most: int = MAX_WORDS) -> DataFrame:
     """``docs`` without hit spans; a document of which more than ``coverage``
     of the words are hit goes. Other columns stay; n_chars follows the text
     where the table has it."""
-    held = docs.sparkSession.sparkContext.broadcast(matcher(benchmark, limit))
-    names = docs.columns
+    (only, found), names = one_or_more(benchmark, limit, most), docs.columns
     at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    held = docs.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = held.value.match
+        one: Matcher | None = held.value
         for b in batches:
             keep, texts, sizes = [], b.column(at).to_pylist(), b.column(count).to_pylist() if count is not None else []
+            passes = [] if one else b.column(len(names)).to_pylist()
             for i, t in enumerate(byte_texts(b.column(at))):
-                n, spans, _ = match(t)
+                if one:
+                    n, spans, _ = one.match(t)
+                else:
+                    spans = spans_of([p["spans"] for p in passes[i] or ()])
+                    n = len(words_of(t)) if spans else 0
                 if spans:
                     texts[i] = removed(t, spans).decode("utf-8", "replace")
                     if count is not None:
                         sizes[i] = len(texts[i])
                 keep.append(sum(e - s for s, e in spans) <= coverage * n)
-            columns = list(b.columns)
+            columns = list(b.columns[: len(names)])
             columns[at] = pa.array(texts, b.column(at).type)
             if count is not None:
                 columns[count] = pa.array(sizes, b.column(count).type)
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
 
-    return arrow_map(docs, run, docs.schema)
+    if only:
+        return arrow_map(docs, run, docs.schema)
+    own = free_name(names, "hits")
+    hit = hits(docs, found).select(F.struct("doc_id", "h", "passes").alias(own))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)["doc_id"]) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(own)["h"])
+    return arrow_map(docs.join(hit, same, "left").select(*(F.col(f"`{c}`") for c in names), F.col(own)["passes"].alias(own)), run, docs.schema)

@@ -80,3 +80,18 @@ def test_odd_rows_and_removal(spark, docs_of, odd_rows):
     assert texts[20] == "Intro!  outro" and 22 not in texts and texts[0] is None
     assert decontam.contamination(docs, bench.where("1 = 0")).where("contaminated").count() == 0
     assert decontam.contamination(docs_of([]), bench).count() == 0
+
+
+def test_many_groups_give_equal_rows(spark, small, docs_of, odd_rows, monkeypatch):
+    """A benchmark far beyond an automaton's bound, items beyond a piece."""
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 30)
+    bench = table(spark, small, "benchmark").select("item_id", "text")
+    long = " ".join(r.text for r in bench.orderBy("item_id").limit(5).collect())
+    bench = bench.union(spark.createDataFrame([(10**6, long), (10**6 + 1, "word"), (None, long[:200]), (10**6 + 2, None)], "item_id long, text string"))
+    docs = table(spark, small, "documents").select("doc_id", "text").union(docs_of([*odd_rows, (5, "same text here")]).select("doc_id", "text"))
+    docs = docs.withColumn("hits", decontam.F.lit("mine")).withColumn("h", decontam.F.lit(1)).withColumn("passes", decontam.F.lit("mine"))
+    assert len(list(decontam.matchers(bench, 10, 10**9))) == 1 and len(list(decontam.matchers(bench, 10, 1500))) > 2
+    one, many = (sorted(map(str, decontam.contamination(docs, bench, most=m).collect())) for m in (10**9, 1500))
+    assert one == many and any("contaminated=True" in r for r in one)
+    one, many = (sorted(map(str, decontam.decontaminated(docs, bench, most=m).collect())) for m in (10**9, 1500))
+    assert one == many and len(one) < docs.count()
