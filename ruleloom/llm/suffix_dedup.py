@@ -15,7 +15,9 @@ A byte goes if a string of ``length`` bytes covers it that also starts earlier
    bytes that all windows of the block cover. Windows whose hash occurs once
    can't repeat, and are cut off first. What is left is sorted by
    ``suffix_array``: neighbours in that order with the same first ``length``
-   bytes are one string, and all of its starts but the earliest repeat.
+   bytes are one string, and all of its starts but the earliest repeat. Groups
+   too large for a task are cut into narrower blocks and sorted again; the
+   narrowest hold a single window, so that all of a group are equal.
 4. Intervals are put together for each document.
 
 ``suffix_array`` is the linear construction by groups: suffixes are grouped by
@@ -25,6 +27,12 @@ grouped by Lyndon prefix. A second pass follows previous-smaller pointers from
 the smallest suffix on and emits every group in order. Nothing is renamed and
 nothing recurses.
 
+Anchors that very many places have (a line or a period that fills the corpus)
+are looked for in a sample of documents. They are dealt by their contexts, not
+by their hash alone, and cut into narrow blocks at once; and what repeats within
+a batch is settled there. Which anchors the sample finds changes where rows go,
+not what is found.
+
 Defined cases: a null text counts as empty; a null id comes before all others;
 rows with equal ids are ordered by a hash of their texts; rows with equal ids
 and texts are one document, and each row gets its result; an empty table gives
@@ -33,24 +41,28 @@ no rows.
 
 from __future__ import annotations
 
-import gc
 import hashlib
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import arrow_map, byte_texts, shuffle_partitions, written
+from ruleloom.llm.common import arrow_map, byte_texts, dealt_join, shuffle_partitions, written
 
 LENGTH = 100
 SEED = 32
-#: Blocks that the windows around an anchor are split into, and the most
-#: contexts of one core that a task holds.
+#: Blocks that the windows around an anchor are split into, those of common
+#: anchors and of groups that are too large for a task, and the most contexts
+#: of one core that a task holds.
 BLOCKS = 2
+NARROW = 12
 GROUP = 20_000
+#: Documents of the sample that common anchors are looked for in.
+SAMPLE = 20_000
 #: Bytes of text whose anchors are found at once.
 PIECE = 1 << 20
 
@@ -298,8 +310,20 @@ def unions(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
     return doc[at], start[at], (reach - shift)[last]
 
 
-def anchor_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """Anchors with their contexts' hashes. Where a context repeats within a
+def common_anchors(docs: DataFrame, length: int, seed: int) -> np.ndarray:
+    """Hashes of anchors that have more than a quarter of a task's share of the
+    rows, in a sample of documents: fewer than four times the partitions."""
+    every = max(1, math.ceil(docs.count() / SAMPLE))
+    some = anchor_rows(docs.where(F.pmod(F.xxhash64("doc", "th"), F.lit(every)) == 0), length, seed, np.zeros(0, np.int64)).where("not again")
+    counts = some.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    least = max(16, total / (4 * shuffle_partitions(docs.sparkSession)))
+    return np.array(sorted(r[0] for r in counts.where(F.col("n") > least).select("h").collect()), np.int64)
+
+
+def anchor_rows(docs: DataFrame, length: int, seed: int, common: np.ndarray) -> DataFrame:
+    """Anchors with their contexts' hashes, and a number to deal them by: the
+    anchor's hash, with the context's for ``common`` ones. Where a context repeats within a
     batch, all but its first occurrence are settled here: they go on as merged
     intervals (``again``, with a hash of their own to deal them by), so a line
     or a period that fills the corpus isn't one hot key. Repeated rows are one
@@ -324,20 +348,22 @@ def anchor_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
             again, first = again & ~same, ~again
             at, start, end = unions(t[again], np.maximum(pos - reach, 0)[again], stop[again])
             deal = (at.astype(np.uint64) * np.uint64(_BASE) + start.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
-            columns = [np.concatenate(x) for x in ((h[first], deal), (c[first], np.zeros_like(deal)), (doc[t[first]], doc[at]), (th[t[first]], th[at]), (pos[first], start), (stop[first], end), (np.zeros(int(first.sum()), bool), np.ones(len(at), bool)))]
-            columns[4:6] = [x.astype(np.int32) for x in columns[4:6]]
+            own = np.where(np.isin(h, common), (h.view(np.uint64) ^ c.view(np.uint64) * np.uint64(_BASE)).view(np.int64), h)
+            columns = [np.concatenate(x) for x in ((own[first], deal), (h[first], deal), (c[first], np.zeros_like(deal)), (doc[t[first]], doc[at]), (th[t[first]], th[at]), (pos[first], start), (stop[first], end), (np.zeros(int(first.sum()), bool), np.ones(len(at), bool)))]
+            columns[5:7] = [x.astype(np.int32) for x in columns[5:7]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
     return arrow_map(docs, run, ANCHORS)
 
 
-ANCHORS = "h long, c long, doc long, th int, pos int, stop int, again boolean"
+ANCHORS = "deal long, h long, c long, doc long, th int, pos int, stop int, again boolean"
 FOUND = "kind int, h long, doc long, th int, start int, stop int"
 
 
-def sift(rows: DataFrame, reach: int) -> DataFrame:
+def sift(rows: DataFrame, reach: int, common: np.ndarray) -> DataFrame:
     """Of sorted anchors: intervals that repeat whole (kind 0), and the first
-    of each context where an anchor has several (kind 1). An anchor that
+    of each context where an anchor has several or is ``common`` (kind 1), as
+    contexts of common anchors are in many places. An anchor that
     repeated rows give again is dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,8 +377,8 @@ def sift(rows: DataFrame, reach: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            settled = b.column(6).to_numpy(zero_copy_only=False)
-            h, c, doc, th, pos, stop = (b.column(i).to_numpy() for i in range(6))
+            settled = b.column(7).to_numpy(zero_copy_only=False)
+            h, c, doc, th, pos, stop = (b.column(i).to_numpy() for i in range(1, 7))
             if settled.any():
                 yield out(0, [x[settled] for x in (h, doc, th, pos, stop)])
                 h, c, doc, th, pos, stop = (x[~settled] for x in (h, c, doc, th, pos, stop))
@@ -383,10 +409,11 @@ def sift(rows: DataFrame, reach: int) -> DataFrame:
                 yield out(1, waits)
                 waits = None
             follows = np.append(first[1:], True)  # is the next context another anchor's
-            keep = at[~(first & follows)]
+            many = np.isin(h[at], common)
+            keep = at[~(first & follows) | many]
             if len(keep):
                 yield out(1, [x[keep] for x in (h, doc, th, pos, stop)])
-            if first[-1]:
+            if first[-1] and not many[-1]:
                 waits = [x[at[-1:]] for x in (h, doc, th, pos, stop)]
             else:
                 waits = None
@@ -394,13 +421,13 @@ def sift(rows: DataFrame, reach: int) -> DataFrame:
     return arrow_map(rows, run, FOUND)
 
 
-def cores(a: int, t: bytes, length: int, seed: int) -> Iterator[tuple[int, int, int, bytes]]:
+def cores(a: int, t: bytes, length: int, seed: int, blocks: int) -> Iterator[tuple[int, int, int, bytes]]:
     """The windows of a context, split by where they start before the anchor:
     (block, first start, last start, the bytes that all windows of the block
     cover). Equal windows are in equal blocks and have equal cores."""
     reach = length - seed
-    wide = (reach + 1 + BLOCKS - 1) // BLOCKS
-    for j in range(BLOCKS):
+    wide = (reach + 1 + blocks - 1) // blocks
+    for j in range(-(-(reach + 1) // wide)):
         begin = a - reach + j * wide
         end = min(begin + wide - 1, a)
         low, high = max(begin, 0), min(end, len(t) - length)
@@ -472,9 +499,10 @@ def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], [c.split()[0] for c in CONTEXT.split(", ")])
 
 
-def solved(contexts: DataFrame, solve: Callable[[list, int, int], list], length: int, seed: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """Intervals that repeat within the groups of ``k``, and the contexts of
-    groups of more than ``GROUP`` rows, which aren't held in one task."""
+def solved(contexts: DataFrame, length: int, seed: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Intervals that repeat within the groups of ``k``, with those that are
+    settled already (of no context), and the contexts of groups of more than
+    ``GROUP`` rows, which aren't held in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -483,87 +511,115 @@ def solved(contexts: DataFrame, solve: Callable[[list, int, int], list], length:
 
         def close() -> None:
             if len(held) > 1 and not large:
-                out.extend((None, d, t, s, e, None) for d, t, s, e in merged(solve([r[1:] for r in held], length, seed)))
+                out.extend((None, d, t, s, e, None) for d, t, s, e in merged(same_core([r[1:] for r in held], length, seed)))
             held.clear()
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if row[0] != at:
-                    close()
-                    at, large = row[0], False
-                held.append(row)
-                if large or len(held) > GROUP:
-                    large = True
-                    out.extend(held)
-                    held.clear()
+                if row[5] is None:
+                    out.append((None, *row[1:]))
+                else:
+                    if row[0] != at:
+                        close()
+                        at, large = row[0], False
+                    held.append(row)
+                    if large or len(held) > GROUP:
+                        large = True
+                        out.extend(held)
+                        held.clear()
                 if len(out) > 5000:
                     yield _context_batch(out)
                     out.clear()
         close()
         yield _context_batch(out)
 
-    spark = contexts.sparkSession
-    dealt = contexts.repartition(shuffle_partitions(spark), "k").sortWithinPartitions("k", "doc", "th", "start")
+    dealt = contexts.repartition(shuffle_partitions(contexts.sparkSession), "k").sortWithinPartitions("k", "doc", "th", "start")
     found = written(arrow_map(dealt, run, CONTEXT), name)
-    release(spark)
     return found.where("context is null").select("doc", "th", "start", F.col("at").alias("stop")), found.where("context is not null")
 
 
-def meet(docs: DataFrame, firsts: DataFrame, length: int, seed: int) -> DataFrame:
+def blocks_of(rows: Iterator[tuple[int, int, int, int, bytes, int]], length: int, seed: int) -> list[tuple]:
+    """Rows of ``CONTEXT`` for the blocks of contexts (doc, th, start, place of
+    the anchor, bytes, number of blocks). Where a block repeats among them, the
+    later one is settled: a row without a context, its end in place of the
+    anchor's, and a number of its own to deal it by."""
+    out: list[tuple] = []
+    first: dict[tuple[int, int, bytes], tuple[int, int, int]] = {}
+    digest = xxhash.xxh64_intdigest
+    for doc, th, start, a, t, blocks in rows:
+        for j, low, high, core in cores(a, t, length, seed, blocks):
+            key = (digest(core, 1000 * blocks + j) - (1 << 63), a - low, t[low : high + length])
+            where = (doc, th, start + low)
+            other = first.setdefault(key, where)
+            if other != where:
+                first[key], late = min(other, where), max(other, where)
+                out.append((digest(b"%d %d" % (late[0], late[2])) - (1 << 63), *late, late[2] + len(key[2]), None))
+    out += [(k, *where, at, t) for (k, at, t), where in first.items()]
+    return out
+
+
+def windows_apart(contexts: DataFrame, length: int, name: str) -> DataFrame:
+    """Intervals that repeat among contexts whose groups are too large even in
+    narrow blocks: each window is a group of equal strings, of which partial
+    aggregates keep the earliest."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for _, doc, th, start, _, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows += [(xxhash.xxh3_128_digest(t[o : o + length]), doc, th, start + o) for o in range(len(t) - length + 1)]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["w", "doc", "th", "start"])
+
+    each = arrow_map(contexts, windows, "w binary, doc long, th int, start int")
+    earliest = each.groupBy("w").agg(F.min(F.struct("doc", "th", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
+    earliest = written(earliest, f"{name}-windows")
+    late = dealt_join(each, earliest, "w", ["doc", "th", "start"]).where(F.struct("doc", "th", "start") > F.col("first"))
+    return late.select("doc", "th", "start", (F.col("start") + length).alias("stop"))
+
+
+def meet(docs: DataFrame, firsts: DataFrame, length: int, seed: int, common: np.ndarray) -> DataFrame:
     """Intervals that repeat between different contexts of one anchor.
 
-    Contexts are split into blocks of windows and grouped by core. The windows
-    of a core too common for one task are counted one by one, in partial
-    aggregates."""
+    Contexts are split into blocks of windows and grouped by core: two blocks,
+    or narrow ones for ``common`` anchors and for what is in too large groups
+    then."""
     reach = length - seed
+    many = frozenset(common.tolist())
     wanted = firsts.groupBy(F.col("doc").alias("d"), F.col("th").alias("t")).agg(F.collect_list(F.struct("h", "start")).alias("at"))
     with_text = docs.join(wanted, (F.col("doc") == F.col("d")) & (F.col("th") == F.col("t"))).select("doc", "th", "text", "at")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
-        for b in batches:
-            rows: list[tuple] = []
+        def contexts(b: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, bytes, int]]:
             for doc, th, t, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), byte_texts(b.column(2)), b.column(3).to_pylist(), strict=True):
                 for x in at:
                     s = max(0, x["start"] - reach)
-                    a, context = x["start"] - s, t[s : x["start"] + length]
-                    for j, low, high, core in cores(a, context, length, seed):
-                        rows.append((digest(core, j) - (1 << 63), doc, th, s + low, a - low, context[low : high + length]))
-            yield _context_batch(rows)
+                    yield doc, th, s, x["start"] - s, t[s : x["start"] + length], NARROW if x["h"] in many else BLOCKS
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for _, doc, th, start, _, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows += [(xxhash.xxh3_128_digest(t[o : o + length]), doc, th, start + o) for o in range(len(t) - length + 1)]
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["w", "doc", "th", "start"])
-
-    out, common = solved(arrow_map(with_text, cut, CONTEXT), same_core, length, seed, "suffix-cores")
-    if common.isEmpty():
-        return out
-    each = arrow_map(common, windows, "w binary, doc long, th int, start int")
-    earliest = each.groupBy("w").agg(F.min(F.struct("doc", "th", "start")).alias("first"))
-    late = each.join(earliest, "w").where(F.struct("doc", "th", "start") > F.col("first"))
-    return out.unionByName(late.select("doc", "th", "start", (F.col("start") + length).alias("stop")))
+            yield _context_batch(blocks_of(contexts(b), length, seed))
 
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
+            yield _context_batch(blocks_of(((doc, th, start, a, t, NARROW) for _, doc, th, start, a, t in rows), length, seed))
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished stages, whose results are
-    written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    out, large = solved(arrow_map(with_text, cut, CONTEXT), length, seed, "suffix-cores")
+    if large.isEmpty():
+        return out
+    more, large = solved(arrow_map(large, again, CONTEXT), length, seed, "suffix-narrow")
+    out = out.unionByName(more)
+    return out if large.isEmpty() else out.unionByName(windows_apart(large, length, "suffix"))
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(doc, th, spans): the merged intervals that go, of each document that
     has any."""
-    spark, keys = docs.sparkSession, keyed(docs)
-    rows = anchor_rows(keys, length, seed).repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h", "c", "doc", "th", "pos")
-    found = written(sift(rows, length - seed), "suffix-sifted")
-    release(spark)
-    between = written(meet(keys, found.where("kind = 1"), length, seed), "suffix-between")
-    release(spark)
+    keys = keyed(docs)
+    common = common_anchors(keys, length, seed)
+    rows = anchor_rows(keys, length, seed, common).repartition(shuffle_partitions(docs.sparkSession), "deal").sortWithinPartitions("h", "c", "doc", "th", "pos")
+    found = written(sift(rows, length - seed, common), "suffix-sifted")
+    between = written(meet(keys, found.where("kind = 1"), length, seed, common), "suffix-between")
     every = found.where("kind = 0").select("doc", "th", "start", "stop").unionByName(between)
     return every.groupBy("doc", "th").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 

@@ -101,9 +101,18 @@ def test_unions():
         assert all(a[0] != b[0] or a[2] < b[1] for a, b in zip(got, got[1:], strict=False))
 
 
-def test_large_groups(spark, docs_of, monkeypatch):
-    """Groups beyond the limit go by core, then by window."""
-    monkeypatch.setattr(sd, "GROUP", 5)
+@pytest.mark.parametrize("group,common", [(5, False), (2, True), (20_000, True)])
+def test_large_groups(spark, docs_of, monkeypatch, group, common):
+    """Groups beyond the limit go by narrow blocks, then by window; common
+    anchors go by context and in narrow blocks."""
+    monkeypatch.setattr(sd, "GROUP", group)
+    if common:  # every second anchor
+
+        def some(docs, length, seed):
+            rows = sd.anchor_rows(docs, length, seed, np.zeros(0, np.int64)).select("h").where("h % 2 = 0").distinct().collect()
+            return np.array(sorted(r[0] for r in rows), np.int64)
+
+        monkeypatch.setattr(sd, "common_anchors", some)
     rng = np.random.default_rng(8)
     line = "".join(rng.choice(list("abcdefgh"), 45))
     long = "".join(rng.choice(list("abcdefgh"), 130))
@@ -132,3 +141,13 @@ def test_repeated_rows_are_one_document(spark, docs_of):
     for parts in (1, 7):  # repeated within a batch, and in different ones
         got = sd.deduplicated(docs_of(once * 3).repartition(parts)).drop("kept").collect()
         assert sorted(got) == sorted([*want.values()] * 3)
+
+
+def test_a_line_that_fills_the_corpus(spark, docs_of):
+    """Found in the sample, dealt by context, removed like any other."""
+    rng = np.random.default_rng(12)
+    line = "".join(rng.choice(list("abcdefgh"), 150))
+    rows = [(i, "".join(rng.choice(list("xyzuvw"), 40 + i % 7)) + line + "".join(rng.choice(list("xyzuvw"), 30))) for i in range(400)]
+    docs = docs_of(rows).withColumn("h", sd.F.lit("mine")).withColumn("doc", sd.F.lit("mine")).withColumn("th", sd.F.lit("mine")).repartition(6)
+    assert len(sd.common_anchors(sd.keyed(docs), 100, 32)) > 0
+    check(sd.deduplicated(docs).drop("kept").collect(), rows)
