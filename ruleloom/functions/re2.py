@@ -320,7 +320,7 @@ def template_parts(source: str) -> list[str | int]:
                 where = "text"
                 text(2)
             elif c == "$" and re.match(r"[0-9{A-Za-z_]", following):
-                raise PatternError(r"capture references are not allowed inside \Q...\E quoted literals")
+                raise PatternError(r"no captures between \Q and \E")
             else:
                 text(1)
         elif c == "\\":
@@ -334,15 +334,15 @@ def template_parts(source: str) -> list[str | int]:
             else:
                 text(1)
         elif c == "$" and following == "{":
-            raise PatternError("braced capture references are unsupported; use $1, $2, and later numeric references")
+            raise PatternError("a capture is written $1, not ${1}")
         elif c == "$" and re.match(r"[A-Za-z_]", following):
-            raise PatternError("named capture references are unsupported; use $1, $2, and later numeric references")
+            raise PatternError("a capture has a number, not a name")
         elif c == "$" and re.match(r"[0-9]", following):
             number = re.compile(r"\$([0-9]+)").match(source, i)[1]  # type: ignore[index]
             if where == "class":
-                raise PatternError(f"capture reference ${number} is not allowed in a character class")
+                raise PatternError(f"${number} can't stand in brackets")
             if number[0] == "0":
-                raise PatternError(f"invalid capture reference ${number}; references start at $1")
+                raise PatternError(f"there is no ${number}: the first capture is $1")
             parts += [int(number), ""]
             i += 1 + len(number)
         elif where == "class":
@@ -374,7 +374,8 @@ class Template:
 
 def compile_template(source: str) -> Template:
     parts = template_parts(source)
-    marks = {n: chr(0xF0000 + n % 0xFFFF) for n in parts if isinstance(n, int)}
+    free = (c for c in map(chr, range(0xF0000, 0xFFFFE)) if c not in source)
+    marks = {n: next(free) for n in dict.fromkeys(p for p in parts if isinstance(p, int))}
     pattern = compile_re2("".join(p if isinstance(p, str) else marks[p] for p in parts))
     numbers = {mark: n for n, mark in marks.items()}
     java: list[str | int] = [""]
@@ -398,7 +399,7 @@ def expand(source: str, captures: list[str]) -> str:
     for p in template_parts(source):
         if isinstance(p, int):
             if p >= len(captures):
-                raise PatternError(f"capture reference ${p} is unavailable")
+                raise PatternError(f"nothing was captured for ${p}")
             out += f"(?:{quote(captures[p])})"
         else:
             out += p

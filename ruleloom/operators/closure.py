@@ -1,111 +1,52 @@
 """Reachability over edges (src, dst), seeds included.
 
-Large graphs take a semi-naive fixpoint: each round joins what is new with the
-edges and drops what is known; rounds are written to the shared folder, so
-lineage stays short and a lost executor costs one round. Where the graph is
-small (``DRIVER_EDGES``, counted first) a search on the driver gives the same
-rows with far fewer jobs.
+A semi-naive fixpoint: each round joins what is new with the edges and drops
+what is known. Rounds are written to the shared folder, so lineage stays short
+and a lost executor costs one round; edges that are small enough are broadcast
+by Spark, which knows the size of the written table.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from functools import cached_property, reduce
+from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.shared import written
 
-#: Most edges, and most (root, node) seeds, that the driver takes.
-DRIVER_EDGES = 200_000
-DRIVER_SEEDS = 20_000
-DRIVER_PAIRS = 1_000_000
-
-
-def fixpoint(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(root, node) for all nodes that each root's seeds reach."""
-    edges = written(edges.select("src", "dst").distinct(), "closure-edges")
-    new = written(seeds.select("root", "node").distinct(), "closure-0")
-    rounds = [new]
-    while True:
-        step = new.join(edges, new["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        known = reduce(DataFrame.union, rounds)
-        new = written(step.join(known, ["root", "node"], "left_anti"), f"closure-{len(rounds)}")
-        if new.isEmpty():
-            return known
-        rounds.append(new)
-        if len(rounds) > 16:  # few files, and a short plan
-            rounds = [written(known.union(new), "closure-known")]
-
-
-def few(df: DataFrame, most: int) -> list | None:
-    """All rows, if there are at most ``most``; one job either way."""
-    rows = df.limit(most + 1).agg(F.collect_list(F.struct(*df.columns)).alias("rows")).first()["rows"]
-    return rows if len(rows) <= most else None
-
-
-def pairs_frame(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
-    roots, nodes = zip(*pairs, strict=True) if pairs else ((), ())
-    return spark.createDataFrame(pa.table({"root": pa.array(roots, pa.string()), "node": pa.array(nodes, pa.string())}), "root string, node string")
+#: Tables of rounds that are read one by one before they become one table.
+ROUNDS = 16
 
 
 class Edges:
-    """Edges whose closures are asked for; small ones are fetched once."""
-
-    def __init__(self, edges: DataFrame, driver_edges: int = DRIVER_EDGES):
-        self.edges, self.driver_edges = edges.select("src", "dst"), driver_edges
-
-    @cached_property
-    def after(self) -> dict[str, list[str]] | None:
-        rows = few(self.edges, self.driver_edges) if self.driver_edges else None
-        if rows is None:
-            return None
-        out: dict[str, list[str]] = defaultdict(list)
-        for src, dst in rows:
-            out[src].append(dst)
-        return out
-
-    def search(self, seeds: list) -> DataFrame | None:
-        """Closure on the driver; nothing if there are too many pairs."""
-        roots: dict[str, list[str]] = defaultdict(list)
-        for root, node in seeds:
-            roots[root].append(node)
-        out: list[tuple[str, str]] = []
-        for root, nodes in roots.items():
-            seen, stack = set(nodes), list(nodes)
-            while stack:
-                for node in self.after.get(stack.pop(), ()):  # type: ignore[union-attr]
-                    if node not in seen:
-                        seen.add(node)
-                        stack.append(node)
-            out += [(root, node) for node in seen]
-            if len(out) > DRIVER_PAIRS:
-                return None
-        return pairs_frame(self.edges.sparkSession, out)
+    """Edges whose closures are asked for; they are written once."""
 
-    def closure(self, seeds: DataFrame) -> DataFrame:
-        """(root, node) reached from ``seeds`` (root, node)."""
-        seeds = seeds.select("root", "node").distinct()
-        if self.after is not None:
-            start = few(seeds, DRIVER_SEEDS)
-            found = self.search(start) if start is not None else None
-            if found is not None:
-                return found
-        return fixpoint(self.edges, seeds)
-
-
-def search(edges: DataFrame, seeds: DataFrame) -> DataFrame | None:
-    return Edges(edges).search([tuple(r) for r in seeds.collect()])
+    def __init__(self, edges: DataFrame):
+        self.edges = written(edges.select("src", "dst").distinct(), "closure-edges")
 
-
-def reachable(edges: DataFrame, seeds: DataFrame, nodes: DataFrame | None = None, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+    def closure(self, seeds: DataFrame) -> DataFrame:
+        """(root, node) for all nodes that each root's seeds (root, node) reach."""
+        new = written(seeds.select("root", "node").distinct(), "closure-0")
+        rounds, turn = [new], 0
+        while True:
+            turn += 1
+            step = new.join(self.edges, new["node"] == self.edges["src"]).select("root", F.col("dst").alias("node")).distinct()
+            known = reduce(DataFrame.union, rounds)
+            new = written(step.join(known, ["root", "node"], "left_anti"), f"closure-{turn}")
+            if new.isEmpty():
+                return known
+            rounds.append(new)
+            if len(rounds) > ROUNDS:
+                rounds = [written(known.union(new), "closure-known")]
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Closure of ``seeds`` (root, node); seeds that are not among ``nodes``
     (package_path) are ignored, if given."""
     if nodes is not None:
         seeds = seeds.join(nodes.select(F.col("package_path").alias("node")), "node", "left_semi")
-    return Edges(edges, driver_edges).closure(seeds)
+    return Edges(edges).closure(seeds)
 
 
 def forward_closure(edges: DataFrame, seeds: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

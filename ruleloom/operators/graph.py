@@ -64,9 +64,13 @@ class Graph:
 
     @cached_property
     def stability(self) -> DataFrame:
-        """(package_path, fan_in, fan_out) of every node, in one aggregate."""
-        ends = self.edges.select(F.explode(F.array(F.struct(F.col("src").alias("package_path"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("package_path"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("x")).select("x.*")
-        alone = self.nodes.select("package_path", F.lit(0).alias("i"), F.lit(0).alias("o"))
+        """(package_path, fan_in, fan_out) of every node, in one aggregate over
+        the ends of imports and the scanned packages."""
+        pairs = self.local.select("src", "dst").distinct()
+        edge = (F.col("src") != F.col("dst")).cast("int")
+        end = lambda name, i, o: F.struct(F.col(name).alias("package_path"), i.alias("i"), o.alias("o"))
+        ends = pairs.select(F.explode(F.array(end("src", F.lit(0), edge), end("dst", edge, F.lit(0)))).alias("x")).select("x.*")
+        alone = self.files.select(cleaned(F.col("package_path")).alias("package_path"), F.lit(0).alias("i"), F.lit(0).alias("o")).where("package_path <> ''")
         return ends.unionByName(alone).groupBy("package_path").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
 
     @cached_property
@@ -85,9 +89,8 @@ class Graph:
         """``files`` with ``dependents`` and ``orphan``: a file without imports
         whose package nothing imports."""
         importing = self.imports.select("path").distinct().withColumn("imports_any", F.lit(True))
-        known = self.imported.select(F.col("package_path").alias("pkg"), F.lit(True).alias("is_imported"))
-        counts = self.fan_in.select(F.col("package_path").alias("pkg"), "fan_in")
-        packages = known.join(counts, "pkg", "left")
+        other = F.when(F.col("src") != F.col("dst"), F.col("src"))
+        packages = self.local.groupBy(F.col("dst").alias("pkg")).agg(F.count_distinct(other).alias("fan_in"), F.lit(True).alias("is_imported"))
         files = self.files.withColumn("pkg", cleaned(F.col("package_path")))
         joined = files.join(importing, "path", "left").join(packages, "pkg", "left")
         return joined.select(

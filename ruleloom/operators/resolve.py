@@ -50,12 +50,6 @@ def target_path(resolved: str = "resolved_path", raw: str = "import_path") -> Co
     return F.coalesce(F.nullif(F.col(resolved), F.lit("")), F.col(raw))
 
 
-def package_of(path: Column, root: str = ".") -> Column:
-    """Directory of a file, relative to the module root."""
-    whole = path if root == "." else F.concat(F.lit(f"{root}/"), path)
-    return F.coalesce(F.nullif(F.regexp_replace(whole, "/?[^/]*$", ""), F.lit("")), F.lit("."))
-
-
 def cleaned(path: Column) -> Column:
     """Lexically clean path; empty stays. Paths in normal form, nearly all,
     don't take the slow branch."""

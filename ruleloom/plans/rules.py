@@ -84,6 +84,17 @@ def to_matches(rule: Rule, path: Column, target: Column, kind: Column | None) ->
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
+def possible_target(rule: Rule, target: Column) -> Column:
+    """Can the rule match the target, whatever the source? Patterns with
+    captures aren't looked at."""
+    to, tests = rule.target, []
+    if to.path and not any(t.highest for t in to.path):
+        tests.append(template_matches(target, to.path, None))
+    if plain := tuple(t for t in to.path_not if not t.highest):
+        tests.append(~template_matches(target, plain, None))
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
 def shape(rule: Rule) -> str:
     """How a forbidden rule is evaluated."""
     s = rule.source
@@ -101,7 +112,6 @@ class Evaluation:
 
     files: DataFrame
     imports: DataFrame
-    driver_edges: int | None = None
 
     def __post_init__(self) -> None:
         self.graph = Graph(self.files, self.imports)
@@ -133,11 +143,20 @@ class Evaluation:
     # Violations
 
     def matched(self, rows: DataFrame, rules: list[Rule], test: Callable[[Rule], Column], source: Column, target: Column, kind: str) -> DataFrame:
-        """A row for each (row, rule) that matches; nothing is made distinct."""
+        """A row for each (row, rule) that matches; nothing is made distinct.
+        Rows that no rule matches are filtered first, as a filter can reach the
+        scans."""
         out: DataFrame | None = None
         for i in range(0, len(rules), CHUNK):
-            one = [F.when(test(r), F.struct(F.lit(r.name).alias("rule"), F.lit(r.comment).alias("comment"), F.lit(r.severity).alias("severity"))) for r in rules[i : i + CHUNK]]
-            hits = rows.select(source.alias("from"), target.alias("to"), F.explode(F.filter(F.array(*one), lambda x: x.isNotNull())).alias("r"))
+            chunk = rules[i : i + CHUNK]
+            tests = [test(r) for r in chunk]
+            found = [F.struct(F.lit(r.name).alias("rule"), F.lit(r.comment).alias("comment"), F.lit(r.severity).alias("severity")) for r in chunk]
+            hits = rows.where(reduce(lambda a, b: a | b, tests))
+            if len(chunk) == 1:
+                hits = hits.select(source.alias("from"), target.alias("to"), found[0].alias("r"))
+            else:
+                each = F.array(*(F.when(t, r) for t, r in zip(tests, found, strict=True)))
+                hits = hits.select(source.alias("from"), target.alias("to"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("r"))
             part = hits.select("r.rule", "r.comment", "r.severity", F.lit(kind).alias("kind"), "from", "to")
             out = part if out is None else out.unionByName(part)
         return out if out is not None else self.none()
@@ -164,41 +183,48 @@ class Evaluation:
         test = lambda r: from_matches(r.source, F.col("src"), facts=False) & to_matches(r, F.col("src"), F.col("dst"), None)
         return self.matched(rows, rules, test, source_struct(F.col("src"), F.lit(0), F.lit("")), local_target(F.col("dst")), "forbidden")
 
+    def by_edges(self, rules: list[Rule]) -> list[list[Rule]]:
+        """Rules with the same edge filter share their edges and a closure."""
+        groups: dict[tuple, list[Rule]] = {}
+        for r in rules:
+            groups.setdefault(tuple(p.source for p in r.target.reachable_file_path_not), []).append(r)
+        return list(groups.values())
+
     def closure(self, rule: Rule, seeds: DataFrame) -> DataFrame:
-        """Rules with the same edge filter share their edges. Seeds are
-        scanned packages or import targets, so all of them are nodes."""
+        """Seeds are scanned packages or import targets, so all are nodes."""
         skip = rule.target.reachable_file_path_not
         if skip not in self.reach:
-            edges = self.graph.edges_without(any_matches(F.col("path"), skip) if skip else None)
-            self.reach[skip] = Edges(edges) if self.driver_edges is None else Edges(edges, self.driver_edges)
+            self.reach[skip] = Edges(self.graph.edges_without(any_matches(F.col("path"), skip) if skip else None))
         return self.reach[skip].closure(seeds)
 
     def reaches(self, rules: list[Rule]) -> DataFrame:
         """One closure for all rules with the same edges, over the distinct
-        packages that matching files import."""
+        packages that matching files import. What no rule can name as a target
+        is dropped from it before files are joined."""
         out = self.none()
-        groups: dict[tuple, list[Rule]] = {}
-        for r in rules:
-            groups.setdefault(tuple(p.source for p in r.target.reachable_file_path_not), []).append(r)
-        for same in groups.values():
+        for same in self.by_edges(rules):
             local = self.imports.where((F.col("dependency_type") == "local") & (F.col("resolved_path") != "")).withColumn("root", cleaned(F.col("resolved_path")))
             rows = local.select("path", "line", "root").join(self.graph.facts, "path")
             rows = rows.where(reduce(lambda a, b: a | b, (from_matches(r.source, F.col("path")) for r in same)))
             seeds = rows.select("root", F.col("root").alias("node")).distinct()
-            pairs = self.closure(same[0], seeds)
+            pairs = self.closure(same[0], seeds).where(reduce(lambda a, b: a | b, (possible_target(r, F.col("node")) for r in same)))
             met = rows.join(pairs, "root").groupBy("path", "node").agg(F.min("line").alias("line"), F.first("package").alias("package"), F.first("orphan").alias("orphan"), F.first("dependents").alias("dependents"))
             test = lambda r: from_matches(r.source, F.col("path")) & to_matches(r, F.col("path"), F.col("node"), None)
             out = out.unionByName(self.matched(met, same, test, source_struct(F.col("path"), F.col("line"), F.col("package")), local_target(F.col("node")), "reachable"))
         return out
 
     def unreaches(self, rules: list[Rule]) -> DataFrame:
+        """One closure for all rules with the same edges, its roots the rules'
+        numbers; files that a rule asks for and doesn't reach are left."""
         out = self.none()
-        for r in rules:
-            seeds = self.graph.facts.where(from_matches(r.source, F.col("path"))).select(F.lit("").alias("root"), cleaned(F.col("package_path")).alias("node")).distinct()
-            reached = self.closure(r, seeds).select(F.col("node").alias("pkg"))
-            rows = self.graph.facts.withColumn("pkg", cleaned(F.col("package_path"))).where("pkg <> ''")
-            rows = rows.where(to_matches(r, F.col("path"), F.col("pkg"), None)).join(reached, "pkg", "left_anti")
-            out = out.unionByName(self.matched(rows, [r], lambda _: F.lit(True), file_source(), no_target(), "unreachable"))
+        for same in self.by_edges(rules):
+            numbered = lambda test, same=same: F.explode(F.filter(F.array(*(F.when(test(r), F.struct(F.lit(str(k)).alias("root"), F.lit(r.name).alias("rule"), F.lit(r.comment).alias("comment"), F.lit(r.severity).alias("severity"))) for k, r in enumerate(same))), lambda x: x.isNotNull()))
+            files = self.graph.facts.withColumn("pkg", cleaned(F.col("package_path")))
+            seeds = files.select(F.col("pkg").alias("node"), numbered(lambda r: from_matches(r.source, F.col("path"))).alias("r")).select("r.root", "node")
+            reached = self.closure(same[0], seeds).select("root", F.col("node").alias("pkg"))
+            due = files.where("pkg <> ''").select("pkg", file_source().alias("from"), numbered(lambda r: to_matches(r, F.col("path"), F.col("pkg"), None)).alias("r")).select("pkg", "from", "r.*")
+            left = due.join(reached, ["root", "pkg"], "left_anti")
+            out = out.unionByName(left.select("rule", "comment", "severity", F.lit("unreachable").alias("kind"), "from", no_target().alias("to")))
         return out
 
     def not_allowed(self, rules: tuple[Rule, ...], severity: str) -> DataFrame:
@@ -272,5 +298,5 @@ def ordered(violations: DataFrame) -> DataFrame:
     return violations.orderBy(*(F.coalesce(F.col(c), F.lit("")) if c.startswith("to.") else F.col(c) for c in ORDER))
 
 
-def evaluate(config: Config, files: DataFrame, imports: DataFrame, driver_edges: int | None = None) -> DataFrame:
-    return Evaluation(files, imports, driver_edges).violations(config)
+def evaluate(config: Config, files: DataFrame, imports: DataFrame) -> DataFrame:
+    return Evaluation(files, imports).violations(config)

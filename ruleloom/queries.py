@@ -13,7 +13,7 @@ from ruleloom import config as rules
 from ruleloom.operators import baseline as base
 from ruleloom.operators import closure
 from ruleloom.operators.graph import more_unstable
-from ruleloom.plans.rules import Evaluation, ordered
+from ruleloom.plans.rules import Evaluation, ordered, shape
 from ruleloom.reports import frames
 from ruleloom.shared import written
 from ruleloom.sources import derived
@@ -46,11 +46,13 @@ class Source:
 
     def violations(self, document: dict[str, Any]) -> DataFrame:
         """Documents of many shapes read the relations many times, so these
-        are written once; for a single shape the joins below are cheaper."""
-        if len(document) < 3:
-            return self.evaluation.violations(rules.from_dict(document))
+        are written once; for one or two shapes the joins below are cheaper."""
+        config = rules.from_dict(document)
+        shapes = {shape(r) for r in config.forbidden} | ({"allowed"} if config.allowed is not None else set()) | ({"required"} if config.required else set())
+        if len(shapes) < 3:
+            return self.evaluation.violations(config)
         files, imports = written(self.files, "files"), written(self.imports, "imports")
-        return Evaluation(files, imports).violations(rules.from_dict(document))
+        return Evaluation(files, imports).violations(config)
 
 
 def flat(violations: DataFrame) -> DataFrame:

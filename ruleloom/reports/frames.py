@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ruleloom.shared import written
+
 # Reasons by kind, for violations with and without a target.
 EDGE_REASONS = {"forbidden": "forbidden dependency", "not-in-allowed": "dependency matches no allowed rule", "reachable": "target package is transitively reachable"}
 SOURCE_REASONS = {"forbidden": "forbidden source", "required": "required dependency is missing", "unreachable": "package is unreachable from matching sources"}
@@ -37,15 +39,17 @@ def err_lines(violations: DataFrame) -> DataFrame:
 
 
 def positioned(violations: DataFrame) -> DataFrame:
-    """Violations with ``pos``, their place in report order.
-
-    Ranks are dealt by rule: numbers within a rule plus the rows of the rules
-    before it, so no task gets all rows."""
+    """Violations with ``pos``, their place in report order: they are dealt by
+    ranges of that order, and a place is one within a range after the rows of
+    the ranges before it. Ranges are written, so that they stay as they are."""
     target = [F.coalesce(F.col(c), F.lit("")) for c in ("to.path", "to.type")]
-    own = Window.partitionBy("rule").orderBy("severity", "from.path", "from.line", *target, "kind", F.coalesce("to.import_path", F.lit("")))
-    counts = violations.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("rule", F.coalesce(F.sum("n").over(Window.orderBy("rule").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return violations.withColumn("own", F.row_number().over(own)).join(before, "rule").withColumn("pos", (F.col("base") + F.col("own")).cast("long")).drop("own", "base")
+    order = ["rule", "severity", "from.path", "from.line", *target, "kind", F.coalesce("to.import_path", F.lit(""))]
+    parts = int(violations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(violations.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()), "report-order")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    bases = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return dealt.withColumn("own", own).join(F.broadcast(bases), "range").withColumn("pos", (F.col("base") + F.col("own")).cast("long")).drop("range", "own", "base")
 
 
 def graph_nodes(violations: DataFrame) -> DataFrame:

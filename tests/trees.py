@@ -36,63 +36,34 @@ def write(root, tree: list[tuple[str, str, list[tuple[int, str]]]], module: str
     return str(root)
 
 
-LAYERS = [
-    ("internal/core/core.go", "core", own("internal/core/model", "internal/infra", first=4)),
-    ("internal/core/migration.go", "core", own("internal/infra")),
-    ("internal/core/model/model.go", "model", []),
-    ("internal/infra/infra.go", "infra", []),
+#: A shop that bakes: tests reach further than the rest, two files of a package
+#: import the same, and two files are on their own.
+BAKERY = [
+    ("attic/box.go", "attic", []),
+    ("cellar/cellar.go", "cellar", []),
+    ("fixtures/fixtures.go", "fixtures", own("cellar")),
+    ("flour/flour.go", "flour", []),
+    ("flour/mill_test.go", "flour_test", own("flour", "fixtures")),
+    ("oven/heat/heat.go", "heat", []),
+    ("oven/oven.go", "oven", own("oven/heat")),
+    ("recipes/bread/bread.go", "bread", own("flour", "oven/heat")),
+    ("recipes/bread/rye.go", "bread", own("oven/heat")),
+    ("recipes/cake/cake.go", "cake", [(3, "fmt"), *own("flour", first=4)]),
+    ("run/bake.go", "main", own("shop/till")),
+    ("shop/stand.go", "main", []),
+    ("shop/till/till.go", "till", own("recipes/bread", "oven")),
+    ("shop/till/till_test.go", "till", own("fixtures")),
 ]
-SOURCE = [
-    ("internal/client/one/one.go", "one", own("internal/source")),
-    ("internal/client/two/two.go", "two", own("internal/source")),
-    ("internal/equal/equal.go", "equal", own("internal/leaf/three")),
-    ("internal/leaf/one/one.go", "one", []),
-    ("internal/leaf/three/three.go", "three", []),
-    ("internal/leaf/two/two.go", "two", []),
-    ("internal/more/more.go", "more", own("internal/leaf/one", "internal/leaf/two", first=4)),
-    ("internal/source/source.go", "source", [(4, "fmt"), *own("internal/equal", "internal/more", first=5)]),
+#: Three doors hang on a hinge (instability 2/5) with pins (3/4) and a spring
+#: (1/3).
+HINGE = [
+    ("door/back.go", "door", own("hinge", "spring")),
+    ("door/front.go", "door", own("hinge")),
+    ("gate/gate.go", "gate", own("hinge")),
+    ("hatch/hatch.go", "hatch", own("hinge")),
+    ("hinge/hinge.go", "hinge", [(3, "fmt"), *own("pins", "spring", first=4)]),
+    ("pins/pins.go", "pins", own("steel", "oil", "wood")),
+    ("spring/spring.go", "spring", own("steel")),
 ]
-HUB = [
-    ("internal/app/one.go", "app", own("internal/hub")),
-    ("internal/app/two.go", "app", own("internal/hub")),
-    ("internal/hub/hub.go", "hub", own("internal/leaf")),
-    ("internal/hub/hub_test.go", "hub_test", own("internal/hub")),
-    ("internal/leaf/leaf.go", "leaf", []),
-    ("internal/other/other.go", "other", own("internal/hub")),
-]
-HELPER = [
-    ("internal/app/safe.go", "app", own("internal/safe")),
-    ("internal/app/unsafe.go", "app", own("internal/service")),
-    ("internal/safe/safe.go", "safe", []),
-    ("internal/service/service.go", "service", []),
-    ("internal/service/service_test.go", "service", own("internal/testutil")),
-    ("internal/testutil/testutil.go", "testutil", []),
-]
-DEAD = [
-    ("cmd/app/main.go", "main", own("internal/live")),
-    ("internal/dead/a.go", "dead", []),
-    ("internal/dead/b.go", "dead", []),
-    ("internal/live/live.go", "live", own("internal/shared")),
-    ("internal/live/live_test.go", "live", own("internal/dead")),
-    ("internal/shared/shared.go", "shared", []),
-]
-HANDLER = [
-    ("internal/handler/compliant.go", "handler", own("internal/logging")),
-    ("internal/handler/missing.go", "handler", []),
-    ("internal/logging/logging.go", "logging", []),
-]
-MAINS = [("cmd/app/main.go", "main", []), ("internal/worker/main.go", "main", []), ("tools/generate/main.go", "main", [])]
-LONELY = [("cmd/app/main.go", "main", own("internal/connected")), ("internal/connected/connected.go", "connected", []), ("internal/lonely/lonely.go", "lonely", []), ("internal/std/std.go", "std", [(3, "fmt")])]
-DENY = [
-    ("internal/core/agent/agent.go", "agent", [(4, "net"), (5, "os")]),
-    ("internal/core/blocked/blocked.go", "blocked", [(3, "os")]),
-    ("internal/core/exact/exact.go", "exact", [(3, "net/url")]),
-]
-BLOCKED = [
-    ("internal/app/first.go", "app", own("internal/blocked/known", "internal/blocked/live", first=4)),
-    ("internal/app/second.go", "app", own("internal/blocked/known", "internal/blocked/live", first=4)),
-    ("internal/blocked/known/known.go", "known", []),
-    ("internal/blocked/live/live.go", "live", []),
-]
-ADAPTERS = [("internal/adapters/live/live.go", "live", []), ("internal/core/core.go", "core", own("internal/adapters/live"))]
-MISC = [("internal/app/app.go", "app", own("internal/core", "internal/misc", first=4)), ("internal/core/core.go", "core", []), ("internal/misc/misc.go", "misc", [])]
+#: A pattern of the first gate captures nothing.
+GATES = [("gate/north/a.go", "north", own("house/north", "house/south", "house")), ("gate/x/x.go", "x", own("house", "house/x"))]
