@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ruleloom.llm import chat, decontam, edit_fingerprint, langid, packing, pii, simhash, suffix_dedup, token_orc, toxicity
-from ruleloom.llm.common import table
+from ruleloom.llm.common import table, written
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,8 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_fingerprint.with_next(table(spark, sf_dir, "documents"))
+    rows = written(edit_fingerprint.with_next(table(spark, sf_dir, "documents")), "edit-rows")
+    return edit_fingerprint.with_near(rows)
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
