@@ -7,8 +7,8 @@ language is the one with the largest mean probability over all its windows, and
 its score is that mean. Every byte of a text is read, however long it is.
 
 Training (numpy, Adam) uses at most ``SAMPLE_ROWS`` labelled rows, picked by a
-hash of the id, and ``CROPS`` crops of at most ``CROP_CHARS`` characters spread
-over each. Rows whose crc32 of the id modulo 4 is 2 are held out. Only text and
+hash of the id, and crops of ``CROP_BYTES`` bytes that are spread evenly over
+each whole text, one for every ``CROP_EVERY`` bytes or a few. Rows whose crc32 of the id modulo 4 is 2 are held out. Only text and
 lang are inputs. For inference the filters become two tables over byte pairs,
 so a position costs two row lookups.
 
@@ -32,7 +32,8 @@ from ruleloom.llm.common import arrow_map, byte_texts
 
 SAMPLE_ROWS = 6000
 CROPS = 3
-CROP_CHARS = 200
+CROP_BYTES = 256
+CROP_EVERY = 2048
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -74,16 +75,21 @@ class Network:
                 second[:, :, s] += f[3][None, :]
         return first.reshape(CODES * CODES, -1), second.reshape(CODES * CODES, -1)
 
-    def window_probabilities(self, codes: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """``codes``: whole windows one after the other."""
-        pair = np.zeros(len(codes) + 2, np.int64)
-        pair[: len(codes)] = codes * CODES
-        pair[: len(codes) - 1] += codes[1:]
+    def window_probabilities(self, codes: np.ndarray, tables: tuple[np.ndarray, np.ndarray], ends: np.ndarray) -> np.ndarray:
+        """``codes``: whole windows one after the other; ``ends``: where texts
+        end. What follows an end counts as white space (code 0), so no filter
+        reads the next text."""
+        first = codes * CODES
+        first[:-1] += codes[1:]
+        first[ends - 1] = codes[ends - 1] * CODES
+        second = np.zeros(len(codes), np.int64)
+        second[:-2] = first[2:]
+        second[ends - 1] = second[ends - 2] = 0
         peaks = []
         for i in range(0, len(codes), CHUNK_WINDOWS * WINDOW):
-            at = pair[i : min(i + CHUNK_WINDOWS * WINDOW, len(codes)) + 2]
-            r = tables[0].take(at[:-2], axis=0)
-            r += tables[1].take(at[2:], axis=0)
+            part = slice(i, i + CHUNK_WINDOWS * WINDOW)
+            r = tables[0].take(first[part], axis=0)
+            r += tables[1].take(second[part], axis=0)
             peaks.append(r.reshape(-1, WINDOW, r.shape[1]).max(axis=1))
         z = np.maximum(np.concatenate(peaks) + self.bias, 0) @ self.out + self.out_bias
         z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -92,7 +98,7 @@ class Network:
 
 def window_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all windows of all texts, and each text's number of windows.
-    A text is padded so that no filter reaches into the next one."""
+    A text is padded with white space, four bytes at least."""
     counts = np.array([(len(t) + 4 + WINDOW - 1) // WINDOW for t in texts], np.int64)
     joined = b"".join(t.ljust(int(n) * WINDOW) for t, n in zip(texts, counts, strict=True))
     return CODE[np.frombuffer(joined, np.uint8)], counts
@@ -147,16 +153,28 @@ def train(samples: list[tuple[bytes, str]], epochs: int = 8, batch: int = 64, ra
     return Network(languages, params[:3], params[3], params[4], params[5])
 
 
+def crops(text: bytes) -> list[bytes]:
+    """Crops from the beginning to the end of a text, as many as it is long."""
+    n, size = max(CROPS, len(text) // CROP_EVERY), max(0, len(text) - CROP_BYTES)
+    starts = sorted({size * i // (n - 1) for i in range(n)})
+    return [c for c in dict.fromkeys(text[s : s + CROP_BYTES] for s in starts) if has_letters(c)]
+
+
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[bytes, str]]:
     """Crops of at most about ``rows`` labelled rows that are not held out."""
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out())
     n = labelled.count()
     key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     some = labelled.where(key < int((1 << 30) * min(1.0, rows / max(n, 1)))) if n > rows else labelled
-    size = F.greatest(F.length("text") - CROP_CHARS, F.lit(0))
-    crops = [F.substring(F.col("text"), F.floor(size * (i / max(CROPS - 1, 1))).cast("int") + 1, F.lit(CROP_CHARS)) for i in range(CROPS)]
-    found = some.select("lang", F.array_distinct(F.array(*crops)).alias("crops")).collect()
-    return sorted((c.encode(), r.lang) for r in found for c in r.crops or [] if c and has_letters(c.encode()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(c, lang) for lang, t in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), strict=True) for c in crops(t)]
+            columns = list(zip(*found, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.string())], ["crop", "lang"])
+
+    found = arrow_map(some.select(F.col("lang").cast("string"), "text"), run, "crop binary, lang string").toArrow()
+    return sorted(zip(found.column("crop").to_pylist(), found.column("lang").to_pylist(), strict=True))
 
 
 def answers(net: Network, tables: tuple[np.ndarray, np.ndarray] | None, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +183,7 @@ def answers(net: Network, tables: tuple[np.ndarray, np.ndarray] | None, texts: l
     at = [i for i, t in enumerate(texts) if net.languages and has_letters(t)]
     if at:
         codes, counts = window_codes([texts[i] for i in at])
-        p = net.window_probabilities(codes, tables)
+        p = net.window_probabilities(codes, tables, counts.cumsum() * WINDOW)
         mean = np.add.reduceat(p, np.concatenate([[0], counts.cumsum()[:-1]]), axis=0) / counts[:, None]
         best = mean.argmax(axis=1)
         lang[at] = np.array(net.languages, object)[best]

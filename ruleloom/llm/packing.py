@@ -14,13 +14,20 @@ on ``max_tokens``, not on the input. Executors then give each piece its place
 from its rank among the pieces of its length. Ranks come from counts by length
 and salt, so a length that a third of all pieces have is dealt over many tasks.
 
+With the default capacities tokens alone bind, as a sequence has no more
+documents than tokens and its attention cost is at most their square; that
+gives the fewest sequences. Tighter ones bind by themselves: the pipeline
+limits documents, and tests limit both.
+
 Defined cases: a null text counts as empty and has the end id alone; equal
 rows are packed one by one; an empty table gives no rows; a longer document is
-cut into ``max_tokens`` pieces, the last one may be shorter.
+cut into pieces of as many tokens as one sequence can hold (all its tokens, or
+the root of its attention cost where that is less), the last one may be shorter.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,6 +52,11 @@ class Capacity:
     documents: int = 4096
     attention: int = 4096 * 4096
 
+    @property
+    def longest(self) -> int:
+        """Tokens of the longest piece that fits."""
+        return min(self.tokens, math.isqrt(self.attention))
+
 
 def pieces(docs: DataFrame, end_id: int = 1, max_tokens: int = 4096, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """The pieces of every document, in order; ``with_ids`` adds the ids."""
@@ -142,7 +154,7 @@ def ranked(rows: DataFrame, salts: int) -> DataFrame:
 
 def pack(docs: DataFrame, end_id: int = 1, capacity: Capacity = Capacity(), rule: str = "norm", vocabulary: str | None = None) -> DataFrame:
     """Every piece with its sequence and its offset there."""
-    rows = written(pieces(docs, end_id, capacity.tokens, vocabulary), "packing-pieces")
+    rows = written(pieces(docs, end_id, capacity.longest, vocabulary), "packing-pieces")
     counts = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}
     runs, _ = plan(counts, capacity, rule)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]

@@ -93,5 +93,41 @@ FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+
+def _each(first: str, after: str, body: str) -> str:
+    """A list of ``body`` for i from ``first`` up to, not with, ``after``."""
+    return f"list_transform(range({first}, {after}), lambda i: {body})"
+
+
+def _rendered(side: str) -> str:
+    body = f"'<|' || {side}_role[i] || '|>' || chr(10) || {side}_text[i] || '<|end|>' || chr(10)"
+    return f"sha256(coalesce(array_to_string({_each('n + 1', f'len({side}_role) + 1', body)}, ''), ''))"
+
+
+def _spans(side: str) -> str:
+    """Lengths of role and text, with the 5 and 8 characters of the marks."""
+    before = f"coalesce(list_sum(list_transform(range(n + 1, i), lambda j: length({side}_role[j]) + length({side}_text[j]) + 13)), 0)::BIGINT + length({side}_role[i]) + 5"
+    one = f"CASE WHEN {side}_role[i] = 'assistant' THEN ({before}) || ':' || ({before} + length({side}_text[i]) + 8) END"
+    return f"coalesce(array_to_string(list_filter({_each('n + 1', f'len({side}_role) + 1', one)}, lambda s: s IS NOT NULL), ','), '')"
+
+
+#: conv_id is never null in the tables.
+_OP7 = f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+convs AS (SELECT conv_id, list(role ORDER BY turn NULLS FIRST, role, text) AS role, list(text ORDER BY turn NULLS FIRST, role, text) AS text FROM turns GROUP BY conv_id),
+said AS (SELECT *, role[1] AS first_role, text[1] AS first_text, list_sum({_each("1", "len(role) + 1", "CASE WHEN role[i] = 'assistant' THEN length(text[i]) ELSE 0 END")}) AS said,
+  list_filter(range(1, len(role) + 1), lambda i: role[i] = 'assistant') AS own FROM convs),
+numbered AS (SELECT *, (row_number() OVER (PARTITION BY first_role, first_text ORDER BY conv_id) - 1) // 2 AS pair FROM said),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY first_role, first_text, pair ORDER BY said DESC, conv_id) AS place FROM numbered),
+pairs AS (SELECT a.conv_id AS chosen_id, coalesce(b.conv_id, a.conv_id) AS rejected_id, a.role AS a_role, a.text AS a_text, coalesce(b.role, a.role) AS b_role,
+  CASE WHEN b.conv_id IS NOT NULL THEN b.text ELSE list_transform(range(1, len(a.role) + 1), lambda i: CASE WHEN i = a.own[-1] THEN CASE WHEN len(a.own) > 1 THEN a.text[a.own[-2]] ELSE '' END ELSE a.text[i] END) END AS b_text
+  FROM (SELECT * FROM ranked WHERE place = 1) a LEFT JOIN (SELECT * FROM ranked WHERE place = 2) b USING (first_role, first_text, pair)),
+cut AS (SELECT *, coalesce(list_filter(range(1, least(len(a_role), len(b_role)) + 1), lambda i: a_role[i] <> b_role[i] OR a_text[i] <> b_text[i])[1] - 1, least(len(a_role), len(b_role)))::INT AS n FROM pairs)
+SELECT chosen_id, rejected_id, n AS n_prompt_turns, sha256(coalesce(array_to_string({_each("1", "n + 1", "'<|' || a_role[i] || '|>' || chr(10) || a_text[i] || '<|end|>' || chr(10)")}, ''), '')) AS prompt_sha256,
+  {_rendered("a")} AS chosen_completion_sha256, {_rendered("b")} AS rejected_completion_sha256, {_spans("a")} AS chosen_spans, {_spans("b")} AS rejected_spans
+FROM cut
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": _OP3}
+    return {"op3_benchmark_decontamination": _OP3, "op7_chat_formatting": _OP7}

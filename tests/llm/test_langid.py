@@ -11,7 +11,7 @@ def test_tables_equal_plain_convolution():
     net = langid.train([(b"the cat sat on the mat", "en"), (b"der hund und die katze", "de")] * 20, epochs=2)
     text = bytes(rng.integers(0, 256, 300, dtype=np.uint8))
     codes, counts = langid.window_codes([text])
-    got = net.window_probabilities(codes, net.tables())
+    got = net.window_probabilities(codes, net.tables(), counts.cumsum() * langid.WINDOW)
     assert counts.tolist() == [3] == [len(got)]
     padded = np.concatenate([codes, np.zeros(4, np.int64)])
     for k in range(3):
@@ -22,6 +22,45 @@ def test_tables_equal_plain_convolution():
         assert np.allclose(z / z.sum(), got[k], atol=1e-3)
 
 
+def test_answers_by_hand(spark, small):
+    """Language and score of every text, by plain convolution over all of its
+    windows."""
+    docs = table(spark, small, "documents")
+    net = langid.train(langid.sample(docs))
+
+    def mean(text):
+        n = (len(text) + 4 + langid.WINDOW - 1) // langid.WINDOW
+        x = np.zeros((n * langid.WINDOW + 4, langid.CODES), np.float32)
+        x[np.arange(len(x)), [langid.CODE[b] for b in text.ljust(n * langid.WINDOW + 4)]] = 1
+        peaks = []
+        for w, f in zip(langid.WIDTHS, net.filters, strict=True):
+            r = sum(x[o : o + n * langid.WINDOW] @ f[o] for o in range(w))
+            peaks.append(r.reshape(n, langid.WINDOW, -1).max(axis=1))
+        z = np.maximum(np.concatenate(peaks, axis=1) + net.bias, 0) @ net.out + net.out_bias
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        return (p / p.sum(axis=1, keepdims=True)).mean(axis=0)
+
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    equal = {}
+    for r in docs.collect():
+        equal.setdefault(r.text, set()).add((got[r.doc_id].lang_pred, round(got[r.doc_id].score, 5)))
+        if not any(map(str.isalpha, r.text)):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+            continue
+        p = mean(r.text.encode())
+        assert abs(got[r.doc_id].score - p.max()) < 1e-3
+        assert got[r.doc_id].lang_pred == net.languages[int(p.argmax())] or np.sort(p)[-1] - np.sort(p)[-2] < 1e-3
+    assert all(len(answers) == 1 for answers in equal.values())
+
+
+def test_crops_reach_the_whole_text():
+    text = b"".join(b"%07d " % i for i in range(4000))
+    found = langid.crops(text + b"the end")
+    assert not langid.crops(text) and len(found) == 1 and found[0].endswith(b"the end")
+    long = text.replace(b" ", b"a")
+    assert len(langid.crops(long)) == len(long) // langid.CROP_EVERY and langid.crops(long)[-1] == long[-langid.CROP_BYTES :] and langid.crops(b"ab") == [b"ab"]
+
+
 def test_held_out_accuracy(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     truth = {r.doc_id: r.lang for r in docs.collect()}

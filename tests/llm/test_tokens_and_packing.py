@@ -1,3 +1,5 @@
+import glob
+import os
 import zlib
 from array import array
 from collections import defaultdict
@@ -78,13 +80,53 @@ def test_orc_lookup_and_odd_rows(spark, docs_of, odd_rows):
     (row,) = token_orc.lookup(spark, path, [5]).collect()
     assert row.ids == ids_of("same text here", 2).tolist()
     assert token_orc.digests(spark, path).count() == len(odd_rows)
-    assert "doc_id" in token_orc.lookup(spark, path, [5])._jdf.queryExecution().toString()
     empty = shared_path(spark, "t")
     token_orc.write(docs_of([]), empty)
     assert token_orc.digests(spark, empty).count() == 0
 
 
-def check_packed(rows, texts, most=4096):
+def test_orc_files_have_indexes_and_filters(spark, docs_of):
+    """Stripes, row indexes and Bloom filters are in the files, ids are run-
+    length encoded, and a lookup reads what can hold the id alone."""
+    import pyarrow.orc as orc
+
+    docs = docs_of([(3 * i, f"word{i % 7} " * (1 + i % 40)) for i in range(6000)])
+    path = shared_path(spark, "t")
+    token_orc.write(docs, path, partitions=3)
+    files = sorted(glob.glob(f"{path.removeprefix('file:')}/*.orc"))
+    assert len(files) == 3
+    for name in files:
+        f = orc.ORCFile(name)
+        assert f.nstripes >= 1 and f.row_index_stride == 2000 and f.nrows > 1000
+        raw = open(name, "rb").read()
+        assert len(raw) < 0.5 * 4 * sum(len(x) for x in f.read(["ids"]).column("ids").to_pylist())  # 4 bytes an id, as plain
+    plain = shared_path(spark, "t")
+    token_orc.encoded(docs, 2, default_path(), 3).write.options(**{**token_orc.OPTIONS, "orc.bloom.filter.columns": ""}).orc(plain)
+    sizes = [sum(os.path.getsize(x) for x in glob.glob(f"{p.removeprefix('file:')}/*.orc")) for p in (path, plain)]
+    assert sizes[0] > sizes[1]  # filters take room
+    rows = token_orc.lookup(spark, path, [3000])
+    assert rows.collect()[0].ids == ids_of("word6 " * (1 + 1000 % 40), 2).tolist()
+    # what the scan gives to the filter: at most one group of rows
+    assert scanned(rows) <= 2000
+    # ids between two others: only a Bloom filter can tell, but for 1 in 100
+    with_filters, without = (sum(scanned(token_orc.lookup(spark, p, [i])) > 0 for i in (3001, 7502, 10001, 12001, 15001, 16502)) for p in (path, plain))
+    assert with_filters <= 2 and without == 6
+
+
+def scanned(df):
+    """Rows that the scan read."""
+    df.collect()
+    plan, found = [df._jdf.queryExecution().executedPlan()], []
+    while plan:
+        p = plan.pop()
+        if p.nodeName().startswith("Scan"):
+            found.append(p.metrics().apply("numOutputRows").value())
+        plan += [p.children().apply(i) for i in range(p.children().size())]
+    assert found
+    return sum(found)
+
+
+def check_packed(rows, texts, most=4096, longest=4096):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -94,7 +136,7 @@ def check_packed(rows, texts, most=4096):
         cut = sorted(by_doc[doc], key=lambda r: r.piece)
         for k, r in enumerate(cut):
             assert (r.piece, r.start) == (k, at) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
-            assert r.length == most or k == len(cut) - 1
+            assert r.length == longest or k == len(cut) - 1
             at += r.length
         assert at == len(ids)
     for seq in by_seq.values():
@@ -112,8 +154,36 @@ def test_packing(spark, small, docs_of):
     assert n <= -(-total // 4096) + 1
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_documents_and_attention_bind(spark, small, rule):
+    """The query's path with capacities that run out before tokens do."""
+    docs = table(spark, small, "documents").limit(150)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    used = {}
+    for capacity in (packing.Capacity(), packing.Capacity(documents=3), packing.Capacity(attention=1_000_000)):
+        rows = packing.pack(docs, capacity=capacity, rule=rule).collect()
+        used[capacity] = check_packed(rows, texts, 4096, capacity.longest)[0]
+        seqs = defaultdict(list)
+        for r in rows:
+            seqs[r.sequence_id].append(r.length)
+        assert max(map(len, seqs.values())) <= capacity.documents and max(sum(x * x for x in s) for s in seqs.values()) <= capacity.attention
+        if capacity.documents == 3:
+            assert max(map(len, seqs.values())) == 3
+        assert len(seqs) <= 1.1 * max(sum(map(sum, seqs.values())) / 4096, len(rows) / capacity.documents, sum(x * x for s in seqs.values() for x in s) / capacity.attention) + 2
+    assert used[packing.Capacity(documents=3)] > used[packing.Capacity()] < used[packing.Capacity(attention=1_000_000)]
+
+
 def test_packing_odd_rows(spark, docs_of, odd_rows):
     rows = [r for r in odd_rows if r[0] != 8]
+    clash = docs_of(rows)
+    for name in ("piece", "length", "rank", "salt", "own", "base", "start", "sequence_id"):
+        clash = clash.withColumn(name, packing.F.lit("mine"))
+    check_packed(packing.pack(clash).collect(), dict(rows))
+    # repeated rows and equal ids are packed one by one
+    twice = packing.pack(docs_of([(1, "a b c"), (1, "a b c"), (1, "d")])).collect()
+    assert sorted((r.piece, r.length, r.ids_crc32 == zlib.crc32(ids_of("d", 1).tobytes())) for r in twice) == [(0, 2, True), (0, 4, False), (0, 4, False)]
+    assert len({(r.sequence_id, r.offset) for r in twice}) == 3
     check_packed(packing.pack(docs_of(rows)).collect(), dict(rows))
     assert packing.pack(docs_of(odd_rows)).count() >= len(odd_rows)
     assert packing.pack(docs_of([])).count() == 0
