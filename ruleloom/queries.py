@@ -17,7 +17,8 @@ from ruleloom.plans.rules import Evaluation, ordered, shape
 from ruleloom.reports import frames
 from ruleloom.shared import written
 from ruleloom.sources import derived
-from ruleloom.sources.derived import MODULE, WITH_SQL, classify_sql
+from ruleloom.sources.derived import MODULE, RAW_IMPORTS_SQL, WITH_SQL, classify_sql
+from ruleloom.sources.scan import parse_sources, relations
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,11 +56,11 @@ class Source:
         return Evaluation(files, imports).violations(config)
 
 
-def flat(violations: DataFrame) -> DataFrame:
+def flat(violations: DataFrame, *more: str) -> DataFrame:
     """Violations without structs."""
     return violations.select(
         "rule", "severity", "kind", F.col("from.path").alias("from_path"), F.col("from.line").alias("from_line"), F.col("from.package_name").alias("from_package"),
-        F.col("to.path").alias("to_path"), F.col("to.import_path").alias("to_import"), F.col("to.type").alias("to_type"),
+        F.col("to.path").alias("to_path"), F.col("to.import_path").alias("to_import"), F.col("to.type").alias("to_type"), *more,
     )
 
 
@@ -169,6 +170,27 @@ def forbidden(*found: dict) -> Callable[[Source], DataFrame]:
     return _rule_query({"forbidden": list(found)})
 
 
+def _scanned(s: Source) -> DataFrame:
+    """Source texts, parsed and classified again."""
+    parsed = parse_sources(derived.sources(s.spark, s.sf_dir))
+    files, imports = relations(parsed, MODULE)
+    return files.join(imports, "path", "left").select("path", "package_path", "package", "package_line", "import_path", "resolved_path", "dependency_type", "line")
+
+
+#: A rule document for each customer; two in three have something wrong.
+def _config_errors(s: Source) -> DataFrame:
+    key, name = F.col("c_custkey"), F.col("c_name")
+    severity = F.when(key % 3 == 1, F.concat(F.lit("grave"), key.cast("string"))).otherwise("warn")
+    more = F.when(key % 3 == 2, F.concat(F.lit(', "x'), key.cast("string"), F.lit('": 1'))).otherwise("")
+    text = F.concat(F.lit('{"forbidden": [{"name": "'), name, F.lit('",\n "severity": "'), severity, F.lit('", "from": {}, "to": {}'), more, F.lit("}]}"))
+    documents = s.spark.read.parquet(f"{s.sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("id"), text.alias("document"))
+    return rules.check_documents(documents)
+
+
+CONFIG_ERRORS_SQL = """SELECT c_custkey::BIGINT AS id, CASE c_custkey % 3 WHEN 1 THEN '$.forbidden[0].severity' WHEN 2 THEN '$.forbidden[0].x' || c_custkey END AS at,
+  CASE WHEN c_custkey % 3 > 0 THEN 2 END AS line, CASE c_custkey % 3 WHEN 1 THEN length(' "severity": ') + 1 WHEN 2 THEN length(' "severity": "warn", "from": {}, "to": {}, ') + 1 END AS col,
+  CASE c_custkey % 3 WHEN 1 THEN 'unknown severity "grave' || c_custkey || '"' WHEN 2 THEN 'unknown field "x' || c_custkey || '"' END AS message FROM customer"""
+
 _GRAPH_ROWS = """label AS (SELECT *, row_number() OVER (ORDER BY rule, severity, from_path, from_line, coalesce(to_path, ''), coalesce(to_type, ''), kind, coalesce(to_import, '')) AS pos FROM violations)"""
 
 #: name: (query over a Source, SQL)
@@ -223,6 +245,35 @@ CATALOGUE: dict[str, tuple[Callable[[Source], DataFrame], str]] = {
     "q_violations_all": (_rule_query(WHOLE), f"{SQL_WHOLE} SELECT * FROM violations"),
     "q_summary": (lambda s: base.summary(s.violations(WHOLE)), f"{SQL_WHOLE} SELECT count(*) AS total, count(*) FILTER (severity = 'error') AS error, count(*) FILTER (severity = 'warn') AS warn, count(*) FILTER (severity = 'info') AS info, count(*) FILTER (severity = 'ignore') AS ignore FROM violations"),
     "q_exit_code": (lambda s: base.exit_code(s.violations(WHOLE)), f"{SQL_WHOLE} SELECT least(count(*) FILTER (severity = 'error'), 255) AS exit_code FROM violations"),
+    "q_summary_stale": (
+        lambda s: base.summary(*(f(*pair) for pair in [_baseline(s)] for f in (base.new, base.stale))),
+        f"""{BASELINE_SQL}, fresh AS (SELECT v.severity FROM violations v WHERE NOT EXISTS (SELECT 1 FROM baseline b WHERE b.rule = v.rule AND b.from_path = v.from_path AND b.target IS NOT DISTINCT FROM coalesce(nullif(v.to_import, ''), v.to_path))
+  UNION ALL SELECT 'error' FROM (SELECT rule, from_path, target FROM baseline EXCEPT SELECT rule, from_path, target FROM ids))
+SELECT count(*) AS total, count(*) FILTER (severity = 'error') AS error, count(*) FILTER (severity = 'warn') AS warn, count(*) FILTER (severity = 'info') AS info, count(*) FILTER (severity = 'ignore') AS ignore FROM fresh""",
+    ),
+    "q_report_order": (
+        lambda s: flat(frames.positioned(s.violations(WHOLE)), "pos"),
+        f"{SQL_WHOLE} SELECT *, row_number() OVER (ORDER BY rule, severity, from_path, from_line, coalesce(to_path, ''), coalesce(to_type, ''), kind, coalesce(to_import, '')) AS pos FROM violations",
+    ),
+    "q_scan": (
+        _scanned,
+        f"""{WITH_SQL}, again AS ({classify_sql(f"SELECT path, regexp_replace(import_path, '[ #]', '-', 'g') AS import_path, line FROM ({RAW_IMPORTS_SQL})", MODULE)})
+SELECT path, package_path, package, package_line, import_path, resolved_path, dependency_type, line FROM files LEFT JOIN again USING (path)""",
+    ),
+    "q_config_errors": (_config_errors, CONFIG_ERRORS_SQL),
+    "q_json_lines": (
+        lambda s: frames.json_lines(s.violations(BASELINE_DOCUMENT)),
+        f"""{BASELINE_SQL} SELECT to_json({{'rule': rule, 'comment': CASE rule WHEN 'entry-no-part' THEN 'go through  a service' ELSE '' END, 'severity': severity, 'kind': kind, 'from': {{'path': from_path, 'line': from_line, 'packageName': from_package}},
+  'to': CASE WHEN to_path IS NOT NULL THEN {{'path': to_path, 'importPath': to_import, 'dependencyType': to_type}} END}})::VARCHAR AS line FROM violations""",
+    ),
+    "q_dot_edges": (
+        lambda s: frames.dot_edges(s.violations(BASELINE_DOCUMENT)),
+        f"""{BASELINE_SQL}, {_GRAPH_ROWS}, ends AS (SELECT 0 AS kind, from_path AS path, '' AS type, pos * 2 AS place FROM label UNION ALL SELECT 1, to_path, coalesce(to_type, ''), pos * 2 + 1 FROM label WHERE to_path IS NOT NULL),
+drawn_nodes AS (SELECT kind, path, type, 'n' || (row_number() OVER (ORDER BY min(place)) - 1) AS id FROM ends GROUP BY kind, path, type),
+drawn AS (SELECT from_path, to_path, coalesce(to_type, '') AS to_type, from_line, min(pos) AS place, string_agg(rule || ' [' || severity || ']', '; ' ORDER BY pos) AS said FROM label WHERE to_path IS NOT NULL GROUP BY from_path, to_path, coalesce(to_type, ''), from_line)
+SELECT place, '  ' || a.id || ' -> ' || b.id || ' [label="line ' || from_line || ': ' || said || '", color="#cf222e", penwidth=3];' AS line
+FROM drawn JOIN drawn_nodes a ON a.kind = 0 AND a.path = from_path JOIN drawn_nodes b ON b.kind = 1 AND b.path = to_path AND b.type = to_type""",
+    ),
     "q_err_lines": (
         lambda s: frames.err_lines(s.violations(BASELINE_DOCUMENT)),
         f"""{BASELINE_SQL} SELECT '[' || severity || '] rule "' || rule || '": ' || from_path || CASE WHEN from_line <> 0 THEN ':' || from_line ELSE '' END

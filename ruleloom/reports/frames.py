@@ -38,6 +38,33 @@ def err_lines(violations: DataFrame) -> DataFrame:
     return violations.select(F.concat(line, F.when(fix != "", F.concat(F.lit("\n  fix: "), fix)).otherwise("")).alias("line"))
 
 
+def json_lines(violations: DataFrame) -> DataFrame:
+    """A JSON object for each violation, with the report's field names."""
+    source = F.struct(F.col("from.path").alias("path"), F.col("from.line").alias("line"), F.col("from.package_name").alias("packageName"))
+    target = F.when(F.col("to").isNotNull(), F.struct(F.col("to.path").alias("path"), F.col("to.import_path").alias("importPath"), F.col("to.type").alias("dependencyType")))
+    document = F.struct("rule", "comment", "severity", "kind", source.alias("from"), target.alias("to"))
+    return violations.select(F.to_json(document, {"ignoreNullFields": "false"}).alias("line"))
+
+
+def dot_edges(violations: DataFrame) -> DataFrame:
+    """(place, line): the edges of the graph of violations, in DOT. Nodes are
+    numbered by first appearance. Names of printable characters without quotes;
+    the driver's renderer escapes the rest."""
+    nodes = written(graph_nodes(violations), "report-nodes")
+    order = nodes.select("kind", "path", "type", "first").orderBy("first")
+    parts = written(order.withColumn("part", F.spark_partition_id()), "report-numbers")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    bases = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("first")) - 1
+    number = parts.withColumn("own", own).join(F.broadcast(bases), "part").select("kind", "path", "type", F.concat(F.lit("n"), (F.col("base") + F.col("own")).cast("string")).alias("id"))
+    a = number.where("kind = 0").select(F.col("path").alias("from_path"), F.col("id").alias("a"))
+    b = number.where("kind = 1").select(F.col("path").alias("to_path"), F.col("type").alias("to_type"), F.col("id").alias("b"))
+    rows = graph_edges(violations).join(a, "from_path").join(b, ["to_path", "to_type"])
+    label = F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "), F.col("labels"))
+    line = F.concat(F.lit("  "), "a", F.lit(" -> "), "b", F.lit(' [label="'), label, F.lit('", color="#cf222e", penwidth=3];'))
+    return rows.select(F.col("first").alias("place"), line.alias("line"))
+
+
 def positioned(violations: DataFrame) -> DataFrame:
     """Violations with ``pos``, their place in report order: they are dealt by
     ranges of that order, and a place is one within a range after the rows of

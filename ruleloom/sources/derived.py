@@ -72,6 +72,18 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(raw_imports(spark, sf_dir), MODULE).select(*IMPORT_COLUMNS)
 
 
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): the files as source text, each import on its line. Letters
+    that no import path has are replaced."""
+    path = F.regexp_replace("import_path", "[ #]", "-")
+    found = raw_imports(spark, sf_dir).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", path.alias("import_path")))).alias("found"))
+    at = lambda n: F.transform(F.filter("found", lambda x: x["line"] == n), lambda x: F.concat(F.lit('import _ "'), x["import_path"], F.lit('"')))
+    lines = F.transform(F.sequence(F.lit(2), F.array_max(F.transform("found", lambda x: x["line"]))), lambda n: F.array_join(at(n), "; "))
+    body = F.when(F.col("found").isNull(), F.lit("")).otherwise(F.array_join(lines, "\n"))
+    rows = files(spark, sf_dir).select("path", "package").join(found, "path", "left")
+    return rows.select("path", F.concat(F.lit("package "), "package", F.lit("\n"), body, F.lit("\nvar x = 1\n")).alias("text"))
+
+
 def page_imports(spark: SparkSession, sf_dir: str, module: str = "example.com") -> DataFrame:
     """Page addresses as imports."""
     rows = _table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("import_path"))
