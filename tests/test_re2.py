@@ -82,3 +82,10 @@ def test_expansion(spark):
         expand("$2", ["", "a"])
     assert quote("a+b(c)") == r"a\+b\(c\)"
     assert compile_template("^$1$").java == (r"\A", 1, r"\z")
+
+
+def test_any_letter_may_stand_beside_a_reference():
+    odd = "\U000f0000\U000f0001"
+    t = compile_template(f"^{odd}$2-$1$")
+    assert [p for p in t.java if isinstance(p, int)] == [2, 1] and t.highest == 2
+    assert "".join(p for p in t.java if isinstance(p, str)).count("\U000f0000") == 1

@@ -4,11 +4,11 @@ from ruleloom.plans.rules import evaluate
 from ruleloom.streaming import edges
 from tests import trees
 
-RULES = {"forbidden": [{"name": "l", "severity": "error", "from": {"path": ["^internal/core/"]}, "to": {"path": ["^internal/infra"]}}], "allowed": [{"name": "a", "from": {}, "to": {"path": ["model$"]}}]}
+RULES = {"forbidden": [{"name": "l", "severity": "error", "from": {"path": ["^recipes/"]}, "to": {"path": ["^oven"]}}], "allowed": [{"name": "a", "from": {}, "to": {"path": ["flour$"]}}]}
 
 
 def test_stream_equals_table(spark, tmp_path):
-    files, imports = trees.relations(spark, trees.LAYERS)
+    files, imports = trees.relations(spark, trees.BAKERY)
     imports.join(files, "path").write.parquet(str(tmp_path / "rows"))
     stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "rows")).schema).parquet(str(tmp_path / "rows"))
     query = edges.violations(RULES, stream).writeStream.format("memory").queryName("found").outputMode("append").start()
