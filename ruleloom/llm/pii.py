@@ -23,7 +23,8 @@ like the rest.
 
 Entities that recur are counted first, and only their texts are joined to
 terms. Counting runs as partial aggregates; one entity or term in a third of
-all texts is one row a task. Texts are never shuffled to find spans.
+all texts is one row a task, and its joins are dealt over several. Texts are
+never shuffled to find spans.
 
 Defined cases: a null text counts as empty and has no spans; rows with equal
 id and text get equal answers; a null id is kept; an empty table gives no rows.
@@ -36,7 +37,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import free_name, written
+from ruleloom.llm.common import dealt_join, free_name, written
 
 CONTEXT = 64
 SUPPORT = 3
@@ -153,27 +154,30 @@ def base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
-    """(e, t): terms that disclose an entity, from counts over the corpus."""
+    """(e, n, terms): the terms that disclose an entity, from counts over the
+    corpus, and the number of rows that have the entity."""
     with_entities = found.where(F.size("entities") > 0)
-    held = with_entities.select("h", F.explode("entities").alias("x")).groupBy("h", "x.e", "x.least").agg(F.count(F.lit(1)).alias("n"))
-    n_e = held.groupBy("e", "least").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= F.col("least")).select("e", "n_e")
-    held = held.join(n_e.select("e"), "e")
+    held = with_entities.select("h", F.explode("entities").alias("x")).groupBy("h", "x.e", "x.least").agg(F.count(F.lit(1)).alias("times"))
+    n_e = held.groupBy("e", "least").agg(F.sum("times").alias("n_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= F.col("least"))
+    n_e = written(n_e.select("e", "n_e", F.col("texts").alias("n")), "pii-entities")
+    held = dealt_join(held, n_e.select("e", "n"), "e", ["h"])
     terms = with_entities.select("h", F.explode(F.array_distinct(F.transform("words", lambda x: x["t"]))).alias("t")).where("t is not null").distinct()
-    together = held.join(terms, "h").groupBy("e", "least", "t").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= F.col("least"))
+    together = held.join(terms, "h").groupBy("e", "least", "t").agg(F.sum("times").alias("n_te"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= F.col("least"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(lowered(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("t"))
     n_t = words.groupBy("t").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") >= SUPPORT)
     n = F.lit(found.count()).cast("double")
     pmi = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
     content = F.log(n / F.col("n_e"))
-    scored = together.join(n_e, "e").join(n_t, "t")
-    return scored.where((content > 0) & (pmi >= THRESHOLD * content)).select("e", "t")
+    scored = together.join(n_e.select("e", "n_e"), "e").join(n_t, "t").where((content > 0) & (pmi >= THRESHOLD * content))
+    return scored.groupBy("e", F.col("n_e").alias("n")).agg(F.collect_set("t").alias("terms"))
 
 
 def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, h, email, ip, card, phone, term): every span by kind."""
     found = written(base(docs, id_col, text_col), "pii-base")
-    disclosed = disclosing(docs, found, text_col)
-    wanted = found.where(F.size("entities") > 0).select("doc_id", "h", F.explode("entities.e").alias("e")).join(disclosed, "e").groupBy("doc_id", "h").agg(F.collect_set("t").alias("wanted"))
+    disclosed = written(disclosing(docs, found, text_col), "pii-disclosed")
+    rows = found.where(F.size("entities") > 0).select("doc_id", "h", F.explode("entities.e").alias("e"))
+    wanted = dealt_join(rows, disclosed, "e", ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.array_distinct(F.flatten(F.collect_set("terms"))).alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("of"), F.col("h").alias("of_h"), "wanted")
     joined = found.join(wanted, (found["h"] == wanted["of_h"]) & found["doc_id"].eqNullSafe(wanted["of"]), "left")
     term = F.when(F.col("wanted").isNotNull(), term_spans(F.col("words"), F.col("wanted")))
