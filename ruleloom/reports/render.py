@@ -1,5 +1,10 @@
 """Reports as text: err, json, mermaid, dot, html. A report is what one run
-found for people to read, so it is rendered on the driver."""
+found for people to read, so it is rendered on the driver.
+
+Fixed values, as other tools read them: the words and signs of err, mermaid and
+dot lines, the field names of json, the names of classes and nodes
+(``sourceViolation``, ``staleBaselineError``, ``no_violations``, ``stale0``) and
+the colours ``#ffebe9`` and ``#cf222e``."""
 
 from __future__ import annotations
 
