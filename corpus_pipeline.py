@@ -38,9 +38,12 @@ def sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, capacity=packing.Capacity(documents=DOCUMENTS))
 
 
+#: Most documents of a packed sequence; each starts attention of its own.
+DOCUMENTS = 128
+
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", language_id),
     ("simhash_near_dedup", near_dedup),
