@@ -129,5 +129,20 @@ FROM cut
 """
 
 
+#: doc_id is never null nor repeated in the tables.
+_OP5 = """
+WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+windows AS (SELECT doc_id, i, b[i + 1 : i + 100] AS w FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 99)) AS i FROM docs)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS k FROM windows) WHERE k > 1),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM late),
+spans AS (SELECT doc_id, min(i) AS s, max(i) + 100 AS e FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked) GROUP BY doc_id, g),
+gaps AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS a, s AS z FROM spans UNION ALL SELECT doc_id, max(e), NULL FROM spans GROUP BY doc_id),
+left_over AS (SELECT doc_id, string_agg(CASE WHEN coalesce(z, octet_length(b)) > a THEN hex(b[a + 1 : coalesce(z, octet_length(b))]) ELSE '' END, '' ORDER BY a) AS h FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, CASE WHEN h IS NULL THEN sha256(b) ELSE sha256(unhex(h)) END AS kept_sha256
+FROM docs LEFT JOIN left_over USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": _OP3, "op7_chat_formatting": _OP7}
+    return {"op3_benchmark_decontamination": _OP3, "op5_suffix_dedup": _OP5, "op7_chat_formatting": _OP7}
