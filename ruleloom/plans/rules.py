@@ -21,6 +21,7 @@ from ruleloom.operators.closure import Edges
 from ruleloom.operators.graph import Graph, more_unstable
 from ruleloom.operators.resolve import cleaned, target_path
 from ruleloom.schema import SOURCE, TARGET, VIOLATIONS
+from ruleloom.shared import written
 
 CHUNK = 50
 
@@ -206,9 +207,11 @@ class Evaluation:
             local = self.imports.where((F.col("dependency_type") == "local") & (F.col("resolved_path") != "")).withColumn("root", cleaned(F.col("resolved_path")))
             rows = local.select("path", "line", "root").join(self.graph.facts, "path")
             rows = rows.where(reduce(lambda a, b: a | b, (from_matches(r.source, F.col("path")) for r in same)))
+            facts = [c for c, asked in (("orphan", any(r.source.orphan is not None for r in same)), ("dependents", any(r.source.less_than is not None or r.source.more_than is not None for r in same))) if asked]
+            rows = written(rows.select("path", "line", "root", "package", *facts), "reach-rows")  # read twice
             seeds = rows.select("root", F.col("root").alias("node")).distinct()
             pairs = self.closure(same[0], seeds).where(reduce(lambda a, b: a | b, (possible_target(r, F.col("node")) for r in same)))
-            met = rows.join(pairs, "root").groupBy("path", "node").agg(F.min("line").alias("line"), F.first("package").alias("package"), F.first("orphan").alias("orphan"), F.first("dependents").alias("dependents"))
+            met = rows.join(pairs, "root").groupBy("path", "node").agg(F.min("line").alias("line"), F.first("package").alias("package"), *(F.first(c).alias(c) for c in facts))
             test = lambda r: from_matches(r.source, F.col("path")) & to_matches(r, F.col("path"), F.col("node"), None)
             out = out.unionByName(self.matched(met, same, test, source_struct(F.col("path"), F.col("line"), F.col("package")), local_target(F.col("node")), "reachable"))
         return out

@@ -42,6 +42,12 @@ def test_corpus(spark, case):
     assert found(spark, tree, document) == want
 
 
+def test_reach_rules_may_ask_for_facts(spark):
+    to = {"path": ["^cellar$"], "reachable": True}
+    rules_ = [forbid("few", {"path": ["^recipes/"], "numberOfDependentsLessThan": 1}, to), forbid("some", {"path": ["^recipes/"], "numberOfDependentsMoreThan": 0}, to), forbid("alone", {"orphan": True}, to)]
+    assert found(spark, trees.BAKERY, {"forbidden": rules_}) == [("few", "recipes/cake/cake.go", 4, "cellar"), ("some", "recipes/bread/bread.go", 3, "cellar")]
+
+
 def test_targets_with_captures_are_reached(spark):
     """What a capture names can't be dropped before files are joined."""
     tree = [("a/one/x.go", "one", own("hub")), ("a/two/x.go", "two", own("hub")), ("hub/hub.go", "hub", own("z/one", "z/two")), ("z/one/z.go", "one", []), ("z/two/z.go", "two", [])]
