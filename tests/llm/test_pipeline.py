@@ -51,10 +51,14 @@ def test_stages_one_by_one(spark, small):
     fill = {}
     for r in packed:
         fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+    documents = {}
+    for r in packed:
+        documents[r.sequence_id] = documents.get(r.sequence_id, 0) + 1
+    assert max(documents.values()) <= corpus_pipeline.DOCUMENTS
     assert max(fill.values()) <= 4096 and len(fill) <= np.ceil(sum(fill.values()) / 4096) + 1
 
 
 def test_run(spark, small):
     out = corpus_pipeline.run(spark, small)
     assert out.columns[:2] == ["doc_id", "piece"] and out.count() > 100
-    assert [n for n, _ in corpus_pipeline.STAGES][1].startswith("simhash") and simhash.SHARD
+    assert [n for n, _ in corpus_pipeline.STAGES][1].startswith("simhash") and simhash.shard_count(10**9, 1000) > 10_000
