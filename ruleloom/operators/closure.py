@@ -1,7 +1,7 @@
 """Reachability over edges (src, dst), seeds included.
 
-A semi-naive fixpoint: each round joins what is new with the edges and drops
-what is known. Rounds are written to the shared folder, so lineage stays short
+A semi-naive fixpoint: each round joins what is new with the edges, twice, and
+drops what is known. Rounds are written to the shared folder, so lineage stays short
 and a lost executor costs one round; edges that are small enough are broadcast
 by Spark, which knows the size of the written table.
 """
@@ -25,15 +25,19 @@ class Edges:
     def __init__(self, edges: DataFrame):
         self.edges = written(edges.select("src", "dst").distinct(), "closure-edges")
 
+    def after(self, pairs: DataFrame) -> DataFrame:
+        """(root, node) one edge further."""
+        return pairs.join(self.edges.withColumnRenamed("src", "node"), "node").select("root", F.col("dst").alias("node"))
+
     def closure(self, seeds: DataFrame) -> DataFrame:
         """(root, node) for all nodes that each root's seeds (root, node) reach."""
         new = written(seeds.select("root", "node").distinct(), "closure-0")
         rounds, turn = [new], 0
         while True:
             turn += 1
-            step = new.join(self.edges, new["node"] == self.edges["src"]).select("root", F.col("dst").alias("node")).distinct()
+            one = self.after(new).distinct()
             known = reduce(DataFrame.union, rounds)
-            new = written(step.join(known, ["root", "node"], "left_anti"), f"closure-{turn}")
+            new = written(one.union(self.after(one)).distinct().join(known, ["root", "node"], "left_anti"), f"closure-{turn}")
             if new.isEmpty():
                 return known
             rounds.append(new)
