@@ -60,7 +60,7 @@ SEED = 32
 #: of one core that a task holds.
 BLOCKS = 2
 NARROW = 12
-GROUP = 20_000
+GROUP = 8_000
 #: Documents of the sample that common anchors are looked for in.
 SAMPLE = 20_000
 #: Bytes of text whose anchors are found at once.
@@ -439,17 +439,13 @@ def same_core(group: list[tuple[int, int, int, int, bytes]], length: int, seed:
     """Intervals (doc, th, start, stop) that repeat among contexts (doc, th,
     start, anchor's place, bytes) of one anchor and core."""
     out: list[tuple[int, int, int, int]] = []
-
-    def first_of_each(rows: Iterator[tuple[tuple[int, int, int], int, bytes]]) -> dict[tuple[bytes, int], tuple[int, int, int]]:
-        found: dict[tuple[bytes, int], tuple[int, int, int]] = {}
-        for where, at, text in rows:
-            other = found.setdefault((text, at), where)
-            if other != where:  # all of it repeats: one of the two is later
-                late, found[text, at] = max(other, where), min(other, where)
-                out.append((late[0], late[1], late[2], late[2] + len(text)))
-        return found
-
-    whole = first_of_each(((doc, th, start), a, t) for doc, th, start, a, t in group)
+    whole: dict[tuple[bytes, int], tuple[int, int, int]] = {}
+    for doc, th, start, a, t in group:
+        where = (doc, th, start)
+        other = whole.setdefault((t, a), where)
+        if other != where:  # all of it repeats: one of the two is later
+            late, whole[t, a] = max(other, where), min(other, where)
+            out.append((*late, late[2] + len(t)))
     if len(whole) < 2:
         return out
     digest = xxhash.xxh64_intdigest
@@ -470,12 +466,11 @@ def same_core(group: list[tuple[int, int, int, int, bytes]], length: int, seed:
                     yield (doc, th, start + o), a - o, t[o : e - 1 + length]
                 o = e + 1
 
-    parts = first_of_each(shared())
+    parts = list(shared())
     if len(parts) > 1:
-        places = list(parts.values())
-        for same in equal_windows(list(parts), length, seed):
+        for same in equal_windows([(t, a) for _, a, t in parts], length, seed):
             # contexts in one document may overlap, so a start can be there twice
-            starts = sorted({(places[k][0], places[k][1], places[k][2] + o) for k, o in same})
+            starts = sorted({(parts[k][0][0], parts[k][0][1], parts[k][0][2] + o) for k, o in same})
             out += [(d, t, s, s + length) for d, t, s in starts[1:]]
     return out
 

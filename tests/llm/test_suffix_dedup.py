@@ -101,7 +101,7 @@ def test_unions():
         assert all(a[0] != b[0] or a[2] < b[1] for a, b in zip(got, got[1:], strict=False))
 
 
-@pytest.mark.parametrize("group,common", [(5, False), (2, True), (20_000, True)])
+@pytest.mark.parametrize("group,common", [(5, False), (2, True), (8_000, True)])
 def test_large_groups(spark, docs_of, monkeypatch, group, common):
     """Groups beyond the limit go by narrow blocks, then by window; common
     anchors go by context and in narrow blocks."""
