@@ -62,7 +62,7 @@ BLOCKS = 2
 NARROW = 12
 GROUP = 8_000
 #: Documents of the sample that common anchors are looked for in.
-SAMPLE = 20_000
+SAMPLE = 4_000
 #: Bytes of text whose anchors are found at once.
 PIECE = 1 << 20
 
@@ -315,7 +315,7 @@ def common_anchors(docs: DataFrame, length: int, seed: int) -> np.ndarray:
     rows, in a sample of documents: fewer than four times the partitions."""
     every = max(1, math.ceil(docs.count() / SAMPLE))
     some = anchor_rows(docs.where(F.pmod(F.xxhash64("doc", "th"), F.lit(every)) == 0), length, seed, np.zeros(0, np.int64)).where("not again")
-    counts = some.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(some.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "suffix-sample")
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(16, total / (4 * shuffle_partitions(docs.sparkSession)))
     return np.array(sorted(r[0] for r in counts.where(F.col("n") > least).select("h").collect()), np.int64)
