@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleloom.llm import chat, decontam, edit_fingerprint, langid, packing, pii, simhash, suffix_dedup, token_orc, toxicity
+from ruleloom.llm import chat, decontam, edit_fingerprint, langid, mixing, packing, pii, simhash, suffix_dedup, token_orc, toxicity
 from ruleloom.llm.common import table, written
 
 
@@ -52,6 +52,10 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents")).drop("times")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_language_id,
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_best_fit_packing,
         op9_simhash_near_dedup,
         op10_token_orc,
+        op11_source_mixture,
     )
     return {f.__name__: f for f in found}
 
@@ -144,5 +149,25 @@ FROM docs LEFT JOIN left_over USING (doc_id) LEFT JOIN sums USING (doc_id)
 """
 
 
+#: doc_id is never repeated in the tables. Sources are clamped in order of
+#: size by weight; the level is the first that the next source isn't above.
+_OP11 = r"""
+WITH docs AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5('42:' || doc_id), 1, 15))::BIGINT AS draw FROM documents),
+sums AS (SELECT source, sum(size)::HUGEINT AS n, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::HUGEINT AS w FROM docs GROUP BY source),
+steps AS (SELECT *, row_number() OVER o AS k, (SELECT sum(n) FROM sums)::HUGEINT - coalesce(sum(3 * n) OVER (ORDER BY n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS num,
+  sum(w) OVER (ORDER BY n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::HUGEINT AS den FROM sums WINDOW o AS (ORDER BY n / w, source)),
+level AS (SELECT num, den FROM steps WHERE 3 * n * den >= w * num ORDER BY k LIMIT 1),
+plan AS (SELECT source, n, 3 * n * den <= w * num AS clamped, CASE WHEN 3 * n * den <= w * num THEN (3 * n)::DOUBLE ELSE (w * num)::DOUBLE / den::DOUBLE END AS target,
+  CASE WHEN n = 0 THEN 0 WHEN 3 * n * den <= w * num THEN 3 ELSE (w * num) // (n * den) END AS whole, w * num AS up, den FROM sums, level),
+goals AS (SELECT *, CASE WHEN clamped OR n = 0 THEN 0 ELSE (up - whole * n * den) // den END AS goal FROM plan),
+went AS (SELECT doc_id, d.source, size, draw, n, target, whole, goal, goal > 0 AND 2 * coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size <= 2 * goal AS more
+  FROM docs d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source),
+missed AS (SELECT *, goal - sum(CASE WHEN more THEN size ELSE 0 END) OVER (PARTITION BY source) AS miss FROM went),
+swapped AS (SELECT source, arg_min(doc_id, (abs(size - abs(miss)), draw)) AS swap FROM missed WHERE goal > 0 AND (miss > 0) = (NOT more) AND abs(size - abs(miss)) < abs(miss) GROUP BY source)
+SELECT doc_id, size, n::BIGINT AS source_size, target, (size * (whole + CASE WHEN more <> coalesce(doc_id = swap, false) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM missed m LEFT JOIN swapped s ON m.source IS NOT DISTINCT FROM s.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": _OP3, "op5_suffix_dedup": _OP5, "op7_chat_formatting": _OP7}
+    return {"op3_benchmark_decontamination": _OP3, "op5_suffix_dedup": _OP5, "op7_chat_formatting": _OP7, "op11_source_mixture": _OP11}
