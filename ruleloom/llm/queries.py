@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleloom.llm import chat, decontam, edit_fingerprint, langid, mixing, packing, pii, simhash, suffix_dedup, token_orc, toxicity
+from ruleloom.llm import chat, decontam, divergence, edit_fingerprint, langid, mixing, packing, pii, simhash, suffix_dedup, token_orc, toxicity
 from ruleloom.llm.common import table, written
 
 
@@ -56,6 +56,10 @@ def op11_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).drop("times")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_language_id,
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_simhash_near_dedup,
         op10_token_orc,
         op11_source_mixture,
+        op12_source_divergence,
     )
     return {f.__name__: f for f in found}
 
@@ -169,5 +174,25 @@ FROM missed m LEFT JOIN swapped s ON m.source IS NOT DISTINCT FROM s.source
 """
 
 
+#: doc_id is never repeated in the tables. Every term of every group, counts
+#: of zero included.
+_OP12 = rf"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_FOLD}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT doc_id, lang, source, unnest(w) AS t FROM docs),
+kept AS (SELECT lang, t, count(*) AS total FROM words GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
+postings AS (SELECT lang, source, t, count(*) AS n FROM words JOIN kept USING (lang, t) GROUP BY ALL),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS whole FROM kept GROUP BY lang),
+sizes AS (SELECT lang, source, sum(n)::HUGEINT AS size FROM postings GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+dense AS (SELECT lang, source, t, coalesce(n, 0) AS n, 1 + 1000000000 * (coalesce(n, 0) + 2)::HUGEINT // (coalesce(size, 0) + 2 * v) AS p, 1 + 1000000000 * (total + 2)::HUGEINT // (whole + 2 * v) AS q
+  FROM groups JOIN langs USING (lang) JOIN kept USING (lang) LEFT JOIN sizes USING (lang, source) LEFT JOIN postings USING (lang, source, t)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM dense a JOIN dense b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+every AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', t, (p - q) * (p - q) // (p + q) FROM dense WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM every QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": _OP3, "op5_suffix_dedup": _OP5, "op7_chat_formatting": _OP7, "op11_source_mixture": _OP11}
+    return {"op3_benchmark_decontamination": _OP3, "op5_suffix_dedup": _OP5, "op7_chat_formatting": _OP7, "op11_source_mixture": _OP11, "op12_source_divergence": _OP12}
