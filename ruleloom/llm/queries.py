@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ruleloom.llm import chat, decontam, divergence, edit_fingerprint, langid, mixing, packing, pii, simhash, suffix_dedup, token_orc, toxicity
+from ruleloom.llm import chat, decontam, divergence, edit_fingerprint, langid, mixing, negatives, packing, pii, simhash, suffix_dedup, token_orc, toxicity
 from ruleloom.llm.common import table, written
 
 
@@ -60,6 +61,11 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, label = table(spark, sf_dir, "embeddings"), F.col("label").cast("long")
+    return negatives.mine(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_language_id,
@@ -74,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_token_orc,
         op11_source_mixture,
         op12_source_divergence,
+        op13_hard_negatives,
     )
     return {f.__name__: f for f in found}
 
@@ -194,5 +201,17 @@ FROM every QUALIFY part = 'pair' OR rank <= 10
 """
 
 
+#: vec_id is never null nor repeated in the tables.
+_OP13 = """
+WITH vectors AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": _OP3, "op5_suffix_dedup": _OP5, "op7_chat_formatting": _OP7, "op11_source_mixture": _OP11, "op12_source_divergence": _OP12}
+    return {"op3_benchmark_decontamination": _OP3, "op5_suffix_dedup": _OP5, "op7_chat_formatting": _OP7, "op11_source_mixture": _OP11, "op12_source_divergence": _OP12, "op13_hard_negatives": _OP13}
