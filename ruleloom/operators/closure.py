@@ -1,7 +1,7 @@
 """Reachability over edges (src, dst), seeds included.
 
 A semi-naive fixpoint: each round joins what is new with the edges, twice, and
-drops what is known. Rounds are written to the shared folder, so lineage stays short
+one aggregate drops what is known. Rounds are written to the shared folder, so lineage stays short
 and a lost executor costs one round; edges that are small enough are broadcast
 by Spark, which knows the size of the written table.
 """
@@ -37,7 +37,8 @@ class Edges:
             turn += 1
             one = self.after(new).distinct()
             known = reduce(DataFrame.union, rounds)
-            new = written(one.union(self.after(one)).distinct().join(known, ["root", "node"], "left_anti"), f"closure-{turn}")
+            both = one.union(self.after(one)).withColumn("old", F.lit(False)).union(known.withColumn("old", F.lit(True)))
+            new = written(both.groupBy("root", "node").agg(F.max("old").alias("old")).where("not old").drop("old"), f"closure-{turn}")
             if new.isEmpty():
                 return known
             rounds.append(new)

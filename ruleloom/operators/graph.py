@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.operators.resolve import cleaned
+from ruleloom.shared import written
 
 
 @dataclass
@@ -26,13 +27,24 @@ class Graph:
         own = self.imports.where((F.col("dependency_type") == "local") & (F.col("resolved_path") != "")).select("path", cleaned(F.col("resolved_path")).alias("dst"))
         return self.files.select("path", cleaned(F.col("package_path")).alias("src")).where("src <> ''").join(own, "path")
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """(src, dst): the distinct packages of ``local``, self-imports too."""
+        return self.local.select("src", "dst").distinct()
+
+    def kept(self) -> Graph:
+        """This graph with its pairs of packages written once, for plans that
+        read them several times."""
+        self.pairs = written(self.pairs, "package-pairs")
+        return self
+
     @cached_property
     def provenance(self) -> DataFrame:
         return self.local.where("src <> dst").select("src", "dst", "path").distinct()
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self.local.where("src <> dst").select("src", "dst").distinct()
+        return self.pairs.where("src <> dst")
 
     def edges_without(self, skipped: Column | None) -> DataFrame:
         """Edges that some file supports for which ``skipped`` (on its path)
@@ -48,11 +60,11 @@ class Graph:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return self.packages.union(self.local.select("dst")).distinct()
+        return self.packages.union(self.pairs.select("dst")).distinct()
 
     @cached_property
     def imported(self) -> DataFrame:
-        return self.local.select(F.col("dst").alias("package_path")).distinct()
+        return self.pairs.select(F.col("dst").alias("package_path")).distinct()
 
     @cached_property
     def fan_in(self) -> DataFrame:
@@ -66,10 +78,9 @@ class Graph:
     def stability(self) -> DataFrame:
         """(package_path, fan_in, fan_out) of every node, in one aggregate over
         the ends of imports and the scanned packages."""
-        pairs = self.local.select("src", "dst").distinct()
         edge = (F.col("src") != F.col("dst")).cast("int")
         end = lambda name, i, o: F.struct(F.col(name).alias("package_path"), i.alias("i"), o.alias("o"))
-        ends = pairs.select(F.explode(F.array(end("src", F.lit(0), edge), end("dst", edge, F.lit(0)))).alias("x")).select("x.*")
+        ends = self.pairs.select(F.explode(F.array(end("src", F.lit(0), edge), end("dst", edge, F.lit(0)))).alias("x")).select("x.*")
         alone = self.files.select(cleaned(F.col("package_path")).alias("package_path"), F.lit(0).alias("i"), F.lit(0).alias("o")).where("package_path <> ''")
         return ends.unionByName(alone).groupBy("package_path").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
 

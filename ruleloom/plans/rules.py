@@ -8,17 +8,18 @@ generated code small.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.config import NOT_IN_ALLOWED, Config, From, Rule
 from ruleloom.functions.re2 import Pattern, Template
-from ruleloom.operators.closure import Edges
 from ruleloom.operators.graph import Graph, more_unstable
+from ruleloom.operators.labels import bit, reached, spread
 from ruleloom.operators.resolve import cleaned, target_path
 from ruleloom.schema import SOURCE, TARGET, VIOLATIONS
 from ruleloom.shared import written
@@ -116,7 +117,7 @@ class Evaluation:
 
     def __post_init__(self) -> None:
         self.graph = Graph(self.files, self.imports)
-        self.reach: dict[tuple[Pattern, ...], Edges] = {}
+        self.shown: tuple[list[tuple[Pattern, ...]], DataFrame] | None = None
 
     # Rows that rules look at
 
@@ -184,51 +185,79 @@ class Evaluation:
         test = lambda r: from_matches(r.source, F.col("src"), facts=False) & to_matches(r, F.col("src"), F.col("dst"), None)
         return self.matched(rows, rules, test, source_struct(F.col("src"), F.lit(0), F.lit("")), local_target(F.col("dst")), "forbidden")
 
-    def by_edges(self, rules: list[Rule]) -> list[list[Rule]]:
-        """Rules with the same edge filter share their edges and a closure."""
-        groups: dict[tuple, list[Rule]] = {}
-        for r in rules:
-            groups.setdefault(tuple(p.source for p in r.target.reachable_file_path_not), []).append(r)
-        return list(groups.values())
-
-    def closure(self, rule: Rule, seeds: DataFrame) -> DataFrame:
-        """Seeds are scanned packages or import targets, so all are nodes."""
-        skip = rule.target.reachable_file_path_not
-        if skip not in self.reach:
-            self.reach[skip] = Edges(self.graph.edges_without(any_matches(F.col("path"), skip) if skip else None))
-        return self.reach[skip].closure(seeds)
+    @cached_property
+    def located(self) -> DataFrame:
+        """Files with the own packages they import, written once: edges and
+        the rows of reach rules both come from it."""
+        own = self.imports.where((F.col("dependency_type") == "local") & (F.col("resolved_path") != "")).select("path", "line", cleaned(F.col("resolved_path")).alias("root"))
+        return written(self.files.select("path", "package", cleaned(F.col("package_path")).alias("src")).join(own, "path"), "located-imports")
+
+    def view_edges(self, rules: list[Rule]) -> tuple[list[tuple[Pattern, ...]], DataFrame]:
+        """The filters of all reach and unreach rules, and (src, dst, views):
+        for each filter on the files behind an edge, is some file left? One
+        pass for all, kept for rules that ask for no other."""
+        views = list(dict.fromkeys(r.target.reachable_file_path_not for r in rules))
+        if self.shown and set(views) <= set(self.shown[0]):
+            return self.shown
+        flags = [F.max(~any_matches(F.col("path"), skip)) if skip else F.max(F.lit(True)) for skip in views]
+        rows = self.located.where("src <> '' and src <> root").groupBy("src", F.col("root").alias("dst"))
+        self.shown = views, written(rows.agg(F.array(*flags).alias("views")), "view-edges")
+        return self.shown
 
     def reaches(self, rules: list[Rule]) -> DataFrame:
-        """One closure for all rules with the same edges, over the distinct
-        packages that matching files import. What no rule can name as a target
-        is dropped from it before files are joined."""
-        out = self.none()
-        for same in self.by_edges(rules):
-            local = self.imports.where((F.col("dependency_type") == "local") & (F.col("resolved_path") != "")).withColumn("root", cleaned(F.col("resolved_path")))
-            rows = local.select("path", "line", "root").join(self.graph.facts, "path")
-            rows = rows.where(reduce(lambda a, b: a | b, (from_matches(r.source, F.col("path")) for r in same)))
-            facts = [c for c, asked in (("orphan", any(r.source.orphan is not None for r in same)), ("dependents", any(r.source.less_than is not None or r.source.more_than is not None for r in same))) if asked]
-            rows = written(rows.select("path", "line", "root", "package", *facts), "reach-rows")  # read twice
-            seeds = rows.select("root", F.col("root").alias("node")).distinct()
-            pairs = self.closure(same[0], seeds).where(reduce(lambda a, b: a | b, (possible_target(r, F.col("node")) for r in same)))
-            met = rows.join(pairs, "root").groupBy("path", "node").agg(F.min("line").alias("line"), F.first("package").alias("package"), *(F.first(c).alias(c) for c in facts))
-            test = lambda r: from_matches(r.source, F.col("path")) & to_matches(r, F.col("path"), F.col("node"), None)
-            out = out.unionByName(self.matched(met, same, test, source_struct(F.col("path"), F.col("line"), F.col("package")), local_target(F.col("node")), "reachable"))
-        return out
+        """One search for all rules and filters: from the distinct packages
+        that matching files import to the packages that a rule can name, or
+        against the edges where these are fewer."""
+        if not rules:
+            return self.none()
+        views, edges = self.view_edges(rules)
+        view = {r: views.index(r.target.reachable_file_path_not) for r in rules}
+        own = F.col("path"), F.col("root"), F.col("node")
+        in_view = lambda test: F.filter(F.array(*(F.when(reduce(lambda a, b: a | b, (test(r) for r in rules if view[r] == v)), F.lit(v)) for v in sorted(set(view.values())))), lambda x: x.isNotNull())
+        facts = [c for c, asked in (("orphan", any(r.source.orphan is not None for r in rules)), ("dependents", any(r.source.less_than is not None or r.source.more_than is not None for r in rules))) if asked]
+        rows = self.located.drop("src")
+        if facts:
+            rows = rows.join(self.graph.facts.select("path", *facts), "path")
+        rows = rows.withColumn("in_views", in_view(lambda r: from_matches(r.source, own[0]))).where(F.size("in_views") > 0)
+        rows = written(rows, "reach-rows")
+        roots = written(rows.select(F.explode("in_views").alias("view"), F.col("root").alias("node")).distinct(), "reach-roots")
+        nodes = edges.select(F.col("dst").alias("node")).union(roots.select("node")).distinct()
+        targets = written(nodes.select("node", F.explode(in_view(lambda r: possible_target(r, own[2]))).alias("view")), "reach-targets")
+        pairs = reached(edges, roots, targets)
+        met = rows.join(pairs, "root").groupBy("path", "view", "node").agg(F.min("line").alias("line"), F.first("package").alias("package"), *(F.first(c).alias(c) for c in facts))
+        test = lambda r: (F.col("view") == view[r]) & from_matches(r.source, own[0]) & to_matches(r, own[0], own[2], None)
+        return self.matched(met, rules, test, source_struct(own[0], F.col("line"), F.col("package")), local_target(own[2]), "reachable")
 
     def unreaches(self, rules: list[Rule]) -> DataFrame:
-        """One closure for all rules with the same edges, its roots the rules'
-        numbers; files that a rule asks for and doesn't reach are left."""
-        out = self.none()
-        for same in self.by_edges(rules):
-            numbered = lambda test, same=same: F.explode(F.filter(F.array(*(F.when(test(r), F.struct(F.lit(str(k)).alias("root"), F.lit(r.name).alias("rule"), F.lit(r.comment).alias("comment"), F.lit(r.severity).alias("severity"))) for k, r in enumerate(same))), lambda x: x.isNotNull()))
-            files = self.graph.facts.withColumn("pkg", cleaned(F.col("package_path")))
-            seeds = files.select(F.col("pkg").alias("node"), numbered(lambda r: from_matches(r.source, F.col("path"))).alias("r")).select("r.root", "node")
-            reached = self.closure(same[0], seeds).select("root", F.col("node").alias("pkg"))
-            due = files.where("pkg <> ''").select("pkg", file_source().alias("from"), numbered(lambda r: to_matches(r, F.col("path"), F.col("pkg"), None)).alias("r")).select("pkg", "from", "r.*")
-            left = due.join(reached, ["root", "pkg"], "left_anti")
-            out = out.unionByName(left.select("rule", "comment", "severity", F.lit("unreachable").alias("kind"), "from", no_target().alias("to")))
-        return out
+        """One search for all rules and filters: a rule is a bit, packages that
+        its files have are where it starts, and files that it asks for and that
+        miss its bit are left."""
+        if not rules:
+            return self.none()
+        views, edges = self.view_edges(rules)
+        words = [(v, w, [r for r in rules if r.target.reachable_file_path_not == skip][64 * w : 64 * w + 64]) for v, skip in enumerate(views) for w in range(math.ceil(len(rules) / 64))]
+        words = [x for x in words if x[2]]
+
+        def masks(test: Callable[[Rule], Column]) -> Column:
+            """A struct (view, word, mask) for each word that has a bit."""
+            found = []
+            for v, w, held in words:
+                mask = reduce(Column.bitwiseOR, (F.when(test(r), bit(F.lit(k))).otherwise(F.lit(0)) for k, r in enumerate(held)))
+                found.append(F.struct(F.lit(v).alias("view"), F.lit(w).cast("long").alias("word"), mask.cast("long").alias("mask")))
+            return F.filter(F.array(*found), lambda x: x["mask"] != 0)
+
+        files = self.graph.facts.withColumn("pkg", cleaned(F.col("package_path")))
+        starts, asked = masks(lambda r: from_matches(r.source, F.col("path"))), masks(lambda r: to_matches(r, F.col("path"), F.col("pkg"), None))
+        marked = files.select("pkg", file_source().alias("from"), starts.alias("starts"), F.when(F.col("pkg") != "", asked).alias("asked"))
+        marked = written(marked.where((F.size("starts") > 0) | (F.size("asked") > 0)), "unreach-files")
+        seeds = marked.select(F.col("pkg").alias("node"), F.explode("starts").alias("x")).select("node", "x.*")
+        met = spread(edges, seeds).withColumnsRenamed({"node": "pkg", "mask": "met"})
+        due = marked.select("pkg", "from", F.explode("asked").alias("x")).select("pkg", "from", "x.*")
+        left = due.join(met, ["view", "word", "pkg"], "left").withColumn("mask", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("met", F.lit(0).cast("long"))))).where("mask <> 0")
+        names = F.array(*(F.struct(F.lit(v).alias("view"), F.lit(w).cast("long").alias("word"), F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.comment).alias("comment"), F.lit(r.severity).alias("severity")) for r in held)).alias("rules")) for v, w, held in words))
+        held = F.filter(names, lambda x: (x["view"] == F.col("view")) & (x["word"] == F.col("word")))[0]["rules"]
+        missed = left.withColumn("r", F.explode(F.filter(held, lambda _, k: F.getbit(F.col("mask"), k) == 1)))
+        return missed.select("r.rule", "r.comment", "r.severity", F.lit("unreachable").alias("kind"), "from", no_target().alias("to"))
 
     def not_allowed(self, rules: tuple[Rule, ...], severity: str) -> DataFrame:
         rows = self.edge_rows(False)
@@ -258,6 +287,8 @@ class Evaluation:
             if r.severity != "ignore":
                 by[shape(r)].append(r)
         required = [r for r in config.required if r.severity != "ignore"]
+        if by["reach"] and by["unreach"]:
+            self.view_edges(by["reach"] + by["unreach"])
         parts = []
         for name, run in (("edge", self.edges), ("source", self.sources), ("folder", self.folders), ("reach", self.reaches), ("unreach", self.unreaches)):
             if by[name]:

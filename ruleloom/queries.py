@@ -156,8 +156,9 @@ def _unstable_rows(s: Source) -> DataFrame:
 
 
 def _forward(s: Source, back: bool = False, plain: bool = False) -> DataFrame:
-    edges = s.graph.edges_without(F.col("path").rlike(r"_test\.go\z")) if plain else s.graph.edges
-    start = s.graph.nodes.where(F.col("package_path").startswith("internal/region/" if back else "cmd/"))
+    graph = s.graph.kept()
+    edges = graph.edges_without(F.col("path").rlike(r"_test\.go\z")) if plain else graph.edges
+    start = graph.nodes.where(F.col("package_path").startswith("internal/region/" if back else "cmd/"))
     seeds = start.select(F.col("package_path").alias("root"), F.col("package_path").alias("node"))
     return (closure.reverse_closure if back else closure.forward_closure)(edges, seeds)  # seeds are nodes
 
