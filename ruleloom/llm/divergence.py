@@ -78,9 +78,9 @@ def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
         stands: dict[tuple[str, str], Counter] = defaultdict(Counter)
         for b in batches:
             for text, lang, source in zip(byte_texts(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                found = Counter(terms(text))
+                found = terms(text)
                 occurs[lang, source].update(found)
-                stands[lang, source].update(found.keys())
+                stands[lang, source].update(set(found))
             if sum(map(len, occurs.values())) > HELD:
                 yield from rows(occurs, stands)
                 occurs.clear(), stands.clear()
