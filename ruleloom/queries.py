@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from ruleloom import config as rules
 from ruleloom.operators import baseline as base
 from ruleloom.operators import closure
+from ruleloom.operators.components import Condensed, components
 from ruleloom.operators.graph import more_unstable
 from ruleloom.plans.rules import Evaluation, ordered, shape
 from ruleloom.reports import frames
 from ruleloom.shared import written
 from ruleloom.sources import derived
-from ruleloom.sources.derived import MODULE, RAW_IMPORTS_SQL, WITH_SQL, classify_sql
+from ruleloom.sources.derived import MODULE, RAW_IMPORTS_SQL, SEQUELS_SQL, WITH_SQL, classify_sql
 from ruleloom.sources.scan import parse_sources, relations
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,6 +164,16 @@ def _forward(s: Source, back: bool = False, plain: bool = False) -> DataFrame:
     return (closure.reverse_closure if back else closure.forward_closure)(edges, seeds)  # seeds are nodes
 
 
+SMALL_PARTS = "p_type = 'PROMO' AND p_size = 1"
+
+
+def _cyclic_closure(s: Source) -> DataFrame:
+    """From all small parts of one type."""
+    parts = s.spark.read.parquet(f"{s.sf_dir}/part.parquet").where(SMALL_PARTS)
+    name = F.concat(F.lit("internal/part/p"), F.col("p_partkey").cast("string"))
+    return Condensed(derived.sequels(s.spark, s.sf_dir)).closure(parts.select(name.alias("root"), name.alias("node")))
+
+
 def _rule_query(document: dict) -> Callable[[Source], DataFrame]:
     return lambda s: flat(s.violations(document))
 
@@ -219,6 +230,15 @@ CATALOGUE: dict[str, tuple[Callable[[Source], DataFrame], str]] = {
     "q_forward_closure": (_forward, f"{WITH_SQL}, {closure_sql('c', 'edges', CMD_SEEDS)} SELECT root, node FROM c"),
     "q_forward_closure_filtered": (lambda s: _forward(s, plain=True), f"{WITH_SQL}, {PLAIN}, {closure_sql('c', 'plain', CMD_SEEDS)} SELECT root, node FROM c"),
     "q_reverse_closure": (lambda s: _forward(s, back=True), f"{WITH_SQL}, {closure_sql('c', 'edges', CMD_SEEDS.replace('cmd/', 'internal/region/'), back=True)} SELECT root, node FROM c"),
+    "q_scc": (
+        lambda s: components(derived.sequels(s.spark, s.sf_dir)),
+        f"""WITH RECURSIVE e AS ({SEQUELS_SQL}), {closure_sql("c", "e", "SELECT src AS root, src AS node FROM e UNION SELECT dst, dst FROM e")}
+SELECT a.root AS node, min(b.root) AS component FROM c a JOIN c b ON a.root = b.node AND a.node = b.root GROUP BY a.root""",
+    ),
+    "q_cyclic_closure": (
+        _cyclic_closure,
+        f"""WITH RECURSIVE e AS ({SEQUELS_SQL}), {closure_sql("c", "e", f"SELECT 'internal/part/p' || p_partkey AS root, 'internal/part/p' || p_partkey AS node FROM part WHERE {SMALL_PARTS}")} SELECT root, node FROM c""",
+    ),
     "q_forbidden_edge": (forbidden(LAYERS), f"{WITH_SQL} {SQL_LAYERS}"),
     "q_forbidden_capture": (forbidden(OWN_KEY), f"{WITH_SQL} " + edge_sql("same-digit", "regexp_matches(path, '^cmd/[a-z]+/c([0-9])') AND regexp_matches(target, '^internal/part/p(?:' || regexp_escape(regexp_extract(path, '^cmd/[a-z]+/c([0-9])', 1)) || ')')")),
     "q_forbidden_types": (forbidden(VENDOR), f"{WITH_SQL} {SQL_VENDOR}"),

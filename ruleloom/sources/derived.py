@@ -90,6 +90,19 @@ def page_imports(spark: SparkSession, sf_dir: str, module: str = "example.com")
     return classified(rows, module).select("page_id", "import_path", "resolved_path", "dependency_type")
 
 
+def sequels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): parts whose large items are followed by another part in an
+    order; a graph full of cycles."""
+    items = _table(spark, sf_dir, "lineitem")
+    part = lambda key: F.concat(F.lit("internal/part/p"), F.col(key).cast("string"))
+    a = items.where("l_quantity >= 45").select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), part("l_partkey").alias("src"))
+    b = items.select("l_orderkey", "l_linenumber", part("l_partkey").alias("dst"))
+    return a.join(b, ["l_orderkey", "l_linenumber"]).select("src", "dst").distinct()
+
+
+SEQUELS_SQL = """SELECT DISTINCT 'internal/part/p' || a.l_partkey AS src, 'internal/part/p' || b.l_partkey AS dst
+FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_quantity >= 45"""
+
 _ORDERS_SQL = """SELECT o_orderkey,
   'cmd/' || lower(c_mktsegment) || '/c' || c_custkey || '/o' || o_orderkey || CASE WHEN o_orderstatus = 'P' THEN '_test.go' ELSE '.go' END AS path,
   'cmd/' || lower(c_mktsegment) || '/c' || c_custkey AS package_path,
