@@ -1,9 +1,7 @@
 """Rules as column predicates and plans.
 
 A rule has a shape (edge, source, folder, reach or unreach; allowed, required).
-All rules of a shape are evaluated in one pass: an array with a struct for each
-rule that matches, exploded. ``CHUNK`` rules share a projection, to keep
-generated code small.
+All rules of a shape are evaluated in one pass over their rows (``index.hits``).
 """
 
 from __future__ import annotations
@@ -17,16 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.config import NOT_IN_ALLOWED, Config, From, Rule
+from ruleloom.functions.literals import SEPARATOR, antichain, backreferring, plain
 from ruleloom.functions.re2 import Pattern, Template
 from ruleloom.operators.graph import Graph, more_unstable
 from ruleloom.operators.labels import bit, reached, spread
 from ruleloom.operators.resolve import cleaned, target_path
+from ruleloom.plans.index import TOGETHER, hits, source_prefixes
 from ruleloom.schema import SOURCE, TARGET, VIOLATIONS
 from ruleloom.shared import written
 
-CHUNK = 50
-
-
 def any_matches(column: Column, patterns: tuple[Pattern, ...]) -> Column:
     return reduce(lambda a, b: a | b, (column.rlike(p.java) for p in patterns), F.lit(False))
 
@@ -41,15 +38,32 @@ def captures(column: Column, patterns: tuple[Pattern, ...], highest: int) -> Col
 
 
 def template_matches(column: Column, templates: tuple[Template, ...], found: Column | None) -> Column:
+    """``found`` has the captures. No row brings a pattern of its own: text
+    and captures are compared, and what else there is refers back to captures
+    that stand before the text."""
+
     def one(t: Template) -> Column:
         if not t.highest or found is None:
             return column.rlike("".join(map(str, t.java)))
-        parts = [F.lit(p) if isinstance(p, str) else F.concat(F.lit("(?:"), F.regexp_replace(found[p - 1], r"([\\.+*?()|\[\]{}^$#&~\-\s])", r"\\$1"), F.lit(")")) for p in t.java]
-        return F.regexp_like(column, F.concat(*parts))
+        if simple := plain(t):
+            text = F.concat(*(F.lit(p) if isinstance(p, str) else found[p - 1] for p in simple.parts))
+            if simple.first and simple.last:
+                return column == text
+            return column.startswith(text) if simple.first else column.endswith(text) if simple.last else F.contains(column, text)
+        held = [found[i] for i in range(t.highest)]
+        usual = F.concat(*(x for c in held for x in (c, F.lit(SEPARATOR))), column).rlike(backreferring(t))
+        odd = reduce(lambda a, b: a | b, (F.contains(c, F.lit(SEPARATOR)) for c in (column, *held)))
+        return F.when(odd, expanded_match(column, t, found)).otherwise(usual)
 
     return reduce(lambda a, b: a | b, map(one, templates), F.lit(False))
 
 
+def expanded_match(column: Column, t: Template, found: Column) -> Column:
+    """With a pattern for each row; only for text that holds the separator."""
+    parts = [F.lit(p) if isinstance(p, str) else F.concat(F.lit("(?:"), F.regexp_replace(found[p - 1], r"([\\.+*?()|\[\]{}^$#&~\-\s])", r"\\$1"), F.lit(")")) for p in t.java]
+    return F.regexp_like(column, F.concat(*parts))
+
+
 def from_matches(rule: From, path: Column, facts: bool = True) -> Column:
     """``facts``: the row has package, orphan and dependents; a folder row has
     dependents alone."""
@@ -125,7 +139,11 @@ class Evaluation:
         """Imports with their files' facts. If all of the rules ``only`` name
         source paths, other files are dropped before the join."""
         imports = self.imports.withColumn("target", target_path())
-        if only and all(r.source.path for r in only):
+        if only and len(only) > TOGETHER:
+            begins = antichain([p for r in only for p in source_prefixes(r)])
+            if begins[0] and len(begins) <= TOGETHER:
+                imports = imports.where(reduce(lambda a, b: a | b, (F.col("path").startswith(p) for p in begins)))
+        elif only and all(r.source.path for r in only):
             imports = imports.where(any_matches(F.col("path"), tuple(dict.fromkeys(p for r in only for p in r.source.path))))
         rows = imports.join(self.graph.facts, "path")
         return self.with_stability(rows, cleaned(F.col("package_path")), cleaned(F.col("resolved_path"))) if unstable else rows
@@ -144,24 +162,11 @@ class Evaluation:
 
     # Violations
 
-    def matched(self, rows: DataFrame, rules: list[Rule], test: Callable[[Rule], Column], source: Column, target: Column, kind: str) -> DataFrame:
-        """A row for each (row, rule) that matches; nothing is made distinct.
-        Rows that no rule matches are filtered first, as a filter can reach the
-        scans."""
-        out: DataFrame | None = None
-        for i in range(0, len(rules), CHUNK):
-            chunk = rules[i : i + CHUNK]
-            tests = [test(r) for r in chunk]
-            found = [F.struct(F.lit(r.name).alias("rule"), F.lit(r.comment).alias("comment"), F.lit(r.severity).alias("severity")) for r in chunk]
-            hits = rows.where(reduce(lambda a, b: a | b, tests))
-            if len(chunk) == 1:
-                hits = hits.select(source.alias("from"), target.alias("to"), found[0].alias("r"))
-            else:
-                each = F.array(*(F.when(t, r) for t, r in zip(tests, found, strict=True)))
-                hits = hits.select(source.alias("from"), target.alias("to"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("r"))
-            part = hits.select("r.rule", "r.comment", "r.severity", F.lit(kind).alias("kind"), "from", "to")
-            out = part if out is None else out.unionByName(part)
-        return out if out is not None else self.none()
+    def matched(self, rows: DataFrame, rules: list[Rule], test: Callable[[Rule], Column], source: Column, target: Column, kind: str, begins: tuple[Column, Column | None]) -> DataFrame:
+        """A row for each (row, rule) that matches. ``begins`` has the columns
+        that the rules' source and target patterns are matched with."""
+        found = hits(rows, rules, test, *begins).select(source.alias("from"), target.alias("to"), "r")
+        return found.select("r.rule", "r.comment", "r.severity", F.lit(kind).alias("kind"), "from", "to")
 
     def none(self) -> DataFrame:
         return self.files.sparkSession.createDataFrame([], VIOLATIONS)
@@ -171,19 +176,19 @@ class Evaluation:
             return self.none()
         rows = self.edge_rows(any(r.target.more_unstable for r in rules), rules)
         test = lambda r: from_matches(r.source, F.col("path")) & to_matches(r, F.col("path"), F.col("target"), F.col("dependency_type"))
-        return self.matched(rows, rules, test, import_source(), import_target(), "forbidden")
+        return self.matched(rows, rules, test, import_source(), import_target(), "forbidden", (F.col("path"), F.col("target")))
 
     def sources(self, rules: list[Rule]) -> DataFrame:
         if not rules:
             return self.none()
-        return self.matched(self.graph.facts, rules, lambda r: from_matches(r.source, F.col("path")), file_source(), no_target(), "forbidden")
+        return self.matched(self.graph.facts, rules, lambda r: from_matches(r.source, F.col("path")), file_source(), no_target(), "forbidden", (F.col("path"), None))
 
     def folders(self, rules: list[Rule]) -> DataFrame:
         if not rules:
             return self.none()
         rows = self.folder_rows(any(r.target.more_unstable for r in rules))
         test = lambda r: from_matches(r.source, F.col("src"), facts=False) & to_matches(r, F.col("src"), F.col("dst"), None)
-        return self.matched(rows, rules, test, source_struct(F.col("src"), F.lit(0), F.lit("")), local_target(F.col("dst")), "forbidden")
+        return self.matched(rows, rules, test, source_struct(F.col("src"), F.lit(0), F.lit("")), local_target(F.col("dst")), "forbidden", (F.col("src"), F.col("dst")))
 
     @cached_property
     def located(self) -> DataFrame:
@@ -226,7 +231,7 @@ class Evaluation:
         pairs = reached(edges, roots, targets)
         met = rows.join(pairs, "root").groupBy("path", "view", "node").agg(F.min("line").alias("line"), F.first("package").alias("package"), *(F.first(c).alias(c) for c in facts))
         test = lambda r: (F.col("view") == view[r]) & from_matches(r.source, own[0]) & to_matches(r, own[0], own[2], None)
-        return self.matched(met, rules, test, source_struct(own[0], F.col("line"), F.col("package")), local_target(own[2]), "reachable")
+        return self.matched(met, rules, test, source_struct(own[0], F.col("line"), F.col("package")), local_target(own[2]), "reachable", (own[0], own[2]))
 
     def unreaches(self, rules: list[Rule]) -> DataFrame:
         """One search for all rules and filters: a rule is a bit, packages that
@@ -266,19 +271,14 @@ class Evaluation:
         return rows.where(~matches).select(F.lit(NOT_IN_ALLOWED).alias("rule"), F.lit("").alias("comment"), F.lit(severity).alias("severity"), F.lit(NOT_IN_ALLOWED).alias("kind"), import_source().alias("from"), import_target().alias("to"))
 
     def requirements(self, rules: list[Rule]) -> DataFrame:
-        """Files of each rule without an import that satisfies it: counted in
+        """Files of each rule without an import that satisfies it: found in
         one pass over imports, and anti-joined in one pass over files."""
-        out = self.none()
-        for i in range(0, len(rules), CHUNK):
-            chunk = rules[i : i + CHUNK]
-            rows = self.edge_rows(False, chunk)
-            ok = [F.when(from_matches(r.source, F.col("path")) & to_matches(r, F.col("path"), F.col("target"), F.col("dependency_type")), F.lit(k)) for k, r in enumerate(chunk)]
-            satisfied = rows.select("path", F.explode(F.filter(F.array(*ok), lambda x: x.isNotNull())).alias("k")).distinct()
-            due = [F.when(from_matches(r.source, F.col("path")), F.struct(F.lit(k).alias("k"), F.lit(r.name).alias("rule"), F.lit(r.comment).alias("comment"), F.lit(r.severity).alias("severity"))) for k, r in enumerate(chunk)]
-            files = self.graph.facts.select("path", file_source().alias("from"), F.explode(F.filter(F.array(*due), lambda x: x.isNotNull())).alias("r")).select("path", "from", "r.*")
-            missing = files.join(satisfied, ["path", "k"], "left_anti")
-            out = out.unionByName(missing.select("rule", "comment", "severity", F.lit("required").alias("kind"), "from", no_target().alias("to")))
-        return out
+        rows = self.edge_rows(False, rules)
+        ok = lambda r: from_matches(r.source, F.col("path")) & to_matches(r, F.col("path"), F.col("target"), F.col("dependency_type"))
+        satisfied = hits(rows, rules, ok, F.col("path"), F.col("target")).select("path", "r.k").distinct()
+        due = hits(self.graph.facts, rules, lambda r: from_matches(r.source, F.col("path")), F.col("path")).select("path", file_source().alias("from"), "r.*")
+        missing = due.join(satisfied, ["path", "k"], "left_anti")
+        return missing.select("rule", "comment", "severity", F.lit("required").alias("kind"), "from", no_target().alias("to"))
 
     def violations(self, config: Config) -> DataFrame:
         """Every violation, in no order; one plan."""

@@ -104,6 +104,8 @@ FROM local l JOIN facts f USING (path) JOIN {name} c ON c.root = l.dst WHERE {wh
 
 LAYERS = forbid("entry-no-part", {"path": ["^cmd/"]}, {"path": ["^internal/part/"]}, severity="error", comment="go through  a service")
 OWN_KEY = forbid("same-digit", {"path": [r"^cmd/[a-z]+/c([0-9])"]}, {"path": [r"^internal/part/p$1"]})
+#: One rule for each of many parts, two thirds by target and the rest by source, and some that nothing matches.
+MANY = [forbid(f"part-{i:03d}", *(({"path": ["^cmd/"]}, {"path": [f"^internal/part/p{i}$"]}) if i % 3 else ({"path": [f"^internal/part/p{i}/"]}, {"path": ["^internal/supplier/"]})), severity=("info", "warn", "error")[i % 3]) for i in range(256)]
 VENDOR = forbid("no-brands", {"path": ["^internal/"]}, {"dependencyTypes": ["module"]}, severity="info")
 NOT_TYPES = forbid("own-or-std", {"path": ["^internal/"]}, {"dependencyTypesNot": ["local", "stdlib"]})
 MAINS = forbid("urgent-main", {"packageName": ["^main$"], "pathNot": ["/c[0-4][^/]*/"]}, {}, severity="error")
@@ -244,6 +246,16 @@ SELECT a.root AS node, min(b.root) AS component FROM c a JOIN c b ON a.root = b.
     "q_forbidden_types": (forbidden(VENDOR), f"{WITH_SQL} {SQL_VENDOR}"),
     "q_forbidden_types_not": (forbidden(NOT_TYPES), f"{WITH_SQL} " + edge_sql("own-or-std", "starts_with(path, 'internal/') AND dependency_type NOT IN ('local', 'stdlib')")),
     "q_forbidden_many": (forbidden(LAYERS, OWN_KEY, VENDOR, NOT_TYPES), f"{WITH_SQL} {SQL_LAYERS} UNION ALL {SQL_VENDOR} UNION ALL " + edge_sql("own-or-std", "starts_with(path, 'internal/') AND dependency_type NOT IN ('local', 'stdlib')") + " UNION ALL " + edge_sql("same-digit", "regexp_matches(path, '^cmd/[a-z]+/c([0-9])') AND regexp_matches(target, '^internal/part/p(?:' || regexp_escape(regexp_extract(path, '^cmd/[a-z]+/c([0-9])', 1)) || ')')")),
+    "q_forbidden_256": (
+        forbidden(*MANY),
+        f"{WITH_SQL}, many AS (SELECT *, regexp_extract(CASE WHEN starts_with(path, 'cmd/') THEN target ELSE path END, '^internal/part/p([0-9]+)' || CASE WHEN starts_with(path, 'cmd/') THEN '$' ELSE '/' END, 1) AS part FROM wide WHERE starts_with(path, 'cmd/') OR starts_with(target, 'internal/supplier/'))\n"
+        + edge_sql("part-000", "part <> '' AND part::BIGINT < 256 AND (part::BIGINT % 3 > 0) = starts_with(path, 'cmd/')").replace("'part-000' AS rule, 'warn'", "'part-' || lpad(part, 3, '0') AS rule, ['info', 'warn', 'error'][part::BIGINT % 3 + 1]").replace("FROM wide", "FROM many"),
+    ),
+    "q_required_many": (
+        _rule_query({"required": [{"name": f"part-{i:03d}", "from": {"path": [f"^internal/part/p{i}/"]}, "to": {"path": [f"^internal/supplier/s[0-9]*{i % 10}$"]}} for i in range(100)]}),
+        f"{WITH_SQL}, asked AS (SELECT *, regexp_extract(path, '^internal/part/p([0-9]+)/', 1) AS part FROM facts) "
+        + source_sql("part-", "part <> '' AND part::BIGINT < 100 AND NOT EXISTS (SELECT 1 FROM wide w WHERE w.path = asked.path AND regexp_matches(w.target, '^internal/supplier/s[0-9]*' || (asked.part::BIGINT % 10) || '$'))", kind="required", table="asked").replace("'part-' AS rule", "'part-' || lpad(part, 3, '0') AS rule"),
+    ),
     "q_source_package_name": (forbidden(MAINS), f"{WITH_SQL} {SQL_MAINS}"),
     "q_source_dependents_lt": (forbidden(LESS), f"{WITH_SQL} " + source_sql("few-dependents", "starts_with(path, 'internal/supplier/') AND dependents < 12")),
     "q_source_dependents_gt": (forbidden(MORE), f"{WITH_SQL} " + source_sql("hub", "dependents > 15")),
