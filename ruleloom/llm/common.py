@@ -57,8 +57,9 @@ def free_name(columns: list[str], name: str) -> str:
 
 
 def dealt_join(rows: DataFrame, facts: DataFrame, key: str, by: list[str], total: int | None = None, how: str = "inner") -> DataFrame:
-    """``rows`` joined on ``key`` with ``facts``, which has one row for a key
-    and ``n``, the number of rows that have it; ``total`` is their number.
+    """``rows`` joined on ``key`` with ``facts``, which has ``n``, the number
+    of rows that have the key. ``total`` is their sum, and has to be given
+    where ``facts`` has several rows for a key.
 
     A key with more than its share of rows (``total`` over the number of
     partitions) is dealt over several tasks by a hash of ``by``, and its facts
@@ -69,7 +70,7 @@ def dealt_join(rows: DataFrame, facts: DataFrame, key: str, by: list[str], total
         total = facts.agg(F.sum("n")).first()[0] or 0
     share = max(1, math.ceil(total / parts))
     many = F.ceil(F.col("n") / share).cast("int")
-    hot = facts.where(F.col("n") > share).select(F.col(key).alias("hot_key"), many.alias("hot_parts"))
+    hot = facts.where(F.col("n") > share).select(F.col(key).alias("hot_key"), many.alias("hot_parts")).distinct()
     left = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left").withColumn("part", F.pmod(F.xxhash64(*by), F.coalesce("hot_parts", F.lit(1))).cast("int")).drop("hot_key", "hot_parts")
     right = facts.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(many, F.lit(1)) - 1))).drop("n")
     return left.join(right, [key, "part"], how).drop("part")

@@ -43,6 +43,9 @@ CONTEXT = 64
 SUPPORT = 3
 SHARED_SUPPORT = 6
 THRESHOLD = 0.7
+#: Values that are folded at a time, and code points of a chunk of text.
+BLOCK = 256
+CHUNK = 1024
 KINDS = ("email", "ip", "card", "phone", "term")
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -55,21 +58,43 @@ SPAN = "array<struct<start:int,end:int,value:string>>"
 PLACES = "array<struct<start:int,end:int>>"
 
 
+def held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once, also where ``use`` asks
+    for it inside of a function of elements."""
+    return F.transform(F.array(value), use)[0]
+
+
+def scanned(values: Column, join: Callable[[Column, Column], Column], first: Column) -> Column:
+    """What ``join`` makes of ``first`` and all values before each one, as
+    longs. Blocks of ``BLOCK`` values are folded one by one, so no step copies
+    more than a block's results or the list of blocks."""
+
+    def fold(xs: Column, start: Column) -> Column:
+        step = lambda s, x: F.struct(join(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(xs, F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out")), step, lambda s: s["out"])
+
+    def whole(xs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(xs) / BLOCK).cast("int") - 1), lambda i: F.slice(xs, i * BLOCK + 1, BLOCK))
+        starts = fold(F.transform(blocks, lambda part: F.aggregate(part, first, join)), first)
+        return F.when(F.size(xs) == 0, F.array().cast("array<bigint>")).otherwise(F.flatten(F.zip_with(blocks, starts, fold)))
+
+    return held(values, whole)
+
+
+def before(lengths: Column) -> Column:
+    """The sum of all lengths before each one."""
+    return scanned(F.transform(lengths, lambda n: n.cast("bigint")), lambda a, b: a + b, F.lit(0).cast("bigint"))
+
+
 def located(text: Column, pattern: str, maybe: Column) -> Column:
     """Matches of ``pattern`` as structs (start, end, value); ``maybe`` is a
     cheap test that is true wherever there can be one."""
-
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.length(x["found"])
-        row = F.struct(start.alias("start"), end.alias("end"), x["found"].alias("value"))
-        return F.struct(end.alias("at"), F.when(x["found"].isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(row))).alias("out"))
-
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(gaps, found, lambda g, f: F.struct(g.alias("gap"), f.alias("found")))
-    empty = F.array().cast(SPAN)
-    run = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
-    return F.when(maybe & text.rlike(pattern), run).otherwise(empty)
+    pairs = F.zip_with(gaps, found, lambda g, f: F.struct(F.length(g).alias("gap"), F.coalesce(F.length(f), F.lit(0)).alias("n"), f.alias("value")))
+    row = lambda x, s: F.struct((s + x["gap"]).cast("int").alias("start"), (s + x["gap"] + x["n"]).cast("int").alias("end"), x["value"].alias("value"))
+    placed = held(pairs, lambda xs: F.zip_with(xs, before(F.transform(xs, lambda x: x["gap"] + x["n"])), row))
+    spans = F.filter(placed, lambda x: x["value"].isNotNull())
+    return F.when(maybe & text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
 
 
 def in_byte(part: Column) -> Column:
@@ -110,22 +135,8 @@ def lowered(text: Column) -> Column:
 
 
 def term_words(text: Column) -> Column:
-    """Terms of a whole text, as structs (gap, t): the term and the length of
-    what stands before it; a last one has no term."""
-    low = lowered(text)
-    return F.zip_with(F.split(low, TERM, -1), F.regexp_extract_all(low, F.lit(TERM), F.lit(0)), lambda g, t: F.struct(F.length(g).alias("gap"), t.alias("t")))
-
-
-def term_spans(words: Column, wanted: Column) -> Column:
-    """Where the ``wanted`` terms stand."""
-
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + F.coalesce(F.length(x["t"]), F.lit(0))
-        row = F.struct(start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.array_contains(wanted, F.coalesce(x["t"], F.lit(""))), F.concat(state["out"], F.array(row))).otherwise(state["out"]).alias("out"))
-
-    return F.aggregate(words, F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out")), step, lambda s: s["out"])
+    """Terms of a whole text, as structs (start, end, t)."""
+    return F.transform(located(lowered(text), TERM, F.lit(True)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("t")))
 
 
 def shared_part(kind: str, value: Column) -> Column:
@@ -142,46 +153,64 @@ def base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spans = base_spans(F.col("text"))
     rows = rows.select("doc_id", "text", F.xxhash64("text").alias("h"), *(c.alias(k) for k, c in spans.items()))
 
-    def entities(kind: str) -> list[Column]:
-        value = lambda x: F.struct(F.xxhash64(F.lit(kind), x["value"]).alias("e"), F.lit(SUPPORT).alias("least"))
-        shared = lambda x: F.struct(F.xxhash64(F.lit(f"{kind} shared"), shared_part(kind, x["value"])).alias("e"), F.lit(SHARED_SUPPORT).alias("least"))
-        return [F.transform(F.col(kind), value), F.transform(F.col(kind), shared)]
+    def entities(of: Callable[[str, Column], Column], least: int) -> Column:
+        """Distinct as numbers, which Spark hashes; structs it compares in pairs."""
+        numbers = lambda k: F.transform(F.col(k), lambda x: of(k, x["value"]))
+        each = F.array_distinct(F.concat(*map(numbers, spans)))
+        return F.transform(each, lambda e: F.struct(e.alias("e"), F.lit(least).alias("least")))
 
-    found = F.array_distinct(F.concat(*(c for k in spans for c in entities(k))))
+    value = entities(lambda k, v: F.xxhash64(F.lit(k), v), SUPPORT)
+    shared = entities(lambda k, v: F.xxhash64(F.lit(f"{k} shared"), shared_part(k, v)), SHARED_SUPPORT)
+    found = F.concat(value, shared)
     words = F.when(F.greatest(*(F.size(k) for k in spans)) > 0, term_words(F.col("text")))
     slim = lambda k: F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k)
     return rows.select("doc_id", "h", *(slim(k) for k in spans), found.alias("entities"), words.alias("words"))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
-    """(e, n, terms): the terms that disclose an entity, from counts over the
+    """(e, t, n): the terms that disclose an entity, from counts over the
     corpus, and the number of rows that have the entity."""
     with_entities = found.where(F.size("entities") > 0)
-    held = with_entities.select("h", F.explode("entities").alias("x")).groupBy("h", "x.e", "x.least").agg(F.count(F.lit(1)).alias("times"))
-    n_e = held.groupBy("e", "least").agg(F.sum("times").alias("n_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= F.col("least"))
+    having = with_entities.select("h", F.explode("entities").alias("x")).groupBy("h", "x.e", "x.least").agg(F.count(F.lit(1)).alias("times"))
+    n_e = having.groupBy("e", "least").agg(F.sum("times").alias("n_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= F.col("least"))
     n_e = written(n_e.select("e", "n_e", F.col("texts").alias("n")), "pii-entities")
-    held = dealt_join(held, n_e.select("e", "n"), "e", ["h"])
-    terms = with_entities.select("h", F.explode(F.array_distinct(F.transform("words", lambda x: x["t"]))).alias("t")).where("t is not null").distinct()
-    together = held.join(terms, "h").groupBy("e", "least", "t").agg(F.sum("times").alias("n_te"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= F.col("least"))
+    having = dealt_join(having, n_e.select("e", "n"), "e", ["h"])
+    terms = with_entities.select("h", F.explode(F.array_distinct(F.transform("words", lambda x: x["t"]))).alias("t")).distinct()
+    together = having.join(terms, "h").groupBy("e", "least", "t").agg(F.sum("times").alias("n_te"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= F.col("least"))
+    together = written(together.select("e", "t", "n_te"), "pii-together")
+    sizes = together.groupBy("e").agg(F.count(F.lit(1)).alias("n"))
+    together = dealt_join(together, n_e.drop("n").join(sizes, "e"), "e", ["t"])
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(lowered(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("t"))
-    n_t = words.groupBy("t").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") >= SUPPORT)
+    asked = together.select("t").distinct()  # Spark broadcasts these if they are few
+    n_t = words.join(asked, "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
     n = F.lit(found.count()).cast("double")
     pmi = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
     content = F.log(n / F.col("n_e"))
-    scored = together.join(n_e.select("e", "n_e"), "e").join(n_t, "t").where((content > 0) & (pmi >= THRESHOLD * content))
-    return scored.groupBy("e", F.col("n_e").alias("n")).agg(F.collect_set("t").alias("terms"))
+    scored = together.join(n_t.where(F.col("n_t") >= SUPPORT), "t").where((content > 0) & (pmi >= THRESHOLD * content))
+    return scored.select("e", "t", F.col("n_e").alias("n"))
+
+
+def term_places(found: DataFrame, disclosed: DataFrame) -> DataFrame:
+    """(of, of_h, term): where disclosing terms stand in documents with their
+    entity. Terms are rows, so an entity may have any number of them."""
+    rows = found.where(F.size("entities") > 0)
+    of = [F.col("doc_id").alias("of"), F.col("h").alias("of_h")]
+    having = rows.select(*of, F.explode("entities.e").alias("e"))
+    total = disclosed.select("e", "n").distinct().agg(F.sum("n")).first()[0] or 0
+    wanted = dealt_join(having, disclosed, "e", ["of", "of_h"], total).select("of", "of_h", "t").distinct()
+    words = rows.select(*of, F.explode("words").alias("w")).select(F.col("of").alias("in"), F.col("of_h").alias("in_h"), F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.t").alias("word"))
+    same = (F.col("of_h") == F.col("in_h")) & F.col("of").eqNullSafe(F.col("in")) & (F.col("t") == F.col("word"))
+    places = words.join(wanted, same).select("of", "of_h", "start", "end").distinct()
+    return places.groupBy("of", "of_h").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("term"))
 
 
 def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, h, email, ip, card, phone, term): every span by kind."""
     found = written(base(docs, id_col, text_col), "pii-base")
     disclosed = written(disclosing(docs, found, text_col), "pii-disclosed")
-    rows = found.where(F.size("entities") > 0).select("doc_id", "h", F.explode("entities.e").alias("e"))
-    wanted = dealt_join(rows, disclosed, "e", ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.array_distinct(F.flatten(F.collect_set("terms"))).alias("wanted"))
-    wanted = wanted.select(F.col("doc_id").alias("of"), F.col("h").alias("of_h"), "wanted")
-    joined = found.join(wanted, (found["h"] == wanted["of_h"]) & found["doc_id"].eqNullSafe(wanted["of"]), "left")
-    term = F.when(F.col("wanted").isNotNull(), term_spans(F.col("words"), F.col("wanted")))
-    return joined.select("doc_id", "h", *KINDS[:4], F.coalesce(term, F.array().cast(PLACES)).alias("term"))
+    places = written(term_places(found, disclosed), "pii-terms")
+    joined = found.join(places, (found["h"] == places["of_h"]) & found["doc_id"].eqNullSafe(places["of"]), "left")
+    return joined.select("doc_id", "h", *KINDS[:4], F.coalesce("term", F.array().cast(PLACES)).alias("term"))
 
 
 def listed(kinds: tuple[str, ...]) -> Column:
@@ -199,6 +228,25 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return spans_of(docs, id_col, text_col).select("doc_id", *counts, F.sha2(listed(KINDS[:4]), 256).alias("base_sha256"), listed(KINDS).alias("spans"))
 
 
+def replaced(text: Column, spans: Column) -> Column:
+    """``text`` with each of ``spans`` (start, end, tag), in order of start,
+    as its tag; one that begins inside of others goes with them. Texts are cut
+    into chunks, so that a piece costs what it has and not what stands before."""
+
+    def piece(chunks: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / CHUNK).cast("int")
+        near = F.array_join(F.slice(chunks, first + 1, F.ceil(b / CHUNK).cast("int") - first), "")
+        return F.when(b <= a, F.lit("")).otherwise(F.substring(near, (a - first * CHUNK + 1).cast("int"), (b - a).cast("int")))
+
+    def whole(chunks: Column) -> Column:
+        ends = F.transform(spans, lambda m: m["end"].cast("bigint"))
+        upto = scanned(ends, lambda a, b: F.greatest(a, b), F.lit(0).cast("bigint"))
+        pieces = F.zip_with(spans, upto, lambda m, at: F.when(m["start"] < at, F.lit("")).otherwise(F.concat(piece(chunks, at, m["start"]), m["tag"])))
+        return F.concat(F.array_join(pieces, ""), piece(chunks, F.array_max(ends), F.length(text).cast("bigint")))
+
+    return held(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), whole)
+
+
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets;
     overlapping spans become the first one's. n_chars follows the text where
@@ -214,13 +262,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     found, h = F.col(name), F.xxhash64(F.coalesce("text", F.lit("")))
     joined = docs.join(marks, (h == found["h"]) & F.col("doc_id").eqNullSafe(found["doc_id"]), "left")
 
-    def step(s: Column, m: Column) -> Column:
-        inside = m["start"] < s["at"]
-        out = F.when(inside, s["out"]).otherwise(F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, m["start"] - s["at"]), m["tag"]))
-        return F.struct(F.greatest(s["at"], m["end"]).alias("at"), out.alias("out"))
-
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.when(found.isNull(), F.col("text")).otherwise(F.aggregate(found["spans"], first, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))))
+    text = F.when(found.isNull(), F.col("text")).otherwise(replaced(F.col("text"), found["spans"]))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(found.isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
