@@ -19,7 +19,10 @@ from ruleloom.sources.scan import module_of, scan
 
 @dataclass
 class Result:
-    """``violations``, ``known`` and ``stale`` as DataFrames, in order."""
+    """``violations``, ``known`` and ``stale`` as DataFrames, in order.
+
+    ``report`` alone brings them to the driver, for a text that a person reads;
+    counts and exit codes are aggregates."""
 
     violations: DataFrame
     known: DataFrame
@@ -32,7 +35,7 @@ class Result:
 
     @property
     def error_count(self) -> int:
-        return self.report.summary()["error"]
+        return int(base.summary(self.violations, self.stale).first()["error"])
 
     @property
     def exit_code(self) -> int:
@@ -49,13 +52,12 @@ def normalized(config: rules.Config | dict[str, Any]) -> rules.Config:
 
 def validate_frames(config: rules.Config | dict[str, Any], files: DataFrame, imports: DataFrame, baseline: list[base.Entry] | None = None) -> Result:
     """Evaluate rules over relations that are at hand. Violations are written
-    once to the shared folder, as a baseline reads them three times."""
+    once to the shared folder, as counts, reports and a baseline all read them."""
     spark = files.sparkSession
-    found = evaluate(normalized(config), files, imports)
+    found = written(evaluate(normalized(config), files, imports), "violations")
     if baseline is None:
         return Result(ordered(found), found.limit(0), base.frame(spark, []))
     known = base.frame(spark, base.check_entries(baseline))
-    found = written(found, "violations")
     return Result(ordered(base.new(found, known)), ordered(base.known(found, known)), base.ordered(base.stale(found, known)))
 
 
