@@ -14,6 +14,7 @@ from ruleloom.operators import baseline as base
 from ruleloom.operators import closure
 from ruleloom.operators.components import Condensed, components
 from ruleloom.operators.graph import more_unstable
+from ruleloom.operators.resolve import cleaned
 from ruleloom.plans.rules import Evaluation, ordered, shape
 from ruleloom.reports import frames
 from ruleloom.shared import written
@@ -169,6 +170,16 @@ def _forward(s: Source, back: bool = False, plain: bool = False) -> DataFrame:
 SMALL_PARTS = "p_type = 'PROMO' AND p_size = 1"
 
 
+def _clean_paths(s: Source) -> DataFrame:
+    """A path of each part, written in one of five odd ways."""
+    name = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    ways = [("internal//part/./", "/"), ("./cmd/../internal/part/", ""), ("/../part/", "/.."), ("../../part//", ""), ("part/", "/../..")]
+    raw = F.concat(F.lit(ways[0][0]), name, F.lit(ways[0][1]))
+    for k, (head, tail) in enumerate(ways[1:], 1):
+        raw = F.when(F.col("p_size") % 5 == k, F.concat(F.lit(head), name, F.lit(tail))).otherwise(raw)
+    return s.spark.read.parquet(f"{s.sf_dir}/part.parquet").select("p_partkey", cleaned(raw).alias("path"))
+
+
 def _cyclic_closure(s: Source) -> DataFrame:
     """From all small parts of one type."""
     parts = s.spark.read.parquet(f"{s.sf_dir}/part.parquet").where(SMALL_PARTS)
@@ -213,6 +224,10 @@ CATALOGUE: dict[str, tuple[Callable[[Source], DataFrame], str]] = {
     "q_imports": (lambda s: s.imports.select("path", "import_path", "line"), f"{WITH_SQL} SELECT path, import_path, line FROM imports"),
     "q_classify": (lambda s: s.imports.groupBy("import_path", "resolved_path", "dependency_type").agg(F.count(F.lit(1)).alias("n")), f"{WITH_SQL} SELECT import_path, resolved_path, dependency_type, count(*) AS n FROM imports GROUP BY ALL"),
     "q_classify_pages": (lambda s: derived.page_imports(s.spark, s.sf_dir), classify_sql("SELECT page_id, regexp_replace(url, '^https?://', '') AS import_path FROM pages", "example.com")),
+    "q_clean_paths": (
+        _clean_paths,
+        """SELECT p_partkey, CASE p_size % 5 WHEN 1 THEN 'internal/part/p' || p_partkey WHEN 2 THEN '/part' WHEN 3 THEN '../../part/p' || p_partkey WHEN 4 THEN '.' ELSE 'internal/part/p' || p_partkey END AS path FROM part""",
+    ),
     "q_type_counts": (lambda s: s.imports.groupBy("dependency_type").agg(F.count(F.lit(1)).alias("n")), f"{WITH_SQL} SELECT dependency_type, count(*) AS n FROM imports GROUP BY 1"),
     "q_edges": (lambda s: s.graph.edges, f"{WITH_SQL} SELECT src, dst FROM edges"),
     "q_edge_provenance": (lambda s: s.graph.provenance, f"{WITH_SQL} SELECT src, dst, path FROM provenance"),
@@ -272,6 +287,10 @@ SELECT a.root AS node, min(b.root) AS component FROM c a JOIN c b ON a.root = b.
     "q_required": (_rule_query({"required": [REQUIRED]}), f"{WITH_SQL} {SQL_REQUIRED}"),
     "q_required_capture": (_rule_query({"required": [REQUIRED_CAPTURE]}), f"{WITH_SQL} " + source_sql("same-end", "starts_with(path, 'internal/part/p') AND NOT EXISTS (SELECT 1 FROM wide w WHERE w.path = facts.path AND regexp_matches(w.target, '^internal/supplier/s[0-9]*(?:' || regexp_extract(facts.path, '^internal/part/p[0-9]*([0-9])/', 1) || ')$'))", "error", "required")),
     "q_baseline_generate": (lambda s: base.generate(s.violations(BASELINE_DOCUMENT)).withColumnsRenamed({"from": "from_path", "to": "target"}), f"{BASELINE_SQL} SELECT rule, from_path, target FROM ids"),
+    "q_baseline_order": (
+        lambda s: frames.placed(base.generate(s.violations(BASELINE_DOCUMENT)), ["rule", "from", F.col("to").asc_nulls_first()]).withColumnsRenamed({"from": "from_path", "to": "target"}),
+        f"{BASELINE_SQL} SELECT rule, from_path, target, row_number() OVER (ORDER BY rule, from_path, target NULLS FIRST) AS pos FROM ids",
+    ),
     "q_baseline_known": (lambda s: flat(base.known(*_baseline(s))), f"{BASELINE_SQL} SELECT v.* FROM violations v WHERE EXISTS (SELECT 1 FROM baseline b WHERE b.rule = v.rule AND b.from_path = v.from_path AND b.target IS NOT DISTINCT FROM coalesce(nullif(v.to_import, ''), v.to_path))"),
     "q_baseline_new": (lambda s: flat(base.new(*_baseline(s))), f"{BASELINE_SQL} SELECT v.* FROM violations v WHERE NOT EXISTS (SELECT 1 FROM baseline b WHERE b.rule = v.rule AND b.from_path = v.from_path AND b.target IS NOT DISTINCT FROM coalesce(nullif(v.to_import, ''), v.to_path))"),
     "q_baseline_stale": (lambda s: base.stale(*_baseline(s)).withColumnsRenamed({"from": "from_path", "to": "target"}), f"{BASELINE_SQL} SELECT rule, from_path, target FROM baseline EXCEPT SELECT rule, from_path, target FROM ids"),

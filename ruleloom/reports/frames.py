@@ -65,20 +65,24 @@ def dot_edges(violations: DataFrame) -> DataFrame:
     return rows.select(F.col("first").alias("place"), line.alias("line"))
 
 
-def positioned(violations: DataFrame) -> DataFrame:
-    """Violations with ``pos``, their place in report order: they are dealt by
-    ranges of that order, and a place is one within a range after the rows of
-    the ranges before it. Ranges are written, so that they stay as they are."""
-    target = [F.coalesce(F.col(c), F.lit("")) for c in ("to.path", "to.type")]
-    order = ["rule", "severity", "from.path", "from.line", *target, "kind", F.coalesce("to.import_path", F.lit(""))]
-    parts = int(violations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = written(violations.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()), "report-order")
+def placed(rows: DataFrame, order: list[str | Column]) -> DataFrame:
+    """``rows`` with ``pos``, their place in an order: they are dealt by ranges
+    of that order, and a place is one within a range after the rows of the
+    ranges before it. Ranges are written, so that they stay as they are."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()), "report-order")
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     bases = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     own = F.row_number().over(Window.partitionBy("range").orderBy(*order))
     return dealt.withColumn("own", own).join(F.broadcast(bases), "range").withColumn("pos", (F.col("base") + F.col("own")).cast("long")).drop("range", "own", "base")
 
 
+def positioned(violations: DataFrame) -> DataFrame:
+    """Violations with their place in report order."""
+    target = [F.coalesce(F.col(c), F.lit("")) for c in ("to.path", "to.type")]
+    return placed(violations, ["rule", "severity", "from.path", "from.line", *target, "kind", F.coalesce("to.import_path", F.lit(""))])
+
+
 def graph_nodes(violations: DataFrame) -> DataFrame:
     """(kind, path, type, first, labels): sources (kind 0) and targets (1) by
     first appearance; ``labels`` are of violations without a target."""
