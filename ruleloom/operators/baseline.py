@@ -5,6 +5,7 @@ violates any more is stale, which counts as an error."""
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 from typing import Any
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ruleloom.config import quoted
 from ruleloom.schema import BASELINE
+from ruleloom.shared import shared_path
 
 
 class BaselineError(ValueError):
@@ -104,16 +106,36 @@ def key_target() -> Column:
     return F.when(F.col("to").isNotNull(), F.coalesce(F.nullif(F.col("to.import_path"), F.lit("")), F.col("to.path")))
 
 
+#: What identifies a violation; tables are bucketed by it.
+KEY = ["k_rule", "k_from", "k_to", "k_has"]
+
+
 def identified(violations: DataFrame) -> DataFrame:
+    """Violations with their ``KEY``; a stored table has it."""
+    if set(KEY) <= set(violations.columns):
+        return violations
     to = key_target()
     return violations.withColumns({"k_rule": F.col("rule"), "k_from": F.col("from.path"), "k_to": F.coalesce(to, F.lit("")), "k_has": to.isNotNull()})
 
 
 def keys(baseline: DataFrame) -> DataFrame:
+    if set(KEY) <= set(baseline.columns):
+        return baseline.select(*KEY)
     return baseline.select(F.col("rule").alias("k_rule"), F.col("from").alias("k_from"), F.coalesce("to", F.lit("")).alias("k_to"), F.col("to").isNotNull().alias("k_has"))
 
 
-KEY = ["k_rule", "k_from", "k_to", "k_has"]
+def stored(rows: DataFrame, name: str | None = None, buckets: int | None = None) -> DataFrame:
+    """A baseline (rule, from, to) or violations as a table in the shared
+    folder, bucketed and sorted by ``KEY``: joins by identity don't shuffle it
+    again. Two tables with as many buckets join without a shuffle. Fewer
+    buckets than Spark has shuffle partitions would be shuffled for them."""
+    spark = rows.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = name or f"stored_{uuid.uuid4().hex}"
+    keyed = identified(rows) if "severity" in rows.columns else keys(rows).distinct()
+    writer = keyed.write.bucketBy(max(least, buckets or 0), *KEY).sortBy(*KEY).option("path", shared_path(spark, name))
+    writer.saveAsTable(name)
+    return spark.table(name)
 
 
 def generate(violations: DataFrame) -> DataFrame:
@@ -126,11 +148,11 @@ def ordered(baseline: DataFrame) -> DataFrame:
 
 
 def known(violations: DataFrame, baseline: DataFrame) -> DataFrame:
-    return identified(violations).join(keys(baseline), KEY, "left_semi").select(*violations.columns)
+    return identified(violations).join(keys(baseline), KEY, "left_semi").select(*(c for c in violations.columns if c not in KEY))
 
 
 def new(violations: DataFrame, baseline: DataFrame) -> DataFrame:
-    return identified(violations).join(keys(baseline), KEY, "left_anti").select(*violations.columns)
+    return identified(violations).join(keys(baseline), KEY, "left_anti").select(*(c for c in violations.columns if c not in KEY))
 
 
 def stale(violations: DataFrame, baseline: DataFrame) -> DataFrame:

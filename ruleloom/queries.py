@@ -293,6 +293,7 @@ SELECT a.root AS node, min(b.root) AS component FROM c a JOIN c b ON a.root = b.
     ),
     "q_baseline_known": (lambda s: flat(base.known(*_baseline(s))), f"{BASELINE_SQL} SELECT v.* FROM violations v WHERE EXISTS (SELECT 1 FROM baseline b WHERE b.rule = v.rule AND b.from_path = v.from_path AND b.target IS NOT DISTINCT FROM coalesce(nullif(v.to_import, ''), v.to_path))"),
     "q_baseline_new": (lambda s: flat(base.new(*_baseline(s))), f"{BASELINE_SQL} SELECT v.* FROM violations v WHERE NOT EXISTS (SELECT 1 FROM baseline b WHERE b.rule = v.rule AND b.from_path = v.from_path AND b.target IS NOT DISTINCT FROM coalesce(nullif(v.to_import, ''), v.to_path))"),
+    "q_baseline_stored": (lambda s: flat(base.new(*map(base.stored, _baseline(s)))), f"{BASELINE_SQL} SELECT v.* FROM violations v WHERE NOT EXISTS (SELECT 1 FROM baseline b WHERE b.rule = v.rule AND b.from_path = v.from_path AND b.target IS NOT DISTINCT FROM coalesce(nullif(v.to_import, ''), v.to_path))"),
     "q_baseline_stale": (lambda s: base.stale(*_baseline(s)).withColumnsRenamed({"from": "from_path", "to": "target"}), f"{BASELINE_SQL} SELECT rule, from_path, target FROM baseline EXCEPT SELECT rule, from_path, target FROM ids"),
     "q_violations_all": (_rule_query(WHOLE), f"{SQL_WHOLE} SELECT * FROM violations"),
     "q_summary": (lambda s: base.summary(s.violations(WHOLE)), f"{SQL_WHOLE} SELECT count(*) AS total, count(*) FILTER (severity = 'error') AS error, count(*) FILTER (severity = 'warn') AS warn, count(*) FILTER (severity = 'info') AS info, count(*) FILTER (severity = 'ignore') AS ignore FROM violations"),
