@@ -151,3 +151,30 @@ def test_clashing_columns(spark, docs_of):
     assert rows[1].text == "write to <EMAIL>, <IP>" and rows[1].n_chars == 22 and rows[2].text is None and rows[None].text == "<EMAIL>"
     assert all(r[n] == "mine" for r in rows.values() for n in names)
     assert {r.n_email for r in pii.personal_data(docs).collect()} == {0, 1}
+
+
+def test_many_spans_in_one_text(spark):
+    """Folds go block by block: far more spans than a block has, and letters
+    of several bytes between them."""
+    n = 12000
+    text = "".join(f"é\U0001f600 user{i}@mail{i % 50}.example.org, 10.0.{i % 300}.7 said hello\n" for i in range(n))
+    docs = spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string")
+    row = {r.doc_id: r for r in pii.personal_data(docs).collect()}[1]
+    emails = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text)]
+    ips = [m.span() for m in re.finditer(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    assert row.n_email == n and row.n_ip == len(ips)
+    assert row.spans == ",".join([*(f"email:{a}:{b}" for a, b in emails), *(f"ip:{a}:{b}" for a, b in ips)])
+    want = list(text)
+    for tag, spans in (("<EMAIL>", emails), ("<IP>", ips)):
+        for a, b in spans:
+            want[a:b] = [tag, *[""] * (b - a - 1)]
+    assert {r.doc_id: r.text for r in pii.sanitised(docs).collect()} == {1: "".join(want), 2: "plain"}
+
+
+def test_scanned_equals_a_running_fold(spark):
+    values = [(i * 7919) % 1000 for i in range(3 * pii.BLOCK + 5)]
+    for n in (0, 1, pii.BLOCK - 1, pii.BLOCK, pii.BLOCK + 1, len(values)):
+        df = spark.createDataFrame([(values[:n],)], "x array<bigint>")
+        most = pii.scanned(pii.F.col("x"), lambda a, b: pii.F.greatest(a, b), pii.F.lit(0).cast("bigint"))
+        got = df.select(pii.before(pii.F.col("x")), most).first()
+        assert got[0] == [sum(values[:i]) for i in range(n)] and got[1] == [max([0, *values[:i]]) for i in range(n)]
