@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ruleloom.reports.text import dot_label, fields, one_line, quoted
 from ruleloom.shared import written
 
 # Reasons by kind, for violations with and without a target.
@@ -13,7 +14,7 @@ SOURCE_REASONS = {"forbidden": "forbidden source", "required": "required depende
 
 
 def reason(kind: Column, edge: Column) -> Column:
-    unknown = F.concat(F.lit('unknown violation kind "'), kind, F.lit('"'))
+    unknown = F.concat(F.lit("unknown violation kind "), quoted(kind))
 
     def chosen(reasons: dict[str, str]) -> Column:
         out = F.when(F.lit(False), "")
@@ -25,16 +26,15 @@ def reason(kind: Column, edge: Column) -> Column:
 
 
 def err_lines(violations: DataFrame) -> DataFrame:
-    """A line for each violation, and what to do about it on a second one.
-    Names of printable characters; the driver's renderer quotes the rest."""
+    """A line for each violation, and what to do about it on a second one."""
     edge = F.col("to").isNotNull()
     line = F.concat(
-        F.lit("["), F.col("severity"), F.lit('] rule "'), F.col("rule"), F.lit('": '), F.col("from.path"),
+        F.lit("["), one_line(F.col("severity")), F.lit("] rule "), quoted(F.col("rule")), F.lit(": "), one_line(F.col("from.path")),
         F.when(F.col("from.line") != 0, F.concat(F.lit(":"), F.col("from.line").cast("string"))).otherwise(""),
-        F.when(edge, F.concat(F.lit(" -> "), F.col("to.path"), F.lit(" ("), F.col("to.type"), F.lit(")"))).otherwise(""),
+        F.when(edge, F.concat(F.lit(" -> "), one_line(F.col("to.path")), F.lit(" ("), one_line(F.col("to.type")), F.lit(")"))).otherwise(""),
         F.lit(": "), reason(F.col("kind"), edge),
     )
-    fix = F.trim(F.regexp_replace("comment", r"\s+", " "))
+    fix = fields(F.col("comment"))
     return violations.select(F.concat(line, F.when(fix != "", F.concat(F.lit("\n  fix: "), fix)).otherwise("")).alias("line"))
 
 
@@ -48,8 +48,7 @@ def json_lines(violations: DataFrame) -> DataFrame:
 
 def dot_edges(violations: DataFrame) -> DataFrame:
     """(place, line): the edges of the graph of violations, in DOT. Nodes are
-    numbered by first appearance. Names of printable characters without quotes;
-    the driver's renderer escapes the rest."""
+    numbered by first appearance."""
     nodes = written(graph_nodes(violations), "report-nodes")
     order = nodes.select("kind", "path", "type", "first").orderBy("first")
     parts = written(order.withColumn("part", F.spark_partition_id()), "report-numbers")
@@ -60,7 +59,7 @@ def dot_edges(violations: DataFrame) -> DataFrame:
     a = number.where("kind = 0").select(F.col("path").alias("from_path"), F.col("id").alias("a"))
     b = number.where("kind = 1").select(F.col("path").alias("to_path"), F.col("type").alias("to_type"), F.col("id").alias("b"))
     rows = graph_edges(violations).join(a, "from_path").join(b, ["to_path", "to_type"])
-    label = F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "), F.col("labels"))
+    label = dot_label(F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "), F.col("labels")))
     line = F.concat(F.lit("  "), "a", F.lit(" -> "), "b", F.lit(' [label="'), label, F.lit('", color="#cf222e", penwidth=3];'))
     return rows.select(F.col("first").alias("place"), line.alias("line"))
 

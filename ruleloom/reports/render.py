@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import json
+import re
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -55,6 +56,14 @@ class Report:
         return {"total": len(self.violations) + len(self.stale)} | counts
 
 
+#: Unicode's white space, which is less than what ``str.split`` takes for it.
+_SPACE = re.compile("[\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def fields(text: str) -> str:
+    return _SPACE.sub(" ", text).strip(" ")
+
+
 def one_line(text: str) -> str:
     return quoted(text)[1:-1]
 
@@ -66,7 +75,7 @@ def err(report: Report) -> str:
         reasons = SOURCE_REASONS if v.target is None else EDGE_REASONS
         to = "" if v.target is None else f" -> {one_line(v.target.path)} ({one_line(v.target.type)})"
         out.append(f"{place}{to}: {reasons.get(v.kind, f'unknown violation kind {quoted(v.kind)}')}\n")
-        if fix := " ".join(v.comment.split()):
+        if fix := fields(v.comment):
             out.append(f"  fix: {fix}\n")
     return "".join(out) + "".join(f"[error] {stale_message(e)}\n" for e in report.stale)
 
