@@ -46,6 +46,8 @@ THRESHOLD = 0.7
 #: Values that are folded at a time, and code points of a chunk of text.
 BLOCK = 256
 CHUNK = 1024
+#: Bytes of the asked terms up to which they are broadcast.
+BROADCAST = 8 << 20
 KINDS = ("email", "ip", "card", "phone", "term")
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -181,8 +183,10 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> Dat
     sizes = together.groupBy("e").agg(F.count(F.lit(1)).alias("n"))
     together = dealt_join(together, n_e.drop("n").join(sizes, "e"), "e", ["t"])
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(lowered(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("t"))
-    asked = together.select("t").distinct()  # Spark broadcasts these if they are few
-    n_t = words.join(asked, "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
+    asked = written(together.select("t").distinct(), "pii-asked")
+    if (asked.agg(F.sum(F.octet_length("t") + 32)).first()[0] or 0) <= BROADCAST:
+        words = words.join(F.broadcast(asked), "t", "left_semi")  # else all terms are counted, in partial sums
+    n_t = words.groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
     n = F.lit(found.count()).cast("double")
     pmi = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
     content = F.log(n / F.col("n_e"))
