@@ -17,7 +17,9 @@ How it runs:
   within ``radius`` have distances to the vantage point that differ by at most
   ``radius``, so a point whose distance exceeds the node's by at most
   ``radius`` also queries the inner side. Each close pair therefore meets in
-  some shard: the join is exact. Shards grow in number with the fingerprints.
+  some shard: the join is exact. Shards grow in number with the fingerprints;
+  the tree is cut where the sample is largest and ends at the number asked for,
+  so that a fingerprint is copied no more often than that number needs.
 * Each shard goes on splitting by vantage points until leaves are small, then
   compares in blocks, and gives each local component as a binary tree: a
   fingerprint has at most three links in a shard, so there are no hubs.
@@ -34,6 +36,7 @@ counts as smallest only where all ids of a component are null.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -56,6 +59,9 @@ LARGE_SHARD = 1 << 16
 #: Fingerprints that a leaf compares directly, and rows of one block.
 LEAF = 384
 BLOCK = 1024
+#: Fingerprints that go down the tree at once: a visit of a node costs about
+#: the same for one as for many.
+ROUTED = 1 << 16
 
 _SPREAD = np.uint64(0x0101010101010101)
 _SHIFTS = np.arange(8, dtype=np.uint64)[:, None]
@@ -115,22 +121,30 @@ def cut(d: np.ndarray, radius: int) -> int:
     return int(np.argmin(np.maximum(inner[:65], outer)))
 
 
-def build_tree(sample: np.ndarray, depth: int, radius: int, seed: int = 7) -> list:
-    """Nested [vantage point, cut, inner, outer]; a leaf is []."""
+def build_tree(sample: np.ndarray, shards: int, radius: int, seed: int = 7) -> list:
+    """Nested [vantage point, cut, inner, outer]; a leaf is []. The leaf with
+    most of the sample is cut next, until there are ``shards`` leaves or none
+    left that a cut makes smaller."""
     rng = np.random.default_rng(seed)
-
-    def node(points: np.ndarray, depth: int) -> list:
-        if depth == 0 or len(points) < 16:
-            return []
+    root: list = []
+    largest = [(-len(sample), 0, root, np.asarray(sample, np.uint64))]
+    leaves, made = 1, 0
+    while largest and leaves < shards:
+        size, _, leaf, points = heapq.heappop(largest)
+        if -size < 16:
+            break
         at = points[rng.integers(len(points))]
         d = distances(points, at)
         c = cut(d, radius)
-        inner, outer = d <= c + radius, d > c
-        if max(inner.sum(), outer.sum()) > 0.95 * len(points):
-            return []
-        return [int(at), c, node(points[inner], depth - 1), node(points[outer], depth - 1)]
-
-    return node(np.asarray(sample, np.uint64), depth)
+        sides = points[d <= c + radius], points[d > c]
+        if max(map(len, sides)) > 0.95 * len(points):
+            continue
+        leaf += [int(at), c, [], []]
+        leaves += 1
+        for child, side in zip(leaf[2:], sides, strict=True):
+            made += 1
+            heapq.heappush(largest, (-len(side), made, child, side))
+    return root
 
 
 def route(tree: list, points: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -194,7 +208,8 @@ def components(points: np.ndarray, radius: int, seed: int = 11) -> np.ndarray:
 
 
 def shard_count(n: int, partitions: int) -> int:
-    """Shards that ``n`` fingerprints should make, before overlap."""
+    """Shards that ``n`` fingerprints should make; their sizes are before
+    overlap."""
     return max(1, math.ceil(n / LARGE_SHARD), min(math.ceil(n / SMALL_SHARD), 4 * partitions))
 
 
@@ -208,13 +223,26 @@ def near_links(reps: DataFrame, radius: int) -> DataFrame:
     if shards > 1:
         every = max(1, math.ceil(n / min(SAMPLE, PER_SHARD * shards)))
         sample = reps.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp").toArrow().column("fp").to_numpy()
-        tree = build_tree(np.sort(sample).view(np.uint64), math.ceil(math.log(shards, 1.6)), radius)
+        tree = build_tree(np.sort(sample).view(np.uint64), shards, radius)
+
+    def dealt(fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = list(route(tree, fp.view(np.uint64), radius))
+        if found:
+            shard = np.repeat(np.array([k for k, _ in found], np.int32), [len(at) for _, at in found])
+            fp = fp[np.concatenate([at for _, at in found])]
+            for i in range(0, len(fp), ROUTED):
+                yield pa.RecordBatch.from_arrays([pa.array(shard[i : i + ROUTED]), pa.array(fp[i : i + ROUTED])], ["shard", "fp"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
-            fp = b.column(0).to_numpy()
-            for shard, at in route(tree, fp.view(np.uint64), radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int32)), pa.array(fp[at])], ["shard", "fp"])
+            held.append(b.column(0).to_numpy())
+            n += len(held[-1])
+            if n >= ROUTED:
+                yield from dealt(np.concatenate(held))
+                held, n = [], 0
+        if held:
+            yield from dealt(np.concatenate(held))
 
     def linked(group: pa.Table) -> pa.Table:
         fp = np.sort(group.column("fp").to_numpy())

@@ -2,7 +2,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ruleloom.llm import langid, simhash
+from ruleloom.llm import langid
 from ruleloom.llm.common import table
 from ruleloom.llm.tokens import default_path
 
@@ -61,4 +61,4 @@ def test_stages_one_by_one(spark, small):
 def test_run(spark, small):
     out = corpus_pipeline.run(spark, small)
     assert out.columns[:2] == ["doc_id", "piece"] and out.count() > 100
-    assert [n for n, _ in corpus_pipeline.STAGES][1].startswith("simhash") and simhash.shard_count(10**9, 1000) > 10_000
+    assert [n for n, _ in corpus_pipeline.STAGES][1].startswith("simhash")

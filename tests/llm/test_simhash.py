@@ -53,7 +53,7 @@ def test_tree_join_is_exact(spark):
     points = np.unique(np.concatenate([*points, ball]))
     rng.shuffle(points)
     assert (simhash.components(points, 2) == brute_labels(points)).all()
-    tree = simhash.build_tree(points, 5, 2)
+    tree = simhash.build_tree(points, 32, 2)
     shards = [set(at.tolist()) for _, at in simhash.route(tree, points, 2)]
     assert len(shards) > 8
     i, j = np.nonzero(np.bitwise_count(points[:, None] ^ points[None, :]) <= 2)
@@ -61,6 +61,26 @@ def test_tree_join_is_exact(spark):
     assert all(member[a] & member[b] for a, b in zip(i.tolist(), j.tolist(), strict=True))
 
 
+def shards_of(n, shards):
+    points = np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64)
+    tree = simhash.build_tree(points[: simhash.PER_SHARD * shards], shards, 2)
+    return [len(at) for _, at in simhash.route(tree, points, 2)]
+
+
+def test_as_many_shards_as_asked():
+    sizes = shards_of(50_000, 64)
+    assert len(sizes) == 64
+    assert sum(sizes) <= 3.2 * 50_000 and max(sizes) <= 2 * sum(sizes) / 64
+
+
+def test_sample_that_no_cut_makes_smaller():
+    same = np.full(1000, 7, np.uint64)
+    assert simhash.build_tree(same, 8, 2) == []
+    assert simhash.build_tree(np.array([], np.uint64), 8, 2) == []
+    some = np.concatenate([same, np.random.default_rng(1).integers(0, 2**63, 400, dtype=np.uint64)])
+    assert len(list(simhash.route(simhash.build_tree(some, 8, 2), some, 2))) == 8
+
+
 def brute_labels(points):
     close = np.bitwise_count(points[:, None] ^ points[None, :]) <= 2
     label = np.arange(len(points))
