@@ -7,14 +7,19 @@ language is the one with the largest mean probability over all its windows, and
 its score is that mean. Every byte of a text is read, however long it is.
 
 Training (numpy, Adam) uses at most ``SAMPLE_ROWS`` labelled rows, picked by a
-hash of the id, and crops of ``CROP_BYTES`` bytes that are spread evenly over
-each whole text, one for every ``CROP_EVERY`` bytes or a few. Rows whose crc32 of the id modulo 4 is 2 are held out. Only text and
-lang are inputs. For inference the filters become two tables over byte pairs,
+hash of id and text, and crops of ``CROP_BYTES`` bytes that are spread evenly over
+each whole text, one for every ``CROP_EVERY`` bytes or a few. All crops have at
+most ``SAMPLE_BYTES`` bytes, which bounds what the driver gets and the time of
+training; fewer rows are taken where texts are long. Rows whose crc32 of the id
+modulo 4 is 2 are held out. Only text and lang are inputs. For inference the filters become two tables over byte pairs,
 so a position costs two row lookups.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0;
 without labelled rows every text is ``und``; equal texts get equal answers; a
-null id is kept, trained on if labelled, and not held out.
+null id is kept, trained on if labelled, and not held out; of languages with
+equal probability the first by name is the answer; columns beyond doc_id, text
+and lang are ignored by ``identify`` and kept by ``keep_known``, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -31,6 +36,11 @@ from pyspark.sql import functions as F
 from ruleloom.llm.common import arrow_map, byte_texts
 
 SAMPLE_ROWS = 6000
+#: Bytes of all crops; where texts are long, fewer rows are taken. A text whose
+#: crops alone have more (one of 128 MB) isn't learned from.
+SAMPLE_BYTES = 16 << 20
+#: Bins of the hash by which rows are chosen.
+BINS = 1 << 16
 CROPS = 3
 CROP_BYTES = 256
 CROP_EVERY = 2048
@@ -160,12 +170,31 @@ def crops(text: bytes) -> list[bytes]:
     return [c for c in dict.fromkeys(text[s : s + CROP_BYTES] for s in starts) if has_letters(c)]
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[bytes, str]]:
-    """Crops of at most about ``rows`` labelled rows that are not held out."""
-    labelled = docs.where(F.col("lang").isNotNull() & ~held_out())
-    n = labelled.count()
-    key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    some = labelled.where(key < int((1 << 30) * min(1.0, rows / max(n, 1)))) if n > rows else labelled
+def chosen(labelled: DataFrame, rows: int, budget: int) -> str | None:
+    """A condition on ``bin`` that keeps at most ``rows`` rows whose crops have
+    at most ``budget`` bytes; null where all rows do. Rows and bytes of each bin
+    of a hash are counted by the executors; bins are taken in order, and one
+    that doesn't fit is left out."""
+    size = F.greatest(F.lit(CROPS), F.floor(F.octet_length("text") / CROP_EVERY)) * CROP_BYTES
+    counts = labelled.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
+    bins = sorted(tuple(r) for r in counts.collect())  # at most BINS
+    if sum(n for _, n, _ in bins) <= rows and sum(size for _, _, size in bins) <= budget:
+        return None
+    taken = []
+    for at, n, size in bins:
+        if n <= rows and size <= budget:
+            rows, budget = rows - n, budget - size
+            taken.append(str(at))
+    return f"bin in ({', '.join(taken)})" if taken else "false"
+
+
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, budget: int = SAMPLE_BYTES) -> list[tuple[bytes, str]]:
+    """Crops of labelled rows that are not held out: of at most ``rows`` rows,
+    and at most ``budget`` bytes."""
+    some = docs.where(F.col("lang").isNotNull() & ~held_out())
+    some = some.select(F.col("lang").cast("string").alias("lang"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(BINS)).alias("bin"))
+    condition = chosen(some, rows, budget)
+    some = some.where(condition) if condition else some
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,7 +202,7 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[bytes, str]]:
             columns = list(zip(*found, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.string())], ["crop", "lang"])
 
-    found = arrow_map(some.select(F.col("lang").cast("string"), "text"), run, "crop binary, lang string").toArrow()
+    found = arrow_map(some.select("lang", "text"), run, "crop binary, lang string").toArrow()
     return sorted(zip(found.column("crop").to_pylist(), found.column("lang").to_pylist(), strict=True))
 
 

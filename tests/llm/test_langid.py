@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ruleloom.llm import langid
 from ruleloom.llm.common import table
@@ -61,6 +62,31 @@ def test_crops_reach_the_whole_text():
     assert len(langid.crops(long)) == len(long) // langid.CROP_EVERY and langid.crops(long)[-1] == long[-langid.CROP_BYTES :] and langid.crops(b"ab") == [b"ab"]
 
 
+def test_sample_is_bounded_in_bytes(spark):
+    long = "dies ist ein langer satz ueber nichts " * 10_000  # 380,000 bytes, 185 crops
+    rows = [(i, f"{i} {long}", "de") for i in range(40)] + [(100 + i, f"this is a short text {i}", "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    every = langid.sample(docs)
+    assert {lang for _, lang in every} == {"de", "en"}
+    for budget in (1 << 17, 1 << 19):
+        some = langid.sample(docs, budget=budget)
+        assert 0 < sum(len(c) for c, _ in some) <= budget
+        assert {lang for _, lang in some} == {"de", "en"} and len(some) < len(every)
+        assert some == langid.sample(docs.repartition(3), budget=budget)
+    assert langid.sample(docs, budget=100) == []
+    one_id = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert 0 < len({c for c, lang in langid.sample(one_id, rows=20) if lang == "en"}) <= 20
+
+
+def test_ties_and_clashing_columns(spark):
+    assert langid.answers(langid.Network(["aa", "bb"], [np.zeros((w, langid.CODES, langid.FILTERS), np.float32) for w in langid.WIDTHS], np.zeros(48, np.float32), np.zeros((48, 2), np.float32), np.zeros(2, np.float32)), (np.zeros((langid.CODES**2, 48), np.float32),) * 2, [b"some text"])[0][0] == "aa"
+    rows = [(i, f"plain words of one language {i}", "en", -i, 0.5, "x") for i in range(30)] + [(99, "12 34", "en", 0, 0.1, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, bin long, score double, crop string")
+    assert langid.identify(docs).columns == ["doc_id", "held_out", "lang_pred", "score"]
+    kept = langid.keep_known(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == rows[:30]
+
+
 def test_held_out_accuracy(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     truth = {r.doc_id: r.lang for r in docs.collect()}
