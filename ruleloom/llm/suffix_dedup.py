@@ -43,7 +43,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +65,9 @@ GROUP = 8_000
 SAMPLE = 4_000
 #: Bytes of text whose anchors are found at once.
 PIECE = 1 << 20
+#: Blocks that a task holds at once to put equal ones together (about 550 bytes
+#: each).
+HELD = 200_000
 
 _BYTE = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -533,11 +536,12 @@ def solved(contexts: DataFrame, length: int, seed: int, name: str) -> tuple[Data
     return found.where("context is null").select("doc", "th", "start", F.col("at").alias("stop")), found.where("context is not null")
 
 
-def blocks_of(rows: Iterator[tuple[int, int, int, int, bytes, int]], length: int, seed: int) -> list[tuple]:
-    """Rows of ``CONTEXT`` for the blocks of contexts (doc, th, start, place of
-    the anchor, bytes, number of blocks). Where a block repeats among them, the
-    later one is settled: a row without a context, its end in place of the
-    anchor's, and a number of its own to deal it by."""
+def blocks_of(rows: Iterable[tuple[int, int, int, int, bytes, int]], length: int, seed: int, most: int = HELD) -> Iterator[pa.RecordBatch]:
+    """``CONTEXT`` for the blocks of contexts (doc, th, start, place of the
+    anchor, bytes, number of blocks), in batches of about ``most`` rows. Where a
+    block repeats within a batch, the later one is settled: a row without a
+    context, its end in place of the anchor's, and a number of its own to deal
+    it by. What repeats in different batches meets later, with its group."""
     out: list[tuple] = []
     first: dict[tuple[int, int, bytes], tuple[int, int, int]] = {}
     digest = xxhash.xxh64_intdigest
@@ -549,8 +553,10 @@ def blocks_of(rows: Iterator[tuple[int, int, int, int, bytes, int]], length: int
             if other != where:
                 first[key], late = min(other, where), max(other, where)
                 out.append((digest(b"%d %d" % (late[0], late[2])) - (1 << 63), *late, late[2] + len(key[2]), None))
-    out += [(k, *where, at, t) for (k, at, t), where in first.items()]
-    return out
+        if len(out) + len(first) >= most:
+            yield _context_batch(out + [(k, *where, at, t) for (k, at, t), where in first.items()])
+            out, first = [], {}
+    yield _context_batch(out + [(k, *where, at, t) for (k, at, t), where in first.items()])
 
 
 def windows_apart(contexts: DataFrame, length: int, name: str) -> DataFrame:
@@ -586,18 +592,22 @@ def meet(docs: DataFrame, firsts: DataFrame, length: int, seed: int, common: np.
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def contexts(b: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, bytes, int]]:
-            for doc, th, t, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), byte_texts(b.column(2)), b.column(3).to_pylist(), strict=True):
-                for x in at:
-                    s = max(0, x["start"] - reach)
-                    yield doc, th, s, x["start"] - s, t[s : x["start"] + length], NARROW if x["h"] in many else BLOCKS
+            at = b.column(3)
+            ends = at.value_lengths().to_numpy().cumsum()
+            h, start = (at.flatten().field(i).to_numpy() for i in (0, 1))
+            for doc, th, t, n, end in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), byte_texts(b.column(2)), at.value_lengths().to_pylist(), ends.tolist(), strict=True):
+                for i in range(end - n, end):
+                    x = int(start[i])
+                    s = max(0, x - reach)
+                    yield doc, th, s, x - s, t[s : x + length], NARROW if int(h[i]) in many else BLOCKS
 
         for b in batches:
-            yield _context_batch(blocks_of(contexts(b), length, seed))
+            yield from blocks_of(contexts(b), length, seed)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
-            yield _context_batch(blocks_of(((doc, th, start, a, t, NARROW) for _, doc, th, start, a, t in rows), length, seed))
+            yield from blocks_of(((doc, th, start, a, t, NARROW) for _, doc, th, start, a, t in rows), length, seed)
 
     out, large = solved(arrow_map(with_text, cut, CONTEXT), length, seed, "suffix-cores")
     if large.isEmpty():

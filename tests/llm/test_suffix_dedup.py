@@ -151,3 +151,15 @@ def test_a_line_that_fills_the_corpus(spark, docs_of):
     docs = docs_of(rows).withColumn("h", sd.F.lit("mine")).withColumn("doc", sd.F.lit("mine")).withColumn("th", sd.F.lit("mine")).repartition(6)
     assert len(sd.common_anchors(sd.keyed(docs), 100, 32)) > 0
     check(sd.deduplicated(docs).drop("kept").collect(), rows)
+
+
+def test_blocks_come_in_bounded_batches():
+    text = b"".join(b"line %06d of a template that repeats and repeats over and over again\n" % (i % 700) for i in range(2000))
+    rows = [(1, 0, max(0, p - 68), min(p, 68), text[max(0, p - 68) : p + 100], 12) for p in range(0, len(text) - 100, 31)]
+    whole = list(sd.blocks_of(rows, 100, 32))
+    parts = list(sd.blocks_of(rows, 100, 32, 500))
+    assert len(whole) == 1 and len(parts) > 20 and max(b.num_rows for b in parts) < 520
+    blocks = lambda batches: sum(b.num_rows for b in batches)
+    assert blocks(whole) == blocks(parts)
+    assert {c for b in whole for c in b.column(5).to_pylist()} == {c for b in parts for c in b.column(5).to_pylist()}
+    assert [b.num_rows for b in sd.blocks_of([], 100, 32)] == [0]
