@@ -17,7 +17,8 @@ and salt, so a length that a third of all pieces have is dealt over many tasks.
 With the default capacities tokens alone bind, as a sequence has no more
 documents than tokens and its attention cost is at most their square; that
 gives the fewest sequences. Tighter ones bind by themselves: the pipeline
-limits documents, and tests limit both.
+limits documents to fewer than tokens alone would put together, and tests limit
+both.
 
 Defined cases: a null text counts as empty and has the end id alone; equal
 rows are packed one by one; an empty table gives no rows; a longer document is
