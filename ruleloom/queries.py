@@ -20,7 +20,7 @@ from ruleloom.reports import frames
 from ruleloom.shared import written
 from ruleloom.sources import derived
 from ruleloom.sources.derived import MODULE, RAW_IMPORTS_SQL, SEQUELS_SQL, WITH_SQL, classify_sql
-from ruleloom.sources.scan import parse_sources, relations
+from ruleloom.sources.scan import Module, parse_sources, relations, scan, write_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -202,6 +202,17 @@ def _scanned(s: Source) -> DataFrame:
     return files.join(imports, "path", "left").select("path", "package_path", "package", "package_line", "import_path", "resolved_path", "dependency_type", "line")
 
 
+def _scanned_tree(s: Source) -> DataFrame:
+    """The same texts as files of a tree, listed, parsed and classified. Beside
+    them lie files that don't parse, in folders that are skipped."""
+    nations = s.spark.read.parquet(f"{s.sf_dir}/nation.parquet")
+    folder = F.element_at(F.array(*map(F.lit, ("vendor/", "cmd/testdata/", "_old/", "internal/.cache/"))), F.col("n_nationkey") % 4 + 1)
+    skipped = nations.select(F.concat(folder, F.col("n_name"), F.lit("/x.go")).alias("path"), F.lit("no source").alias("text"))
+    root = write_tree(derived.sources(s.spark, s.sf_dir).select("path", "text").unionByName(skipped))
+    files, imports = scan(s.spark, root, Module(MODULE))
+    return files.join(imports, "path", "left").select("path", "package_path", "package", "package_line", "import_path", "resolved_path", "dependency_type", "line")
+
+
 #: A rule document for each customer; two in three have something wrong.
 def _config_errors(s: Source) -> DataFrame:
     key, name = F.col("c_custkey"), F.col("c_name")
@@ -216,6 +227,9 @@ CONFIG_ERRORS_SQL = """SELECT c_custkey::BIGINT AS id, CASE c_custkey % 3 WHEN 1
   CASE WHEN c_custkey % 3 > 0 THEN 2 END AS line, CASE c_custkey % 3 WHEN 1 THEN length(' "severity": ') + 1 WHEN 2 THEN length(' "severity": "warn", "from": {}, "to": {}, ') + 1 END AS col,
   CASE c_custkey % 3 WHEN 1 THEN 'unknown severity "grave' || c_custkey || '"' WHEN 2 THEN 'unknown field "x' || c_custkey || '"' END AS message FROM customer"""
 
+SCAN_SQL = f"""{WITH_SQL}, again AS ({classify_sql(f"SELECT path, regexp_replace(import_path, '[ #]', '-', 'g') AS import_path, line FROM ({RAW_IMPORTS_SQL})", MODULE)})
+SELECT path, package_path, package, package_line, import_path, resolved_path, dependency_type, line FROM files LEFT JOIN again USING (path)"""
+
 _GRAPH_ROWS = """label AS (SELECT *, row_number() OVER (ORDER BY rule, severity, from_path, from_line, coalesce(to_path, ''), coalesce(to_type, ''), kind, coalesce(to_import, '')) AS pos FROM violations)"""
 
 #: name: (query over a Source, SQL)
@@ -308,11 +322,8 @@ SELECT count(*) AS total, count(*) FILTER (severity = 'error') AS error, count(*
         lambda s: flat(frames.positioned(s.violations(WHOLE)), "pos"),
         f"{SQL_WHOLE} SELECT *, row_number() OVER (ORDER BY rule, severity, from_path, from_line, coalesce(to_path, ''), coalesce(to_type, ''), kind, coalesce(to_import, '')) AS pos FROM violations",
     ),
-    "q_scan": (
-        _scanned,
-        f"""{WITH_SQL}, again AS ({classify_sql(f"SELECT path, regexp_replace(import_path, '[ #]', '-', 'g') AS import_path, line FROM ({RAW_IMPORTS_SQL})", MODULE)})
-SELECT path, package_path, package, package_line, import_path, resolved_path, dependency_type, line FROM files LEFT JOIN again USING (path)""",
-    ),
+    "q_scan": (_scanned, SCAN_SQL),
+    "q_scan_tree": (_scanned_tree, SCAN_SQL),
     "q_config_errors": (_config_errors, CONFIG_ERRORS_SQL),
     "q_json_lines": (
         lambda s: frames.json_lines(s.violations(BASELINE_DOCUMENT)),
