@@ -12,7 +12,8 @@ each whole text, one for every ``CROP_EVERY`` bytes or a few. All crops have at
 most ``SAMPLE_BYTES`` bytes, which bounds what the driver gets and the time of
 training; fewer rows are taken where texts are long. Rows whose crc32 of the id
 modulo 4 is 2 are held out. Only text and lang are inputs. For inference the filters become two tables over byte pairs,
-so a position costs two row lookups.
+so a position costs two row lookups; positions go through them in spans, so a
+worker's memory is a few bytes for each of a batch.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0;
 without labelled rows every text is ``und``; equal texts get equal answers; a
@@ -47,13 +48,16 @@ CROP_EVERY = 2048
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Positions convolved at once.
+#: Windows whose positions are convolved at once, and windows whose table rows
+#: are looked up at once: eight bytes a position, so not for a whole batch.
 CHUNK_WINDOWS = 32
+SPAN_WINDOWS = 64 * CHUNK_WINDOWS
 
 #: Codes of bytes: white space 0, ASCII letters without case 1-26, digits 27,
 #: other ASCII 28, bytes beyond ASCII one each.
 CODE = np.array([0 if b in b" \t\n\r\x0b\x0c" else (b | 32) - 96 if chr(b | 32).isalpha() and b < 128 else 27 if 48 <= b < 58 else 28 if b < 128 else b - 99 for b in range(256)], np.int64)
 CODES = int(CODE.max()) + 1
+CODE_BYTES = CODE.astype(np.uint8).tobytes()
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -89,29 +93,36 @@ class Network:
         """``codes``: whole windows one after the other; ``ends``: where texts
         end. What follows an end counts as white space (code 0), so no filter
         reads the next text."""
-        first = codes * CODES
-        first[:-1] += codes[1:]
-        first[ends - 1] = codes[ends - 1] * CODES
-        second = np.zeros(len(codes), np.int64)
-        second[:-2] = first[2:]
-        second[ends - 1] = second[ends - 2] = 0
-        peaks = []
-        for i in range(0, len(codes), CHUNK_WINDOWS * WINDOW):
-            part = slice(i, i + CHUNK_WINDOWS * WINDOW)
-            r = tables[0].take(first[part], axis=0)
-            r += tables[1].take(second[part], axis=0)
-            peaks.append(r.reshape(-1, WINDOW, r.shape[1]).max(axis=1))
-        z = np.maximum(np.concatenate(peaks) + self.bias, 0) @ self.out + self.out_bias
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+        found = []
+        for at in range(0, len(codes), SPAN_WINDOWS * WINDOW):
+            n = min(len(codes) - at, SPAN_WINDOWS * WINDOW)
+            near = np.zeros(n + 3, np.int64)
+            part = codes[at : at + n + 3]
+            near[: len(part)] = part
+            last = ends[np.searchsorted(ends, at, "right") : np.searchsorted(ends, at + n + 2, "right")] - at - 1
+            first = near[:-1] * CODES + near[1:]
+            first[last] = near[last] * CODES
+            second = first[2:].copy()
+            second[last[last < n]] = 0
+            second[last[(last > 0) & (last <= n)] - 1] = 0
+            peaks = []
+            for i in range(0, n, CHUNK_WINDOWS * WINDOW):
+                part = slice(i, min(i + CHUNK_WINDOWS * WINDOW, n))
+                r = tables[0].take(first[part], axis=0)
+                r += tables[1].take(second[part], axis=0)
+                peaks.append(r.reshape(-1, WINDOW, r.shape[1]).max(axis=1))
+            z = np.maximum(np.concatenate(peaks) + self.bias, 0) @ self.out + self.out_bias
+            z = np.exp(z - z.max(axis=1, keepdims=True))
+            found.append(z / z.sum(axis=1, keepdims=True))
+        return np.concatenate(found)
 
 
 def window_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all windows of all texts, and each text's number of windows.
-    A text is padded with white space, four bytes at least."""
+    """Codes of all windows of all texts, a byte each, and each text's number of
+    windows. A text is padded with white space, four bytes at least."""
     counts = np.array([(len(t) + 4 + WINDOW - 1) // WINDOW for t in texts], np.int64)
-    joined = b"".join(t.ljust(int(n) * WINDOW) for t, n in zip(texts, counts, strict=True))
-    return CODE[np.frombuffer(joined, np.uint8)], counts
+    joined = b"".join([t.translate(CODE_BYTES).ljust(int(n) * WINDOW, b"\0") for t, n in zip(texts, counts, strict=True)])
+    return np.frombuffer(joined, np.uint8), counts
 
 
 def train(samples: list[tuple[bytes, str]], epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 3) -> Network:

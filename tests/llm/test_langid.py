@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -23,6 +24,36 @@ def test_tables_equal_plain_convolution():
         assert np.allclose(z / z.sum(), got[k], atol=1e-3)
 
 
+def test_spans_equal_one_span(monkeypatch):
+    """Every window a span of its own, so that every end lies at an edge."""
+    rng = np.random.default_rng(1)
+    net = langid.train([(b"the cat sat on the mat", "en"), (b"der hund und die katze", "de")] * 20, epochs=2)
+    texts = [bytes(rng.integers(32, 256, n, dtype=np.uint8)) for n in (1, 60, 123, 124, 125, 127, 128, 129, 380, 5000)]
+    codes, counts = langid.window_codes(texts)
+    ends = counts.cumsum() * langid.WINDOW
+    whole = net.window_probabilities(codes, net.tables(), ends)
+    for t, n, end in zip(texts, counts, counts.cumsum(), strict=True):
+        alone = net.window_probabilities(langid.window_codes([t])[0], net.tables(), np.array([n * langid.WINDOW]))
+        assert np.allclose(alone, whole[end - n : end], atol=1e-6)
+    for span in (1, 2, 5):
+        monkeypatch.setattr(langid, "SPAN_WINDOWS", span)
+        assert np.allclose(net.window_probabilities(codes, net.tables(), ends), whole, atol=1e-6)
+
+
+def test_memory_follows_bytes():
+    """A text takes a few bytes for each of its own: as a worker may hold
+    much from other stages, a batch mustn't take some twenty times its size."""
+    net = langid.train([(b"the cat sat on the mat", "en"), (b"der hund und die katze", "de")] * 20, epochs=1)
+    tables, text = net.tables(), b"the cat sat on the mat " * 400_000
+    tracemalloc.start()
+    try:
+        langid.answers(net, tables, [text])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 8 * len(text)
+
+
 def test_answers_by_hand(spark, small):
     """Language and score of every text, by plain convolution over all of its
     windows."""
