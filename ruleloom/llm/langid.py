@@ -48,8 +48,8 @@ CROP_EVERY = 2048
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Windows whose positions are convolved at once, and windows whose table rows
-#: are looked up at once: eight bytes a position, so not for a whole batch.
+#: Windows convolved at once; windows whose positions are turned into numbers of
+#: table rows at once, which take eight bytes each.
 CHUNK_WINDOWS = 32
 SPAN_WINDOWS = 64 * CHUNK_WINDOWS
 
