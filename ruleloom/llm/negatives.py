@@ -1,27 +1,26 @@
 """Hard negatives by a two-dimensional block matrix product (operator 13).
 
 Scores of all anchors against all rows are a matrix product, done the SUMMA way:
-both factors are cut into blocks of rows and chunks of dimensions; a grid of
-cells gets the anchor blocks of its line and the row blocks of its column, for
-one chunk each; every cell emits partial tiles of whole-number scores; a shuffle
-by (anchor block, row block) adds the chunks' tiles up. Tiles are then reduced:
+both factors are cut into blocks of rows; a grid of cells gets the anchor blocks
+of its line and the row blocks of its column; a cell adds up the products of
+panels of dimensions where they are, so that a tile of whole-number scores is
+neither stored nor sent. A cell reduces its tiles at once, in two passes:
 
-1. the leading rows of the anchor's own label, in each tile and then overall,
-   are its positives;
+1. the leading rows of the anchor's own label, in each cell and then overall,
+   are its positives; only rows of that label are multiplied;
 2. each (anchor, positive) has a window of scores, and the leading rows of other
-   labels in it, in each tile and then overall, are its negatives.
+   labels in it, in each cell and then overall, are its negatives.
 
-Components are quantised: floor(scale * x). A partial product is exact in
-doubles, as chunks are multiplied 32 dimensions at a time with components of at
-most 24 bits, and sums are int64; a tile is stored in 32 bits where it fits.
+Components are quantised: floor(scale * x). A product is exact, as it is made in
+the narrowest kind of number that holds its largest sum; beyond doubles, panels
+of 32 dimensions with components of at most 24 bits are added up in int64.
 
-How it runs: blocks are a few thousand rows of bytes, so Spark moves tiles, not
-scores. No key is hot: cells, tiles and anchors have bounded sizes whatever the
-labels. Added tiles are written once, with their leading positives beside them,
-so that the first reduction reads these alone. What the second needs to know of
-an anchor block (its positives) is joined to its tiles, dealt by columns of the
-grid. The work is as many products as anchors times rows, as every row is
-looked at for every anchor.
+How it runs: blocks are a few thousand rows of bytes, so Spark moves blocks, and
+what leaves a cell are leading rows. What is dealt grows with the root of the
+number of cells, not with the scores. No key is hot: cells and blocks have
+bounded sizes whatever the labels. The blocks that a grid repeats are never
+broadcast, as their size before they are repeated says nothing of it after. The
+work is anchors times rows, as every row is looked at for every anchor.
 
 Defined cases: rows with a null label or vector, or a null or non-finite
 component, take no part, nor do rows without an id, as no pair could name them;
@@ -35,7 +34,7 @@ other columns aren't looked at.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +50,8 @@ EXACT = 32
 #: Rows of a block, and anchors of one.
 ROWS = 2048
 ANCHORS = 256
-#: Most chunks of dimensions; each has a multiple of ``EXACT``.
-CHUNKS = 8
+#: Anchor blocks whose leading rows a task holds before it passes them on.
+HELD = 256
 
 BLOCKS = "block long, n int, dim int, ids binary, labels binary, at_block binary, at_row binary, vectors binary"
 
@@ -61,11 +60,22 @@ def longs(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values, np.int64).tobytes()
 
 
+def stored(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as all of them need."""
+    low, high = (int(values.min()), int(values.max())) if values.size else (0, 0)
+    kind = next(k for k in (np.int16, np.int32, np.int64) if low >= np.iinfo(k).min and high <= np.iinfo(k).max)
+    return values.astype(kind).tobytes()
+
+
+def restored(data: bytes, n: int, m: int) -> np.ndarray:
+    return np.frombuffer(data, f"i{len(data) // max(1, n * m) or 2}").reshape(n, m)
+
+
 def block_row(block: int, ids: np.ndarray, labels: np.ndarray, at_block: np.ndarray, at_row: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
     """One block as a row, its rows in order of id."""
     order = np.argsort(ids, kind="stable")
     n, dim = vectors.shape
-    cells = [block, n, dim, longs(ids[order]), longs(labels[order]), longs(at_block[order]), longs(at_row[order]), np.ascontiguousarray(vectors[order], np.int32).tobytes()]
+    cells = [block, n, dim, longs(ids[order]), longs(labels[order]), longs(at_block[order]), longs(at_row[order]), stored(vectors[order])]
     kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5]
     return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], [c.split()[0] for c in BLOCKS.split(", ")])
 
@@ -125,10 +135,6 @@ def row_blocks(rows: DataFrame, scale: float = SCALE) -> DataFrame:
     return arrow_map(rows, run, BLOCKS)
 
 
-def matrix(data: bytes, n: int, dim: int) -> np.ndarray:
-    return np.frombuffer(data, np.int32).reshape(n, dim)
-
-
 def anchor_blocks(blocks: DataFrame, every: int) -> DataFrame:
     """Blocks of the rows whose id ``every`` divides; ``at_block`` and
     ``at_row`` say where these stand among ``blocks``."""
@@ -137,7 +143,7 @@ def anchor_blocks(blocks: DataFrame, every: int) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 ids = np.frombuffer(r["ids"], np.int64)
-                labels, vectors = np.frombuffer(r["labels"], np.int64), matrix(r["vectors"], r["n"], r["dim"])
+                labels, vectors = np.frombuffer(r["labels"], np.int64), restored(r["vectors"], r["n"], r["dim"])
                 for i in np.nonzero(ids % every == 0)[0]:
                     yield block_row(r["block"], ids[i : i + 1], labels[i : i + 1], np.array([r["block"]]), np.array([i]), vectors[i : i + 1])
 
@@ -147,7 +153,7 @@ def anchor_blocks(blocks: DataFrame, every: int) -> DataFrame:
         def parts() -> Iterator[tuple[np.ndarray, ...]]:
             for b in batches:
                 for r in b.to_pylist():
-                    yield (*(np.frombuffer(r[c], np.int64) for c in ("ids", "labels", "at_block", "at_row")), matrix(r["vectors"], 1, r["dim"]))
+                    yield (*(np.frombuffer(r[c], np.int64) for c in ("ids", "labels", "at_block", "at_row")), restored(r["vectors"], 1, r["dim"]))
 
         first = TaskContext.get().partitionId() << 32
         for k, (ids, labels, at_block, at_row, vectors) in enumerate(packed(parts(), ANCHORS)):
@@ -157,43 +163,27 @@ def anchor_blocks(blocks: DataFrame, every: int) -> DataFrame:
     return arrow_map(found.repartition(max(1, math.ceil(found.count() / ANCHORS))), together, BLOCKS)
 
 
-def chunked(blocks: DataFrame, width: int, chunks: int) -> DataFrame:
-    """(block, k, n, part, facts): the chunks of each block; the first one has
-    its ids, labels and places as well."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                vectors = stacked([matrix(r["vectors"], r["n"], r["dim"]), np.zeros((0, width * chunks), np.int32)])
-                parts = [np.ascontiguousarray(vectors[:, k * width : (k + 1) * width]).tobytes() for k in range(chunks)]
-                facts = [b"".join(r[c] for c in ("ids", "labels", "at_block", "at_row")), *[None] * (chunks - 1)]
-                columns = [pa.array([r["block"]] * chunks), pa.array(range(chunks), pa.int32()), pa.array([r["n"]] * chunks, pa.int32()), pa.array(parts, pa.binary()), pa.array(facts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "k", "n", "part", "facts"])
-
-    return arrow_map(blocks, run, "block long, k int, n int, part binary, facts binary")
+def size(values: np.ndarray) -> int:
+    return max(int(values.max()), -int(values.min())) if values.size else 0
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a b' in int64, exactly."""
-    out = np.zeros((len(a), len(b)), np.int64)
-    for i in range(0, a.shape[1], EXACT):
-        out += (a[:, i : i + EXACT].astype(float) @ b[:, i : i + EXACT].astype(float).T).astype(np.int64)
+    """a b', exactly: panels of dimensions, added up in place."""
+    dim = min(a.shape[1], b.shape[1])  # a shorter one has zeros at its end
+    most = size(a) * size(b) * dim
+    kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+    panel = np.float32 if kind == np.float32 else np.float64
+    out = np.zeros((len(a), len(b)), kind)
+    for i in range(0, dim, EXACT):
+        out += (a[:, i : min(i + EXACT, dim)].astype(panel) @ b[:, i : min(i + EXACT, dim)].astype(panel).T).astype(kind, copy=False)
     return out
 
 
-def stored(tile: np.ndarray) -> bytes:
-    small = not tile.size or (tile.min() >= -(2**31) and tile.max() < 2**31)
-    return tile.astype(np.int32 if small else np.int64).tobytes()
-
-
-def restored(data: bytes, n: int, m: int) -> np.ndarray:
-    return np.frombuffer(data, np.int32 if len(data) == 4 * n * m else np.int64).reshape(n, m)
-
-
 def grid(anchors: int, rows: int, cells: int) -> tuple[int, int]:
-    """Lines and columns of about ``cells`` cells, so that little is copied."""
+    """Lines and columns of about ``cells`` cells, so that little is copied,
+    and a cell has fewer anchor blocks than a task holds."""
     cells = max(1, min(cells, anchors * rows))
-    lines = min(anchors, max(1, round(math.sqrt(cells * anchors * ANCHORS / (rows * ROWS)))))
+    lines = min(anchors, max(1, round(math.sqrt(cells * anchors * ANCHORS / (rows * ROWS))), math.ceil(2 * anchors / HELD)))
     return lines, min(rows, math.ceil(cells / lines))
 
 
@@ -201,75 +191,132 @@ def span(n: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
 
-TILES = "a long, b long, k int, n int, m int, tile binary, a_facts binary, b_facts binary"
-
-
-def partial_tiles(anchors: DataFrame, rows: DataFrame, width: int, chunks: int) -> tuple[DataFrame, int]:
-    """Tiles of each (anchor block, row block, chunk), and the columns of the
-    grid."""
-    n_anchors, n_rows = anchors.count(), rows.count()
-    lines, columns = grid(max(1, n_anchors), max(1, n_rows), 4 * shuffle_partitions(rows.sparkSession))
+def dealt(anchors: DataFrame, rows: DataFrame, lines: int, columns: int) -> DataFrame:
+    """Each anchor block with each row block, in the cells of the grid. Neither
+    side is broadcast: Spark knows its size before the grid repeats it."""
     line, column = F.pmod(F.xxhash64("block"), F.lit(lines)), F.pmod(F.xxhash64("block"), F.lit(columns))
-    left = chunked(anchors, width, chunks).select(F.col("block").alias("a"), "k", line.alias("line"), F.explode(span(columns)).alias("col"), "n", F.col("part").alias("a_part"), F.col("facts").alias("a_facts"))
-    right = chunked(rows, width, chunks).select(F.col("block").alias("b"), "k", F.explode(span(lines)).alias("line"), column.alias("col"), F.col("n").alias("m"), F.col("part").alias("b_part"), F.col("facts").alias("b_facts"))
-    met = right.repartition(lines * columns * chunks, "line", "col", "k").join(left, ["line", "col", "k"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(len(b)):
-                r = {name: b.column(name)[i].as_py() for name in b.schema.names}
-                tile = product(matrix(r["a_part"], r["n"], width), matrix(r["b_part"], r["m"], width))
-                cells = [r["a"], r["b"], r["k"], r["n"], r["m"], stored(tile), r["a_facts"], r["b_facts"]]
-                kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 3, *[pa.binary()] * 3]
-                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, kinds, strict=True)], [c.split()[0] for c in TILES.split(", ")])
-
-    return arrow_map(met.select("a", "b", "k", "n", "m", "a_part", "b_part", "a_facts", "b_facts"), run, TILES), columns
-
-
-def leading(scores: np.ndarray, may: np.ndarray, most: int) -> np.ndarray:
-    """Places of the ``most`` best scores among ``may`` (places in order of
-    id), best first and then by id."""
-    found = scores[may]
-    if len(may) > most:
-        least = np.partition(found, len(found) - most)[len(found) - most]
-        keep = found >= least
-        may, found = may[keep], found[keep]
-    return may[np.argsort(-found, kind="stable")[:most]]
-
-
-class Facts:
-    """Ids, labels and places of a block, from the bytes of a tile."""
-
-    def __init__(self, data: bytes):
-        self.ids, self.labels, self.at_block, self.at_row = np.frombuffer(data, np.int64).reshape(4, -1)
-
-
-ADDED = "a long, b long, n int, m int, tile binary, a_facts binary, b_facts binary, leading array<struct<row:int,id:long,score:long>>"
-
-
-def added(partial: DataFrame, positives: int) -> DataFrame:
-    """Whole tiles, with the leading rows of each anchor's label."""
-
-    def add(parts: pa.Table) -> pa.Table:
-        n, m = parts["n"][0].as_py(), parts["m"][0].as_py()
-        total = np.zeros((n, m), np.int64)
-        for data in parts["tile"]:
-            total += restored(data.as_py(), n, m)
-        a_facts, b_facts = (next(x.as_py() for x in parts[c] if x.is_valid) for c in ("a_facts", "b_facts"))
-        a, b = Facts(a_facts), Facts(b_facts)
-        of_label = {label: np.nonzero(b.labels == label)[0] for label in np.unique(a.labels)}
-        found = []
-        for row in range(n):
-            may = of_label[a.labels[row]]
-            if a.at_block[row] == parts["b"][0].as_py():
-                may = may[may != a.at_row[row]]
-            found += [{"row": row, "id": int(b.ids[j]), "score": int(total[row, j])} for j in leading(total[row], may, positives)]
-        kind = pa.list_(pa.struct([("row", pa.int32()), ("id", pa.int64()), ("score", pa.int64())]))
-        columns = {"a": parts["a"][:1], "b": parts["b"][:1], "n": parts["n"][:1], "m": parts["m"][:1]}
-        more = {"tile": pa.array([stored(total)], pa.binary()), "a_facts": pa.array([a_facts], pa.binary()), "b_facts": pa.array([b_facts], pa.binary()), "leading": pa.array([found], kind)}
-        return pa.table(columns | more)
-
-    return partial.groupBy("a", "b").applyInArrow(add, ADDED)
+    facts = F.concat("ids", "labels", "at_block", "at_row")
+    more = [F.col(c) for c in anchors.columns if c not in {x.split()[0] for x in BLOCKS.split(", ")}]
+    spread = anchors.repartition(shuffle_partitions(anchors.sparkSession), "block")  # these are few, but repeated often
+    left = spread.select(line.alias("line"), F.explode(span(columns)).alias("col"), F.col("block").alias("a"), F.col("n").alias("a_n"), F.col("dim").alias("a_dim"), facts.alias("a_facts"), F.col("vectors").alias("a_vectors"), *more)
+    right = rows.select(F.explode(span(lines)).alias("line"), column.alias("col"), F.col("block").alias("b"), F.col("n").alias("b_n"), F.col("dim").alias("b_dim"), F.concat("ids", "labels").alias("b_facts"), F.col("vectors").alias("b_vectors"))
+    return right.repartition(lines * columns, "line", "col").join(left.hint("merge"), ["line", "col"]).drop("line", "col")
+
+
+class Block:
+    """Ids, labels and vectors of a block, and the places of each label."""
+
+    def __init__(self, r: dict, side: str):
+        n = r[f"{side}_n"]
+        self.ids, self.labels, *self.at = np.frombuffer(r[f"{side}_facts"], np.int64).reshape(-1, n)
+        self.vectors = restored(r[f"{side}_vectors"], n, r[f"{side}_dim"])
+        order = np.argsort(self.labels, kind="stable")
+        names, starts = np.unique(self.labels[order], return_index=True)
+        self.of = dict(zip(names.tolist(), np.split(order, starts[1:]), strict=True))
+
+
+def leading(scores: np.ndarray, may: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lines and columns of the ``most`` best scores of each line among
+    ``may``; equal scores go by column. Where ``may`` has few, all of them."""
+    if may.shape[1] > most and np.count_nonzero(may) > 8 * most * len(may):
+        least = -np.inf if scores.dtype.kind == "f" else np.iinfo(scores.dtype).min
+        some = np.where(may, scores, least)
+        last = np.partition(some, -most, axis=1)[:, -most][:, None]
+        better, equal = some > last, may & (some == last)
+        may = better | equal & (equal.cumsum(axis=1) <= most - better.sum(axis=1, keepdims=True))
+    return np.nonzero(may)
+
+
+class Best:
+    """The leading (score, id) of each group, best first and then by id."""
+
+    def __init__(self, groups: int, most: int):
+        self.most = most
+        self.group, self.scores, self.ids = (np.zeros(0, np.int64) for _ in range(3))
+        #: A group's last score, once it has ``most`` rows: lower ones are none of its best.
+        self.least = np.full(groups, np.iinfo(np.int64).min)
+
+    def add(self, group: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        group, scores, ids = np.concatenate([self.group, group]), np.concatenate([self.scores, scores.astype(np.int64)]), np.concatenate([self.ids, ids])
+        order = np.lexsort((ids, -scores, group))
+        group, scores, ids = group[order], scores[order], ids[order]
+        rank = np.arange(len(group)) - np.searchsorted(group, group)
+        self.least[group[rank == self.most - 1]] = scores[rank == self.most - 1]
+        self.group, self.scores, self.ids = (x[rank < self.most] for x in (group, scores, ids))
+
+
+class Anchors(Block):
+    """An anchor block, and what a task has found for it so far."""
+
+    def __init__(self, r: dict, most: int):
+        super().__init__(r, "a")
+        self.block, self.at_block, self.at_row = r["a"], *self.at
+        self.best = Best(len(self.ids), most)
+
+    def see(self, b: Block, block: int) -> None:
+        """Leading rows of each anchor's label."""
+        for label in self.of.keys() & b.of.keys():
+            rows, columns = self.of[label], b.of[label]
+            scores = product(self.vectors[rows], b.vectors[columns])
+            may = scores >= held(self.best.least[rows], scores.dtype)[:, None]
+            own = np.nonzero(self.at_block[rows] == block)[0]
+            may[own, np.searchsorted(columns, self.at_row[rows[own]])] = False
+            i, j = leading(scores, may, self.best.most)
+            self.best.add(rows[i], scores[i, j], b.ids[columns[j]])
+
+    def found(self) -> list[np.ndarray]:
+        return [np.full(len(self.best.ids), self.block), self.best.group, self.best.ids, self.best.scores]
+
+
+class Windows(Anchors):
+    """An anchor block with the windows of its positives: one group for each
+    (place, anchor), in order of place."""
+
+    def __init__(self, r: dict, most: int, low: int, high: int):
+        super().__init__(r, most)
+        wanted, n = r["wanted"], len(self.ids)
+        places = max(w["place"] for w in wanted)
+        lows, highs = np.full(places * n, 1), np.zeros(places * n, np.int64)  # nothing is in such a window
+        self.positive, self.score = np.zeros(places * n, np.int64), np.zeros(places * n, np.int64)
+        for w in wanted:
+            k = (w["place"] - 1) * n + w["row"]
+            lows[k], highs[k], self.positive[k], self.score[k] = ceil_of(low, w["score"]), high * w["score"] // 100, w["id"], w["score"]
+        self.lows, self.highs = lows, highs
+        self.best = Best(places * n, most)
+
+    def see(self, b: Block, block: int) -> None:
+        """Leading rows of other labels in each window."""
+        n, scores = len(self.ids), product(self.vectors, b.vectors)
+        lows, highs = (held(x, scores.dtype).reshape(-1, n) for x in (np.maximum(self.lows, self.best.least), self.highs))
+        some = lows <= highs
+        most = np.iinfo(np.int64).max if scores.dtype.kind == "i" else np.inf
+        least, greatest = np.where(some, lows, most).min(axis=0), np.where(some, highs, -most).max(axis=0)
+        may = (scores >= least[:, None]) & (scores <= greatest[:, None])
+        if np.count_nonzero(may) > 8 * self.best.most * n:
+            may &= self.labels[:, None] != b.labels
+            found = [leading(scores, may & (scores >= lows[p][:, None]) & (scores <= highs[p][:, None]), self.best.most) for p in range(len(lows))]
+        else:
+            i, j = np.nonzero(may)
+            other = self.labels[i] != b.labels[j]
+            i, j = i[other], j[other]
+            each = ((scores[i, j] >= lows[p][i]) & (scores[i, j] <= highs[p][i]) for p in range(len(lows)))
+            found = [(i[k], j[k]) for k in each]
+        if any(len(i) for i, _ in found):
+            group, i, j = np.concatenate([p * n + i for p, (i, _) in enumerate(found)]), *(np.concatenate([f[k] for f in found]) for k in (0, 1))
+            self.best.add(group, scores[i, j], b.ids[j])
+
+    def found(self) -> list[np.ndarray]:
+        place, row = np.divmod(self.best.group, len(self.ids))
+        return [np.full(len(row), self.block), row, place + 1, self.ids[row], self.positive[self.best.group], self.score[self.best.group], self.best.ids, self.best.scores]
+
+
+def held(values: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """Bounds of scores, in their kind of number; scores are below the least
+    number that ``product`` has no place for in that kind."""
+    if kind.kind == "i":
+        return values
+    most = 1 << (24 if kind == np.float32 else 53)
+    return np.clip(values, -most, most).astype(kind)
 
 
 def ceil_of(percent: int, score: int) -> int:
@@ -277,28 +324,33 @@ def ceil_of(percent: int, score: int) -> int:
     return -((-percent * score) // 100)
 
 
-def in_windows(tiles: DataFrame, negatives: int, low: int, high: int) -> DataFrame:
-    """The leading rows of other labels in each window of a tile's anchors."""
+def in_cells(met: DataFrame, make: Callable[[dict], Anchors], schema: str) -> DataFrame:
+    """What each anchor block finds in the cells of a task."""
+
+    def rows(anchors: dict[int, Anchors]) -> Iterator[pa.RecordBatch]:
+        for a in anchors.values():
+            if len(a.best.ids):
+                columns = zip(a.found(), schema.split(", "), strict=True)
+                yield pa.RecordBatch.from_pydict({c.split()[0]: pa.array(x, pa.int64()).cast(pa.int32() if c.endswith(" int") else pa.int64()) for x, c in columns})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors: dict[int, Anchors] = {}
+        last, b = None, None
         for batch in batches:
-            for i in range(len(batch)):
-                r = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                a, b, tile = Facts(r["a_facts"]), Facts(r["b_facts"]), restored(r["tile"], r["n"], r["m"])
-                others = {label: np.nonzero(b.labels != label)[0] for label in np.unique(a.labels)}
-                out = []
-                for w in r["wanted"]:
-                    row, score = w["row"], w["score"]
-                    scores, may = tile[row], others[a.labels[row]]
-                    near = scores[may]
-                    may = may[(near >= ceil_of(low, score)) & (near <= high * score // 100)]
-                    out += [(r["a"], row, w["place"], int(a.ids[row]), w["id"], score, int(b.ids[j]), int(scores[j])) for j in leading(scores, may, negatives)]
-                if out:
-                    names = ["a", "row", "place", "anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"]
-                    kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 5]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-    return arrow_map(tiles, run, "a long, row int, place int, anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long")
+            a_blocks, b_blocks = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            for i, (a_block, b_block) in enumerate(zip(a_blocks, b_blocks, strict=True)):
+                r = lambda side, i=i: {c: batch.column(c)[i].as_py() for c in batch.schema.names if c[:2] in (side, f"{side}_") or side == "a" and c == "wanted"}
+                if b is None or b_block != last:
+                    last, b = b_block, Block(r("b"), "b")
+                if a_block not in anchors:
+                    if len(anchors) == HELD:
+                        yield from rows(anchors)
+                        anchors = {}
+                    anchors[a_block] = make(r("a"))
+                anchors[a_block].see(b, b_block)
+        yield from rows(anchors)
+
+    return arrow_map(met, run, schema)
 
 
 def mine(embeddings: DataFrame, every: int = 100, positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100, scale: float = SCALE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -307,16 +359,12 @@ def mine(embeddings: DataFrame, every: int = 100, positives: int = 5, negatives:
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
     blocks = written(row_blocks(rows.dropna("any"), scale), "negatives-rows")
     anchors = written(anchor_blocks(blocks, every), "negatives-anchor-blocks")
-    dim = max(1, blocks.agg(F.max("dim")).first()[0] or 1)
-    width = EXACT * math.ceil(dim / (EXACT * CHUNKS))
-    partial, columns = partial_tiles(anchors, blocks, width, math.ceil(dim / width))
-    tiles = written(added(partial, positives), "negatives-tiles")
-    best = tiles.select("a", F.explode("leading").alias("x")).select("a", "x.*")
+    lines, columns = grid(max(1, anchors.count()), max(1, blocks.count()), 2 * shuffle_partitions(rows.sparkSession))
+    best = in_cells(dealt(anchors, blocks, lines, columns), lambda r: Anchors(r, positives), "a long, row int, id long, score long")
     place = F.row_number().over(Window.partitionBy("a", "row").orderBy(F.desc("score"), "id"))
     best = best.withColumn("place", place).where(F.col("place") <= positives)
-    wanted = best.groupBy("a").agg(F.collect_list(F.struct("row", "place", "id", "score")).alias("wanted"))  # at most ANCHORS * positives
-    wanted = written(wanted, "negatives-positives").withColumn("col", F.explode(span(columns)))
-    dealt = tiles.drop("leading").withColumn("col", F.pmod(F.xxhash64("b"), F.lit(columns)))
-    found = in_windows(dealt.join(wanted, ["a", "col"]).select("a", "n", "m", "tile", "a_facts", "b_facts", "wanted"), negatives, low, high)
+    wanted = best.groupBy(F.col("a").alias("block")).agg(F.collect_list(F.struct("row", "place", "id", "score")).alias("wanted"))  # at most ANCHORS * positives
+    anchors = written(anchors.join(wanted, "block"), "negatives-positives")
+    found = in_cells(dealt(anchors, blocks, lines, columns), lambda r: Windows(r, negatives, low, high), "a long, row int, place int, anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long")
     rank = F.row_number().over(Window.partitionBy("a", "row", "place").orderBy(F.desc("negative_score"), "negative_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= negatives).select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from ruleloom import shared
 from ruleloom.llm import negatives
 
 SCHEMA = "vec_id long, embedding array<float>, label int, a string, score long"
@@ -74,3 +75,26 @@ def test_products_are_exact_at_the_limit():
 def test_thresholds_are_whole_numbers():
     for score in range(-300, 300):
         assert negatives.ceil_of(80, score) == math.ceil(80 * score / 100)
+
+
+def test_tiles_are_not_kept_and_blocks_not_broadcast(spark, monkeypatch, tmp_path):
+    """What is written follows the rows, not the scores (800 x 1,600 here), and
+    what the grid repeats doesn't go through the driver."""
+    monkeypatch.setattr(shared, "shared_folder", lambda _: str(tmp_path))
+    got = negatives.mine(spark.createDataFrame(random_rows(1600, 64, 7), SCHEMA).repartition(2), every=2)
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 800 * 1600
+    plan = got._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "BroadcastExchange" not in plan
+    assert got.count() > 0
+
+
+@pytest.mark.parametrize("dim", [4, 40])
+def test_each_kind_of_number(spark, monkeypatch, dim):
+    """Sums beyond floats and beyond doubles, ties of most rows, many blocks."""
+    monkeypatch.setattr(negatives, "ROWS", 40)
+    monkeypatch.setattr(negatives, "ANCHORS", 4)
+    monkeypatch.setattr(negatives, "HELD", 2)
+    for size in (1.0, 2.0**10, 2.0**15, 2.0**16):
+        rows = [(i, [size * (1 - (i * j) % 3 / 16) if i % 5 else size for j in range(dim)], i % 3, "x", 0) for i in range(200)]
+        got = negatives.mine(spark.createDataFrame(rows, SCHEMA).repartition(2), every=20)
+        assert Counter(map(tuple, got.collect())) == Counter(by_hand(rows, every=20))
